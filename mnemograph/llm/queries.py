@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import mixing, ngram_join, packing
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
+    "op3_mix_sources": mixing.op3,
+    "op5_pack_buckets": packing.op5,
 }
 
 SQL: dict[str, str] = {}
