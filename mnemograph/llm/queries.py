@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, packing, quality
+from . import line_dedup, mixing, ngram_join, packing, quality
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
     "op3_mix_sources": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op5_pack_buckets": packing.op5,
+    "op9_line_dedup": line_dedup.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.SQL,
+}
