@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, packing, quality
+from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, token_store
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
+    "op2_token_store": token_store.op2,
     "op3_mix_sources": mixing.op3,
     "op4_quality_rules": quality.op4,
     "op5_pack_buckets": packing.op5,
+    "op6_jpeg_media": jpeg_media.op6,
     "op9_line_dedup": line_dedup.op9,
 }
 
