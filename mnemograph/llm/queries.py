@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, token_store
+from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, token_store, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4,
     "op5_pack_buckets": packing.op5,
     "op6_jpeg_media": jpeg_media.op6,
+    "op7_toxicity": toxicity.op7,
     "op9_line_dedup": line_dedup.op9,
 }
 
