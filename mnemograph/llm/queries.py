@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, token_store, toxicity
+from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, repeats, token_store, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_jpeg_media": jpeg_media.op6,
     "op7_toxicity": toxicity.op7,
     "op9_line_dedup": line_dedup.op9,
+    "op10_repeated_strings": repeats.op10,
 }
 
 SQL: dict[str, str] = {
