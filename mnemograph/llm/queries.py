@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jpeg_media, line_dedup, mixing, ngram_join, packing, quality, repeats, token_store, toxicity
+from . import cdc_dedup, jpeg_media, line_dedup, mixing, ngram_join, packing, quality, repeats, token_store, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pack_buckets": packing.op5,
     "op6_jpeg_media": jpeg_media.op6,
     "op7_toxicity": toxicity.op7,
+    "op8_gear_chunks": cdc_dedup.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_repeated_strings": repeats.op10,
 }
