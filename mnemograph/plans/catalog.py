@@ -31,3 +31,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+from . import dynamics_queries, graph_queries, store_queries, text_queries  # noqa: E402, F401
