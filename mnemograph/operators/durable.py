@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from the shared folder in spark.checkpoint.dir; where unset (tests), from a local one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, named by spark.checkpoint.dir; where unset (tests), a local one, which is then set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-loops-", dir="/tmp")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-loops-", dir="/tmp"))
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

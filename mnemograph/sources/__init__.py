@@ -1 +1 @@
-"""sources."""
+"""Reading documents and data sets, writing tables."""
