@@ -56,9 +56,14 @@ def conflicts(nodes: DataFrame) -> DataFrame:
     return a.join(b, "subject").where("a < b and a_value <> b_value").select("subject", "a", "b", "a_value", "b_value")
 
 
-def resolution_score(now: Column, authority: Column = F.lit(0.5), sources: Column = F.lit(1), valid_until: Column = F.lit(None)) -> Column:
-    """How much a side of a conflict weighs: validity, authority, confidence, recency and number of sources."""
-    return 0.30 * valid_until.isNull().cast("double") + 0.25 * authority + 0.20 * N.clip(F.col("confidence")) + 0.15 * N.recency(F.col("updated_at"), now) + 0.10 * F.least(F.lit(1.0), sources * 0.5)
+def resolution_score(now: Column, authority: Column | None = None, sources: Column | None = None, valid_until: Column | None = None) -> Column:
+    """How much a side of a conflict weighs: validity, authority, confidence, recency and number of sources.
+
+    Unless given, authority is .5, there is one source, and validity has no end.
+    """
+    authority, sources = F.lit(0.5) if authority is None else authority, F.lit(1) if sources is None else sources
+    valid = F.lit(1.0) if valid_until is None else valid_until.isNull().cast("double")
+    return 0.30 * valid + 0.25 * authority + 0.20 * N.clip(F.col("confidence")) + 0.15 * N.recency(F.col("updated_at"), now) + 0.10 * F.least(F.lit(1.0), sources * 0.5)
 
 
 def resolve(nodes: DataFrame, now: Column) -> DataFrame:
