@@ -61,7 +61,7 @@ def lines_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, h (text hash), no, line, n for each line of at least ``least`` characters with a word."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    return rows.withColumn("n", F.length("line")).where((F.col("n") >= least) & (F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")) != ""))
+    return rows.withColumn("n", F.length("line")).where((F.col("n") >= least) & (F.ltrim("line", F.lit(" \t\x0b\x0c\r")) != ""))
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -87,9 +87,11 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least:
     wanted = rare.select(F.col("pk").alias("k")).union(rare.select("ik")).union(common.select("ik")).union(asked.select("pk")).distinct()
     wanted = scratch.keep(wanted.join(first.select("k", "k2", "place"), "k"), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
+    homes = wanted.select(F.col("place.doc_id").alias("home")).distinct()
+    inside = docs.join(F.broadcast(homes) if few else homes, docs.doc_id.cast("long").eqNullSafe(F.col("home")), "left_semi")
     pick = wanted.select("k", "k2", F.col("place.doc_id").alias("wd"), F.col("place.h").alias("wh"), F.col("place.no").alias("wn"))
     at_home = (F.col("k_") == F.col("k")) & (F.col("no") == F.col("wn")) & (F.col("h") == F.col("wh")) & F.col("doc_id").eqNullSafe(F.col("wd"))
-    texts = lines.withColumn("k_", F.xxhash64("line")).join(F.broadcast(pick) if few else pick, at_home)
+    texts = lines_of(inside, least).withColumn("k_", F.xxhash64("line")).join(F.broadcast(pick) if few else pick, at_home)
     texts = scratch.keep(texts.select("k", "line", F.struct("doc_id", "h", "no").alias("place")).dropDuplicates(["k"]), "texts")
 
     a, b = (texts.select(F.col("k").alias(x + "k"), F.col("line").alias(x + "l"), F.col("place").alias(x + "p")) for x in "pi")
