@@ -66,6 +66,7 @@ def lines_of(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, h, no, n, near: the lines to drop; near is false where an equal line stands before."""
+    docs = docs.select("doc_id", "text")
     lines = lines_of(docs, least)
     key = [F.xxhash64("line").alias("k"), F.xxhash64(F.lit(9), "line").alias("k2")]
     place = F.struct("doc_id", "h", "no")
@@ -115,11 +116,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) ->
     """``docs`` without the dropped lines; where ``n_chars`` is a column, it is set anew."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = dropped_lines(docs, scratch, edits, least).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("no").alias("_gone"))
-    text = docs.text.cast("string")
-    joined = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
+    # whole rows travel as one column, so that their names clash with none here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    joined = rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    out = joined.withColumn("_new", F.when(F.col("_gone").isNull(), docs.text).otherwise(kept))
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    out = joined.withColumn("_new", F.when(F.col("_gone").isNull(), text).otherwise(kept))
+    new = {"text": F.col("_new").alias("text"), "n_chars": F.length("_new").cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,8 +113,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` takes it, to the nearest whole document."""
     got = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), ((2 * F.col("taken") + F.col("size")) / (2 * F.greatest("size", F.lit(1)))).cast("int").alias("_times"))
     got = got.groupBy("_id", "_h").agg(F.max("_times").alias("_times")).where("_times > 0")
-    rows = docs.join(got, docs.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text.cast("string")) == F.col("_h")))
-    return rows.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    # whole rows travel as one column, so that their names clash with none here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    hit = rows.join(got, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("_h")))
+    return hit.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
