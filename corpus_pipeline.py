@@ -28,8 +28,10 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document with the smallest doc_id of each class of near duplicates; those without a doc_id stay."""
     classes = ngram_join.ngram_classes(docs.select("doc_id", "text"))
     heads = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    headed = docs.join(heads, docs.doc_id.cast("long") == F.col("_head"), "left_semi").dropDuplicates(["doc_id"])
-    return headed.unionByName(docs.where("doc_id is null"))
+    # whole rows travel as one column, so that their names clash with none here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    headed = rows.join(heads, F.col("_id") == F.col("_head"), "left_semi").dropDuplicates(["_id"])
+    return headed.unionByName(rows.where("_id is null")).select("row.*")
 
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
