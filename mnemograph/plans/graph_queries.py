@@ -252,15 +252,15 @@ def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", "id", F.array_join("path", ">").alias("path"), "channel", F.round("semantic", 6).alias("semantic"), *[F.round(k, 6).alias(k) for k in keep])
 
 
-@query("retrieve_full", f"""{_RG}, {_CANDS}, sc AS (SELECT query_id, id, array_to_string(path, '>') AS path, round({_score_sql(tuple(retrieval.WEIGHTS))}, 6) AS score FROM comp)
+@query("retrieve_full", f"""{_RG}, {_CANDS}, sc AS (SELECT query_id, id, array_to_string(path, '>') AS path, round({_score_sql(tuple(retrieval.WEIGHTS))}, 9) AS score FROM comp)
 SELECT query_id, id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8""")
 def retrieve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _components(spark, sf_dir).withColumn("score", F.round(retrieval.weighted(tuple(retrieval.WEIGHTS)), 6))
+    scored = _components(spark, sf_dir).withColumn("score", F.round(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
     ranked = retrieval.top(scored, [F.col("score").desc(), F.col("id")], 8)
     return ranked.select("query_id", "id", F.array_join("path", ">").alias("path"), "score", "rank")
 
 
-_EACH = " UNION ALL ".join(f"SELECT '{n}' AS system, query_id, id, round({_score_sql(s)}, 6) AS score FROM comp" for n, s in retrieval.ABLATIONS.items())
+_EACH = " UNION ALL ".join(f"SELECT '{n}' AS system, query_id, id, round({_score_sql(s)}, 9) AS score FROM comp" for n, s in retrieval.ABLATIONS.items())
 
 
 @query("retrieve_ablations", f"""{_RG}, {_CANDS}, sc AS ({_EACH})
