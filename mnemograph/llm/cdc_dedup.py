@@ -127,20 +127,27 @@ def _mark(with_spans: bool, least: int):
         repeated = again[inverse] if n_chunks else np.zeros(0, bool)
         later = repeated & ~first
         text = np.repeat(np.arange(n), np.diff(per))
-        new = np.ones(n_chunks, bool)
-        new[1:] = (later[1:] != later[:-1]) | (text[1:] != text[:-1])
-        heads = np.flatnonzero(new)
-        total = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
-        gone = later[heads] & (total >= least)
+
+        def runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Heads and sizes of the long enough runs of marked chunks within a text."""
+            new = np.ones(n_chunks, bool)
+            new[1:] = (on[1:] != on[:-1]) | (text[1:] != text[:-1])
+            heads = np.flatnonzero(new)
+            total = np.add.reduceat(size, heads) if len(heads) else np.zeros(0, np.int64)
+            long = on[heads] & (total >= least)
+            return heads[long], total[long]
+
+        heads, total = runs(later)
+        again_heads, again_total = runs(repeated)
         start = (np.cumsum(size) - size)[heads] - offs[text[heads]]
         by = lambda x, w: np.bincount(x, w, n).astype(np.int64)
-        owner = text[heads][gone]
+        owner = text[heads]
         spans = None
         if with_spans:
             at = np.searchsorted(owner, np.arange(n + 1))
-            pairs = [{"start": int(a), "size": int(b)} for a, b in zip(start[gone], total[gone])]
+            pairs = [{"start": int(a), "size": int(b)} for a, b in zip(start, total)]
             spans = [pairs[at[i] : at[i + 1]] for i in range(n)]
-        return pa.table([pa.array(ids, mask=~known), pa.array(np.diff(offs)), pa.array(np.diff(per)), pa.array(by(text, size * repeated)), pa.array(by(owner, total[gone])), pa.array(by(owner, np.ones(len(owner)))), pa.array(spans if with_spans else [None] * n, _OUT.field("spans").type)], schema=_OUT)
+        return pa.table([pa.array(ids, mask=~known), pa.array(np.diff(offs)), pa.array(np.diff(per)), pa.array(by(text[again_heads], again_total)), pa.array(by(owner, total)), pa.array(by(owner, np.ones(len(owner)))), pa.array(spans if with_spans else [None] * n, _OUT.field("spans").type)], schema=_OUT)
 
     return run
 
@@ -148,7 +155,8 @@ def _mark(with_spans: bool, least: int):
 def dedup_chunks(docs: DataFrame, with_spans: bool = True, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeated, n_removed, n_spans (and spans) for each row of ``docs`` (doc_id, text).
 
-    n_repeated: bytes of chunks that stand somewhere else too; n_removed: bytes of the runs that go; spans: start and
+    n_repeated: bytes of runs of chunks that stand somewhere else too, the first copies included; n_removed: bytes of the
+    runs that go, which are later copies; spans: start and
     size of these, in bytes.
     """
     spark: SparkSession = docs.sparkSession

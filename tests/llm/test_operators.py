@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -296,16 +296,9 @@ def test_cdc(docs, rows, empty):
         for c in v:
             later.append(c in seen)
             seen.add(c)
-        removed = spans = k = 0
-        while k < len(v):
-            e = k
-            while e < len(v) and later[e] == later[k]:
-                e += 1
-            size = sum(map(len, v[k:e]))
-            if later[k] and size >= 96:
-                removed, spans = removed + size, spans + 1
-            k = e
-        want[i] = (len(v), sum(len(c) for c in v if count[c] > 1), removed, spans)
+        runs = lambda on: [s for s in (sum(len(v[k]) for k, _ in g) for f, g in groupby(enumerate(on), key=lambda x: x[1]) if f) if s >= 96]  # noqa: B023, E731
+        removed = runs(later)
+        want[i] = (len(v), sum(runs([count[c] > 1 for c in v])), sum(removed), len(removed))
     assert {r["doc_id"]: (r["n_chunks"], r["n_repeated"], r["n_removed"], r["n_spans"]) for r in got} == want
     text = {r[0]: (r[1] or "").encode() for r in short}
     for r in got:
