@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -29,76 +31,109 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
-from .textblocks import Words, blocks, ragged, text_bytes
+from .textblocks import Words, blocks, ragged, span_hashes, text_bytes
 
 LEAST, MOST, AVERAGE_BITS = 128, 4096, 9
 END = 2
-#: Words whose ids a worker remembers, and the mark that stands between words when they are encoded together.
-CACHE_WORDS, MARK = 400_000, "~"
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 2_000_000
+#: Words whose ids a worker keeps (the first ones that it meets, so the frequent ones), and the mark that stands between words when they are encoded together.
+CACHE_WORDS, MARK = 350_000, "~"
+#: 1 for ASCII letters, 2 for ASCII signs and digits but the apostrophe, 0 for all else.
+_KIND = np.array([1 if chr(i).isalpha() else 2 if 32 < i < 127 and i != 39 else 0 for i in range(128)] + [0] * 128, np.uint8)
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
 class WordEncoder:
-    """Encodes texts through their distinct words: this tokenizer drops white space, so words encode on their own."""
+    """Encodes texts through their distinct words: this tokenizer drops white space and case, so words encode on their own.
+
+    Words are cut further where an ASCII letter and an ASCII sign or digit meet, as the tokenizer does itself; apostrophes,
+    which may begin a contraction, and other scripts are left whole, and so are blocks that spell a special token.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids
-        assert len(self.mark) == 1
+        mark = self.tok.encode(MARK, add_special_tokens=False).ids
+        assert len(mark) == 1
+        self.mark = mark[0]
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.start, self.count, self.ids, self.total = [], [], [], 0
+        self.start, self.count, self.pool = (np.zeros(0, np.int32) for _ in range(3))
 
     def add(self, hashes: list[int], words: list[str]) -> None:
         """Encodes many words as one text with marks between them; those that hold the mark, one by one."""
-        plain = [i for i, w in enumerate(words) if MARK not in w]
-        for i in set(range(len(words))) - set(plain):
-            self._put(hashes[i], np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.int64))
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            ids = np.array(self.tok.encode(f" {MARK} ".join(words[i] for i in part), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            assert len(cuts) == len(part) - 1
-            for i, x in zip(part, np.split(ids, cuts)):
-                self._put(hashes[i], x if i == part[0] else x[1:])
-
-    def _put(self, h: int, ids: np.ndarray) -> None:
-        self.at[h] = len(self.start)
-        self.start.append(self.total)
-        self.count.append(len(ids))
-        self.ids.append(ids)
-        self.total += len(ids)
+        odd = {i for i, w in enumerate(words) if MARK in w}
+        plain = [i for i in range(len(words)) if i not in odd]
+        pools, counts, order = [self.pool], [self.count], []
+        for a in range(0, len(plain), 4000):
+            part = plain[a : a + 4000]
+            ids = np.array(self.tok.encode(f" {MARK} ".join([words[i] for i in part]) + f" {MARK}", add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(ids == self.mark)
+            assert len(cuts) == len(part)
+            pools.append(np.delete(ids, cuts))
+            counts.append((np.diff(np.concatenate([[-1], cuts])) - 1).astype(np.int32))
+            order += part
+        for i in sorted(odd):
+            ids = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.int32)
+            pools.append(ids)
+            counts.append(np.array([len(ids)], np.int32))
+            order.append(i)
+        self.at.update(zip([hashes[i] for i in order], range(len(self.count), len(self.count) + len(order))))
+        self.pool, self.count = np.concatenate(pools), np.concatenate(counts)
+        self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
 
     def encode(self, raw: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` behind it, and offsets."""
-        words = Words(raw, offs)
-        h = words.hashes()
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.at) > CACHE_WORDS:
-            self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
         data = raw.tobytes()
-        spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+        words = Words(raw, offs, lower=True)
+        starts, ends, per_text = words.starts, words.ends, words.per_text
+        if b"<|" not in data and len(raw):
+            kind = _KIND[raw]
+            meet = kind[1:] * kind[:-1] == 2
+            at = np.flatnonzero(meet & words.inside[1:] & words.inside[:-1]) + 1
+            at = at[~np.isin(at, offs)]
+            starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+            per_text = np.searchsorted(starts, offs)
+        h = span_hashes(words.raw, starts, ends)
+        order = np.argsort(h)
+        head = np.ones(len(h), bool)
+        head[1:] = h[order[1:]] != h[order[:-1]]
+        first, inverse = order[head], np.empty(len(h), np.int64)
+        inverse[order] = np.cumsum(head) - 1
+        distinct = h[first]
+        keys, known = distinct.tolist(), len(self.count)
+        entry = np.array([self.at.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(entry < 0).tolist()
+        spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
         self.add([keys[i] for i in new], [data[a:b].decode() for a, b in spans])
-        entry = np.array([self.at[k] for k in keys], np.int64)
-        self.ids = [np.concatenate(self.ids)] if self.ids else []
-        pool = np.append(self.ids[0] if self.ids else np.zeros(0, np.int64), end)
-        start, count = np.array(self.start, np.int64), np.array(self.count, np.int64)
+        entry[new] = [self.at[keys[i]] for i in new]
+        pool = np.append(self.pool, end).astype(np.int32)
         # the end of each text is one more word, which is the last entry of the pool
-        ends = words.per_text[1:] + np.arange(len(offs) - 1)
-        s, c = (np.empty(len(h) + len(ends), np.int64) for _ in range(2))
+        last = per_text[1:] + np.arange(len(offs) - 1)
+        s, c = (np.empty(len(h) + len(last), np.int64) for _ in range(2))
         mine = np.ones(len(s), bool)
-        mine[ends] = False
-        s[ends], c[ends] = len(pool) - 1, 1
+        mine[last] = False
+        s[last], c[last] = len(pool) - 1, 1
         if len(h):
-            s[mine], c[mine] = start[entry][inverse], count[entry][inverse]
+            s[mine], c[mine] = self.start[entry][inverse], self.count[entry][inverse]
+        if known >= CACHE_WORDS:
+            for i in new:
+                del self.at[keys[i]]
+            self.pool, self.count, self.start = self.pool[: len(self.pool) - int(self.count[known:].sum())].copy(), self.count[:known].copy(), self.start[:known].copy()
         total = np.concatenate([[0], np.cumsum(c)])
-        return pool[ragged(s, c)], total[np.concatenate([[0], ends + 1])]
+        return pool[ragged(s, c)], total[np.concatenate([[0], last + 1])]
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder that this Python worker keeps from task to task."""
+    kept = sys.modules.setdefault("mnemograph_worker_encoders", types.ModuleType("mnemograph_worker_encoders")).__dict__
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
 
 
 def cut_points(ids: np.ndarray, least: int = LEAST, most: int = MOST, bits: int = AVERAGE_BITS) -> np.ndarray:
@@ -138,9 +173,9 @@ _SPARK_PARTS = "kind int, place long, doc_id long, n_tokens long, digest binary,
 
 def _encode(path: str, end: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(path), set()
+        encoder, seen = worker_encoder(path), set()
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, most=ENCODE_BYTES):
                 ids, at = encoder.encode(*text_bytes(b.column("text")), end)
                 raw = memoryview(ids.astype(width).view(np.uint8))
                 size = np.dtype(width).itemsize
