@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B = 1.5, 0.75
+#: Most queries of a batch, and most terms that are filtered by before rows leave the JVM.
+MOST_QUERIES, MOST_LITERALS = 10_000, 5_000
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -16,23 +22,59 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, queries: DataFrame, k: int = 8, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, key, score, rank: the ``k`` best documents for each of ``queries`` (query_id, query).
+    """query_id, key, score, rank: the ``k`` best documents for each of ``queries`` (query_id, query), at most ``MOST_QUERIES``.
 
-    Only postings of asked terms go past the first exchange: document lengths are a count inside each row, and document
-    frequencies are counted over the asked terms alone.
+    The terms of the batch of queries travel with the code. Document frequencies are counted over these terms alone; then
+    each batch of documents is a matrix of term weights times the matrix of query terms, and sends on its k best for each
+    query, so that neither postings nor pairs of documents and queries are shuffled.
     """
-    sized = docs.select(key, T.unicode_words(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    world = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("av"))
-    asked = queries.select("query_id", F.explode(T.unicode_words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("k"))
-    terms = asked.select("term").distinct()
-    tf = sized.select(key, "dl", F.explode("terms").alias("term")).join(terms, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row of two numbers
-    idf = df.crossJoin(F.broadcast(world)).select("term", "av", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = asked.join(idf, "term").join(tf, "term")
-    part = F.col("k") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("av")))
-    scores = weighted.groupBy("query_id", key).agg(F.round(F.sum(part), 4).alias("score"))
-    return top(scores, "query_id", [F.col("score").desc(), F.col(key)], k)
+    rows = queries.select("query_id", T.unicode_words(F.col("query")).alias("terms")).limit(MOST_QUERIES + 1).collect()
+    if len(rows) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
+    ids = [r["query_id"] for r in rows]
+    place = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"] or ()}))}
+    asked = np.zeros((len(place), len(ids)))
+    for j, r in enumerate(rows):
+        for t in r["terms"] or ():
+            asked[place[t], j] += 1
+    every = T.unicode_words(F.col("text"))
+    cut = docs.select(key, F.coalesce(F.size(every), F.lit(0)).alias("dl"), every.alias("terms"))
+    if len(place) <= MOST_LITERALS:
+        cut = cut.withColumn("terms", F.filter("terms", lambda w: w.isin(list(place))))
+
+    def held(terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of what some documents hold of the asked terms."""
+        flat = [(i * len(place) + place[t]) for i, ts in enumerate(terms) if ts is not None for t in ts if t in place]
+        code, n = np.unique(np.array(flat, np.int64), return_counts=True)
+        return code // max(1, len(place)), code % max(1, len(place)), n
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"term": held(part["terms"])[1]}).groupby("term").size().rename("df").reset_index()
+
+    world = docs.agg(F.count(F.lit(1)), F.avg(F.coalesce(F.size(every), F.lit(0)))).first()
+    n, mean = world[0], world[1] or 1.0
+    df = np.zeros(len(place))
+    for r in cut.select("terms").mapInPandas(counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r["term"]] = r["df"]
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None] * asked
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                part = whole.iloc[at : at + 1000].sort_values(key, ignore_index=True)
+                row, term, tf = held(part["terms"])
+                x = np.zeros((len(part), len(place)))
+                long = part["dl"].to_numpy()[row]
+                x[row, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * long / mean))
+                got = np.round(x @ weight, 4)
+                best = np.argsort(-got, axis=0, kind="stable")[:k]
+                q, d = np.tile(np.arange(len(ids)), len(best)), best.ravel()
+                some = got[d, q] > 0
+                yield pd.DataFrame({"query_id": [ids[i] for i in q[some]], key: part[key].to_numpy()[d[some]], "score": got[d[some], q[some]]})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    return top(cut.mapInPandas(score, kinds), "query_id", [F.col("score").desc(), F.col(key)], k)
 
 
 def top(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

@@ -95,8 +95,15 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("query_label"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a table has fewer splits than there are cores, as small files do; larger ones stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """The texts, on which expressions are costly."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
