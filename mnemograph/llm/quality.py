@@ -6,7 +6,7 @@ or counting what would change without one of its rules (``ablation``), is bit ar
 no text again.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. A null text is an empty one: it has no words and fails. Repeated rows are kept. An empty
-table gives an empty result. Other columns are not read.
+table gives an empty result. Other columns are not read. Letters and capitals are those of every script.
 """
 
 from __future__ import annotations
@@ -55,6 +55,18 @@ def _by_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
 
 
+def _cased(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each byte begins a capital, and whether it begins a letter, of any script."""
+    upper, letter = _UPPER[raw], _LETTER[raw]
+    at = np.flatnonzero(raw >= 0xC0)
+    if len(at):
+        points, which = np.unique(np.frombuffer(raw[raw >= 0x80].tobytes().decode().encode("utf-32-le"), "<u4"), return_inverse=True)
+        chars = [chr(p) for p in points]
+        letter[at] = np.array([c.isalpha() for c in chars])[which]
+        upper[at] = np.array([c.isalpha() and c.isupper() for c in chars])[which]
+    return upper, letter
+
+
 def _repeats(words: Words, k: int = 3) -> np.ndarray:
     """By text, the words in windows of ``k`` words that stand in the text twice or more."""
     w, at = windows(words.hashes(), words.per_text, k)
@@ -77,6 +89,7 @@ def _repeats(words: Words, k: int = 3) -> np.ndarray:
 def _measures(column: pa.Array) -> list[pa.Array]:
     raw, offs = text_bytes(column)
     words = Words(raw, offs)
+    upper, letter = _cased(raw)
     lines, again = [], []
     for text in column.to_pylist():
         parts = (text or "").split("\n")
@@ -88,7 +101,7 @@ def _measures(column: pa.Array) -> list[pa.Array]:
                 seen.add(line)
         lines.append(len(parts))
         again.append(dups)
-    got = [words.counts, _by_text(words.inside & ((raw & 0xC0) != 0x80), offs), _by_text(_SYMBOL[raw], offs), np.array(again), _repeats(words), _by_text(_UPPER[raw], offs), _by_text(_LETTER[raw], offs), np.array(lines)]
+    got = [words.counts, _by_text(words.inside & ((raw & 0xC0) != 0x80), offs), _by_text(_SYMBOL[raw], offs), np.array(again), _repeats(words), _by_text(upper, offs), _by_text(letter, offs), np.array(lines)]
     return [pa.array(x.astype(np.int64)) for x in got]
 
 

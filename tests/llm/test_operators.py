@@ -187,6 +187,24 @@ def test_quality(docs, rows, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def test_quality_counts_letters_of_every_script(spark, docs, rows):
+    def cased(text):
+        letters = [c for c in text or "" if c.isalpha()]
+        return sum(c.isupper() for c in letters), len(letters)
+
+    book = quality.ledger(quality.measure(docs))
+    assert bag(book.select("row.doc_id", "n_upper", "n_letters").collect(), "doc_id", "n_upper", "n_letters") == Counter((r[0], *cased(r[1])) for r in rows)
+    # words that differ, in scripts with and without case, with two acronyms
+    scripts = {"cyrillic": "абвгдежзик", "greek": "αβγδεζηθικ", "arabic": "ابتثجحخدذر", "han": "天地玄黃宇宙洪荒日月", "gothic": "𐌰𐌱𐌲𐌳𐌴𐌵𐌶𐌷𐌸𐌹"}
+    plain = {name: " ".join(a + b + a for a in s for b in s) for name, s in scripts.items()}
+    texts = {name: f"{t} NATO {t[::-1]} USB" for name, t in plain.items()} | {f"{k} capitals": plain[k].upper() for k in ("cyrillic", "greek")}
+    got = quality.ledger(quality.measure(spark.createDataFrame(list(texts.items()), "name string, text string"))).select("row.*", "n_upper", "n_letters", "failures").collect()
+    assert all((r["n_upper"], r["n_letters"]) == cased(r["text"]) for r in got)
+    assert {r["name"] for r in got if r["failures"] & quality.BIT["capitals"]} == {"cyrillic capitals", "greek capitals"}
+    kept = {r["name"] for r in quality.keep_good(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    assert kept == set(scripts)
+
+
 def test_packing(docs, rows, empty):
     got = packing.pack(docs, 4, 512).collect()
     assert bag(got, "doc_id", "length") == Counter((r[0], len(words(r[1]))) for r in rows)
