@@ -6,11 +6,15 @@ Every function takes the clock as a column and returns new values; nothing is ch
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .durable import cut
 
 # The defaults of the layer.
 PARAMETERS = {
@@ -148,23 +152,71 @@ def migrate_rings(stated: DataFrame, now: Column, p: dict = PARAMETERS, rings: i
     return inward.unionByName(outward)
 
 
-def merge_candidates(nodes: DataFrame, threshold: float = 0.92, most: int = 500, tables: int = 8, width: int = 8, exact_below: int = 20_000) -> DataFrame:
-    """a, b, similarity of pairs of vectors whose cosine is at least ``threshold``, the nearest ``most``.
+def merge_candidates(nodes: DataFrame, threshold: float = 0.92, most: int = 500, block: int = 16_384) -> DataFrame:
+    """a, b, similarity of pairs of vectors whose cosine is at least ``threshold``, the nearest ``most``; ties by a, b.
 
-    Up to ``exact_below`` vectors all pairs are compared, blocked by the sign of their first coordinates within reach of the
-    threshold; above, pairs must share one of ``tables`` keys of ``width`` hyperplane signs (recall 1 - (1 - p^width)^tables).
+    All pairs are compared at every size: each block of about ``block`` vectors goes to all tasks in turn and meets the vectors
+    of its own and later blocks in matrix products. The last similarity of the best so far bounds what is sent on. The
+    result, ``most`` rows, is held by the driver.
     """
-    n = nodes.count()
-    v = nodes.where("embedding is not null").select("id", N.unit(F.col("embedding")).alias("u"))
-    if n <= exact_below:
-        # |a1 - b1| <= |a - b| <= sqrt(2 - 2 t): neighbours share a cell of that width or stand in adjacent ones
-        reach = max(1e-6, math.sqrt(2 - 2 * threshold))
-        cell = F.floor(F.col("u")[0] / reach)
-        a = v.select(F.col("id").alias("a"), F.col("u").alias("x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-        pairs = a.join(v.select(F.col("id").alias("b"), F.col("u").alias("y"), cell.alias("cell")), "cell").where("a < b")
-    else:
-        sign = lambda t: F.concat(*[(F.aggregate(F.transform("u", lambda x, i: x * (F.pmod(F.hash(i, F.lit(t * width + j)), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, x: s + x) > 0).cast("int").cast("string") for j in range(width)])
-        keyed = v.withColumn("cell", F.explode(F.array(*[F.concat(F.lit(f"{t}:"), sign(t)) for t in range(tables)])))
-        pairs = keyed.select(F.col("id").alias("a"), F.col("u").alias("x"), "cell").join(keyed.select(F.col("id").alias("b"), F.col("u").alias("y"), "cell"), "cell").where("a < b")
-    near = pairs.withColumn("similarity", F.round(N.dot(F.col("x"), F.col("y")), 4)).where(F.col("similarity") >= threshold)
-    return near.select("a", "b", "similarity").distinct().orderBy(F.col("similarity").desc(), "a", "b").limit(most)
+    spark, kind = nodes.sparkSession, nodes.schema["id"].dataType.simpleString()
+    v = nodes.where("id is not null and embedding is not null").select("id", N.unit(F.col("embedding")).alias("u"))
+    v = cut(v.repartition(4 * spark.sparkContext.defaultParallelism))
+    blocks = max(1, -(-v.count() // block))
+    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    best: list[tuple] = []
+    for k in range(blocks):
+        held = v.where(F.col("block") == k).select("id", "u").toArrow()
+        if not held.num_rows:
+            continue
+        ids = np.array(held["id"].to_pylist(), object)
+        x = held["u"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        run = _nearest_pairs(ids, x, most, -best[-1][0] if len(best) == most else threshold)
+        later = v.where(F.col("block") >= k).select("id", "u", (F.col("block") > k).alias("later"))
+        part = later.mapInPandas(run, f"a {kind}, b {kind}, similarity double").distinct()
+        found = part.orderBy(F.col("similarity").desc(), "a", "b").limit(most).collect()
+        best = sorted({*best, *((-r["similarity"], r["a"], r["b"]) for r in found)})[:most]
+    return spark.createDataFrame([(a, b, -s) for s, a, b in best], f"a {kind}, b {kind}, similarity double")
+
+
+def _nearest_pairs(ids: np.ndarray, x: np.ndarray, most: int, least: float, rows: int = 1024, columns: int = 4096):
+    """A function of batches (id, u, later) that gives the best ``most`` pairs of them with ``ids``, whose unit vectors are ``x``.
+
+    A pair within the block is met from both sides and taken once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, floor = [], least
+        for batch in batches:
+            if not len(batch):
+                continue
+            y, later = np.stack(batch["u"].to_numpy()), batch["later"].to_numpy(bool)
+            # numbers in the order of the ids
+            names, number = np.unique(np.concatenate([ids, batch["id"].to_numpy(object)]), return_inverse=True)
+            left, right = number[: len(ids)], number[len(ids) :]
+            got = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i in range(0, len(ids), rows):
+                for j in range(0, len(y), columns):
+                    s = x[i : i + rows] @ y[j : j + columns].T
+                    p, q = np.nonzero(s >= floor - 1e-4)
+                    if not len(p):
+                        continue
+                    # halves go up, as in SQL
+                    sim = np.copysign(np.floor(np.abs(s[p, q]) * 1e4 + 0.5) / 1e4, s[p, q])
+                    one, two = left[i + p], right[j + q]
+                    fit = (sim >= floor) & ((one < two) | later[j + q])
+                    new = sim[fit], np.minimum(one, two)[fit], np.maximum(one, two)[fit]
+                    sim, a, b = (np.concatenate(z) for z in zip(got, new))
+                    order = np.lexsort((b, a, -sim))
+                    sim, a, b = sim[order], a[order], b[order]
+                    first = np.ones(len(sim), bool)
+                    first[1:] = (sim[1:] != sim[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                    got = sim[first][:most], a[first][:most], b[first][:most]
+                    if len(got[0]) == most:
+                        floor = max(floor, got[0][-1])
+            best = sorted({*best, *zip((-got[0]).tolist(), names[got[1]], names[got[2]])})[:most]
+            if len(best) == most:
+                floor = max(floor, -best[-1][0])
+        yield pd.DataFrame([(a, b, -s) for s, a, b in best], columns=["a", "b", "similarity"])
+
+    return run

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,39 @@ def test_decay_keeps_floor(spark):
     assert [r["id"] for r in dynamics.select_replay(n.withColumn("state", F.lit("new")), now, 2).orderBy("rank").collect()] == ["n3", "n2"]
 
 
+def _near(spark, ids, x):
+    return spark.createDataFrame(list(zip(ids, np.asarray(x).tolist())), "id string, embedding array<double>")
+
+
+def test_merge_candidates_blocks(spark):
+    """Ties, copies, a vector of no length and a repeated row, in blocks and in one piece."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 2, (60, 3)).astype(float)
+    ids = [f"v{i:02}" for i in rng.permutation(60)]
+    df = _near(spark, [*ids, ids[0]], [*x, x[0]])
+    unit = {i: v / max(np.linalg.norm(v), 1e-9) for i, v in zip(ids, x)}
+    want = sorted((-round(float(unit[a] @ unit[b]) + 1e-9, 4), a, b) for a in ids for b in ids if a < b and unit[a] @ unit[b] >= 0.5 - 1e-6)
+    for most, block in ((70, 7), (70, 1000), (10_000, 7)):
+        got = sorted((-r["similarity"], r["a"], r["b"]) for r in dynamics.merge_candidates(df, 0.5, most, block).collect())
+        assert got == want[:most]
+    assert dynamics.merge_candidates(df.limit(0), 0.5).count() == 0
+
+
+def test_merge_candidates_of_a_large_table(spark):
+    """Above 20,000 vectors the nearest pairs are still those of all pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_500, 64))
+    ids = [f"v{i:08}" for i in range(len(x))]
+    got = dynamics.merge_candidates(_near(spark, ids, x), 0.45).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for i in range(0, len(u), 2000):
+        s = u[i : i + 2000] @ u.T
+        want += [(-round(float(s[p, q]), 4), ids[i + p], ids[q]) for p, q in zip(*np.nonzero(s >= 0.49)) if i + p < q]
+    assert len(want) > 500
+    assert [(-r["similarity"], r["a"], r["b"]) for r in got] == sorted(want)[:500]
+
+
 def test_versions(spark):
     log = spark.createDataFrame([("S", 1, "x", "user"), ("S", 2, "x", "user"), ("S", 3, "y", "web"), (" s", 4, "z", "replay")], "subject string, seq long, content string, source string")
     c = versions.chain(log).orderBy("n").collect()
