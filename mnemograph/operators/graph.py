@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,23 +136,22 @@ def ring_lattice(nodes: DataFrame, reach: int = 2) -> DataFrame:
 def rewire(edges: DataFrame, seed: int, swaps_per_edge: int = 4) -> DataFrame:
     """a, b: the pairs after seeded double-edge swaps, which keep every node's degree.
 
-    Swaps depend on each other, so they run within blocks of pairs that hold about ten thousand each: both ends of a swap
-    are of one block, and degrees stay whatever the blocks are.
+    In each round pairs are dealt anew into couples, each of which proposes one swap, so that ``swaps_per_edge`` swaps are
+    proposed for each pair in all. A swap is accepted where none of its new pairs is there or proposed twice.
     """
-
-    def swap(block: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(zip(block["a"], block["b"]))
-        have, rng = set(left), random.Random(seed)
-        for _ in range(swaps_per_edge * len(left)):
-            i, j = rng.randrange(len(left)), rng.randrange(len(left))
-            (a, b), (c, d) = left[i], left[j]
-            one, two = tuple(sorted((a, d))), tuple(sorted((c, b)))
-            if len({a, b, c, d}) == 4 and one not in have and two not in have and one != two:
-                have -= {left[i], left[j]}
-                have |= {one, two}
-                left[i], left[j] = one, two
-        return pd.DataFrame(left, columns=["a", "b"])
-
-    pair = pairs(edges).select("a", "b")
-    blocks = max(1, pair.count() // 10_000)
-    return pair.groupBy(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)).alias("block")).applyInPandas(swap, "a string, b string")
+    pair = cut(pairs(edges).select("a", "b"))
+    blocks = max(1, pair.count() // 1000)
+    for k in range(2 * swaps_per_edge):
+        dealt = pair.select("a", "b", F.xxhash64("a", "b", F.lit(seed), F.lit(k)).alias("h"), F.pmod(F.xxhash64("a", "b", F.lit(seed), F.lit(-1 - k)), F.lit(blocks)).alias("block"))
+        order = Window.partitionBy("block").orderBy("h", "a", "b")
+        couples = dealt.select("a", "b", "h", F.row_number().over(order).alias("i"), F.lead("a").over(order).alias("c"), F.lead("b").over(order).alias("d")).where("i % 2 = 1 and c is not null")
+        couples = couples.where("a <> c and a <> d and b <> c and b <> d")
+        # either end of the second pair may go to a
+        x, y = F.when(F.col("h") % 2 == 0, F.col("d")).otherwise(F.col("c")), F.when(F.col("h") % 2 == 0, F.col("c")).otherwise(F.col("d"))
+        made = [F.struct(F.least("a", x).alias("a"), F.greatest("a", x).alias("b")), F.struct(F.least("b", y).alias("a"), F.greatest("b", y).alias("b"))]
+        proposed = couples.select(F.struct("a", "b", "c", "d").alias("swap"), F.explode(F.array(*made)).alias("new")).select("swap", "new.*")
+        once = proposed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("swap").alias("swap")).where("n = 1").join(pair, ["a", "b"], "left_anti")
+        done = cut(once.groupBy("swap").agg(F.collect_list(F.struct("a", "b")).alias("new")).where(F.size("new") == 2))
+        gone = done.select(F.explode(F.array(F.struct("swap.a", "swap.b"), F.struct(F.col("swap.c").alias("a"), F.col("swap.d").alias("b")))).alias("p")).select("p.*")
+        pair = cut(pair.join(gone, ["a", "b"], "left_anti").unionByName(done.select(F.explode("new").alias("p")).select("p.*")))
+    return pair

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemograph.functions import numeric as N
 from mnemograph.functions import text as T
-from mnemograph.operators import activation, affect, compression, dynamics, evaluation, graph, ingest, placement, plasticity, retrieval, storage, versions
+from mnemograph.operators import activation, affect, compression, dynamics, evaluation, gists, graph, ingest, placement, plasticity, retrieval, storage, versions
 from mnemograph.sources import readers, sinks
 from mnemograph.streaming import logs
 
@@ -68,6 +68,48 @@ def test_graph(spark):
     assert degrees(graph.rewire(many, 3).collect()) == degrees(graph.pairs(many).collect())
 
 
+def test_rewire_of_a_large_graph(spark):
+    """From 20,000 pairs on, no pair comes twice and degrees stay."""
+    rng = random.Random(6)
+    ends = sorted({tuple(sorted(rng.sample(range(320), 2))) for _ in range(33_000)})
+    assert len(ends) > 20_000
+    e = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", "r", 1.0, 1.0) for a, b in ends], EDGES)
+    got = [(r["a"], r["b"]) for r in graph.rewire(e, 3).collect()]
+    degrees = lambda rows: pd.Series([x for r in rows for x in r]).value_counts().to_dict()
+    before = {(f"n{a:03}", f"n{b:03}") for a, b in ends}
+    assert len(set(got)) == len(got) == len(before) and all(a < b for a, b in got)
+    assert degrees(got) == degrees(before)
+    # by chance alone, a pair that moves lands on a former one as often as such pairs fill the graph
+    assert len(before & set(got)) < 0.75 * len(before)
+    assert sorted(got) == sorted((r["a"], r["b"]) for r in graph.rewire(e.repartition(3), 3).collect())
+
+
+def test_gists_of_a_large_sector(spark):
+    """Seeds and members are those of the whole sector, above 20,000 nodes too."""
+    rng = np.random.default_rng(5)
+    sizes, least, most = {"big": 20_500, "small": 40, "tiny": 2, "same": 9}, 3, 12
+    rows = [(f"{s}{i:05}", s, "fact", (x if s != "same" else [1.0, 1.0, 0.0]), i % 7 / 7, i % 5 / 5) for s, n in sizes.items() for i, x in enumerate(rng.integers(-9, 10, (n, 3)).astype(float).tolist())]
+    df = spark.createDataFrame([*rows, ("other", "big", "concept", [99.0] * 3, 0.0, 0.0), ("none", "big", "fact", None, 0.0, 0.0)], "id string, sector string, memory_type string, embedding array<float>, importance double, confidence double")
+    want = []
+    for s in sizes:
+        part = [r for r in rows if r[1] == s]
+        if len(part) < least:
+            continue
+        x = np.array([r[3] for r in part])
+        seeds = [int(np.argmax(np.linalg.norm(x - x.mean(0), axis=1)))] if s != "same" else [0]
+        gap = np.linalg.norm(x - x[seeds[0]], axis=1)
+        while len(seeds) < min(most // len(sizes), len(part) // least) and gap.max() >= 1e-6:
+            seeds.append(int(np.argmax(gap)))
+            gap = np.minimum(gap, np.linalg.norm(x - x[seeds[-1]], axis=1))
+        for k in seeds:
+            at = np.argsort(-(x @ x[k]), kind="stable")[:least]
+            if (x[at] @ x[k] > 0.25).all():
+                want.append((s, part[k][0], [part[i][0] for i in at], round(np.mean([part[i][4] for i in at]) + 0.05, 4), round(np.mean([part[i][5] for i in at]), 4)))
+    got = [tuple(r[c] for c in ("sector", "seed", "members", "importance", "confidence")) for r in gists.build(df.repartition(7), least, most).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 5
+    assert gists.build(df.limit(0)).count() == 0
+
+
 def test_activation_golden(spark):
     """A seed of full strength fires at once; its neighbour gets its current times the edge in the next tick."""
     sym = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 0.5), ("c", "b", 0.5)], "src string, dst string, weight double")
