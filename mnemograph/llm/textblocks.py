@@ -98,6 +98,21 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(h)
 
 
+def equal_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of bytes equals its partner, eight bytes at a time over all pairs together."""
+    x, y = (np.ndarray(len(r) + 1, "<u8", np.concatenate([r, np.zeros(8, np.uint8)]), strides=(1,)) for r in (raw, other))
+    left = ends - starts
+    same = left == other_ends - other_starts
+    live = np.flatnonzero(same & (left > 0))
+    a, b, left = starts[live], other_starts[live], left[live]
+    while len(live):
+        good = ((x[a] ^ y[b]) & _MASK[np.minimum(left, 8)]) == 0
+        same[live[~good]] = False
+        more = good & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
+
+
 def windows(values: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` neighbours within a text, and the len + 1 offsets by text.
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import types
 import zlib
@@ -31,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
-from .textblocks import Words, blocks, ragged, span_hashes, text_bytes
+from .textblocks import Words, blocks, equal_spans, ragged, span_hashes, text_bytes
 
 LEAST, MOST, AVERAGE_BITS = 128, 4096, 9
 END = 2
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 2_000_000
-#: Words whose ids a worker keeps (the first ones that it meets, so the frequent ones), and the mark that stands between words when they are encoded together.
-CACHE_WORDS, MARK = 350_000, "~"
+ENCODE_BYTES = 1_000_000
+#: Words whose ids a worker keeps, and the mark that stands between words when they are encoded together.
+CACHE_WORDS, MARK = 300_000, "~"
 #: 1 for ASCII letters, 2 for ASCII signs and digits but the apostrophe, 0 for all else.
 _KIND = np.array([1 if chr(i).isalpha() else 2 if 32 < i < 127 and i != 39 else 0 for i in range(128)] + [0] * 128, np.uint8)
 _GEAR = np.random.default_rng(11).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
@@ -49,9 +50,14 @@ class WordEncoder:
 
     Words are cut further where an ASCII letter and an ASCII sign or digit meet, as the tokenizer does itself; apostrophes,
     which may begin a contraction, and other scripts are left whole, and so are blocks that spell a special token.
+
+    The ids of the first ``CACHE_WORDS`` words that it meets, most of the frequent ones, are kept in flat arrays in the order
+    of the words' hashes, some 40 bytes a word, so a worker holds about 15 MB of them whatever the number of texts. Hashes
+    only lead to a word: its bytes are compared before its ids are taken.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -61,30 +67,45 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.count, self.pool = (np.zeros(0, np.int32) for _ in range(3))
-
-    def add(self, hashes: list[int], words: list[str]) -> None:
-        """Encodes many words as one text with marks between them; those that hold the mark, one by one."""
-        odd = {i for i, w in enumerate(words) if MARK in w}
-        plain = [i for i in range(len(words)) if i not in odd]
-        pools, counts, order = [self.pool], [self.count], []
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.count, self.at, self.size = (np.zeros(0, np.int32) for _ in range(4))
+        self.pool, self.letters = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and id counts of words: many are encoded as one text with marks between them; those that hold the mark, alone."""
+        counts, parts = np.zeros(len(words), np.int32), [np.zeros(0, np.int32)] * len(words)
+        plain = np.array([i for i, w in enumerate(words) if MARK not in w], np.int64)
+        pools = []
         for a in range(0, len(plain), 4000):
-            part = plain[a : a + 4000]
-            ids = np.array(self.tok.encode(f" {MARK} ".join([words[i] for i in part]) + f" {MARK}", add_special_tokens=False).ids, np.int32)
+            part = plain[a : a + 4000].tolist()
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join([words[i] for i in part]) + f" {MARK}"], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(part)
             pools.append(np.delete(ids, cuts))
-            counts.append((np.diff(np.concatenate([[-1], cuts])) - 1).astype(np.int32))
-            order += part
-        for i in sorted(odd):
-            ids = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.int32)
-            pools.append(ids)
-            counts.append(np.array([len(ids)], np.int32))
-            order.append(i)
-        self.at.update(zip([hashes[i] for i in order], range(len(self.count), len(self.count) + len(order))))
-        self.pool, self.count = np.concatenate(pools), np.concatenate(counts)
-        self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
+            counts[part] = np.diff(np.concatenate([[-1], cuts])) - 1
+        if len(plain) == len(words):
+            return np.concatenate([np.zeros(0, np.int32), *pools]), counts
+        flat = np.concatenate([np.zeros(0, np.int32), *pools])
+        for i, x in zip(plain.tolist(), np.split(flat, np.cumsum(counts[plain])[:-1])):
+            parts[i] = x
+        for i in set(range(len(words))) - set(plain.tolist()):
+            parts[i] = np.array(self.tok.encode(words[i], add_special_tokens=False).ids, np.int32)
+            counts[i] = len(parts[i])
+        return np.concatenate(parts), counts
+
+    def keep(self, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, pool: np.ndarray, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        """Adds words with hashes not yet known, up to the bound."""
+        room = CACHE_WORDS - len(self.keys)
+        if room <= 0 or not len(keys):
+            return
+        keys, starts, counts, at, size = keys[:room], starts[:room], counts[:room], at[:room], size[:room]
+        place = np.cumsum(counts) - counts + len(self.pool)
+        letter = np.cumsum(size) - size + len(self.letters)
+        self.pool = np.concatenate([self.pool, pool[ragged(starts.astype(np.int64), counts.astype(np.int64))]])
+        self.letters = np.concatenate([self.letters, raw[ragged(at, size)]])
+        order = np.argsort(merged := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys = merged[order]
+        self.start, self.count, self.at, self.size = (np.concatenate([x, y])[order].astype(np.int32) for x, y in ((self.start, place), (self.count, counts), (self.at, letter), (self.size, size)))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` behind it, and offsets."""
@@ -104,32 +125,52 @@ class WordEncoder:
         head[1:] = h[order[1:]] != h[order[:-1]]
         first, inverse = order[head], np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(head) - 1
-        distinct = h[first]
-        keys, known = distinct.tolist(), len(self.count)
-        entry = np.array([self.at.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(entry < 0).tolist()
-        spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-        self.add([keys[i] for i in new], [data[a:b].decode() for a, b in spans])
-        entry[new] = [self.at[keys[i]] for i in new]
-        pool = np.append(self.pool, end).astype(np.int32)
+        n_hashes = len(first)
+        # a word with the hash of another one is an entry of its own
+        odd = np.flatnonzero(~equal_spans(words.raw, starts, ends, words.raw, starts[first[inverse]], ends[first[inverse]]))
+        first, inverse[odd] = np.concatenate([first, odd]), n_hashes + np.arange(len(odd))
+        at, size, keys = starts[first], (ends - starts)[first], h[first]
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        hit = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        fresh = np.flatnonzero(~hit)
+        held = np.flatnonzero(hit)
+        there = self.at[place[held]].astype(np.int64)
+        hit[held] = equal_spans(words.raw, at[held], at[held] + size[held], self.letters, there, there + self.size[place[held]])
+        new = np.flatnonzero(~hit)
+        added, counts = self.ids_of([data[a:b].decode() for a, b in zip(at[new].tolist(), (at[new] + size[new]).tolist())])
+        pool = np.concatenate([self.pool, added, np.array([end], np.int32)])
+        s, c = np.empty(len(first), np.int64), np.empty(len(first), np.int64)
+        s[hit], c[hit] = self.start[place[hit]], self.count[place[hit]]
+        s[new], c[new] = len(self.pool) + np.cumsum(counts) - counts, counts
+        fresh = fresh[fresh < n_hashes]
+        self.keep(keys[fresh], s[fresh], c[fresh], pool, words.raw, at[fresh], size[fresh])
         # the end of each text is one more word, which is the last entry of the pool
         last = per_text[1:] + np.arange(len(offs) - 1)
-        s, c = (np.empty(len(h) + len(last), np.int64) for _ in range(2))
-        mine = np.ones(len(s), bool)
+        mine = np.ones(len(h) + len(last), bool)
         mine[last] = False
-        s[last], c[last] = len(pool) - 1, 1
-        if len(h):
-            s[mine], c[mine] = self.start[entry][inverse], self.count[entry][inverse]
-        if known >= CACHE_WORDS:
-            for i in new:
-                del self.at[keys[i]]
-            self.pool, self.count, self.start = self.pool[: len(self.pool) - int(self.count[known:].sum())].copy(), self.count[:known].copy(), self.start[:known].copy()
-        total = np.concatenate([[0], np.cumsum(c)])
-        return pool[ragged(s, c)], total[np.concatenate([[0], last + 1])]
+        where = np.full(len(mine), len(pool) - 1, np.int64)
+        count = np.ones(len(mine), np.int64)
+        where[mine], count[mine] = s[inverse], c[inverse]
+        total = np.concatenate([[0], np.cumsum(count)])
+        return pool[ragged(where, count)], total[np.concatenate([[0], last + 1])]
+
+    def encode_long(self, raw: np.ndarray, end: int, most: int) -> np.ndarray:
+        """Ids of one text of any length with ``end`` behind it; it is read in pieces that end at white space."""
+        parts, a = [], 0
+        spaces = np.flatnonzero(raw == 32)
+        while a < len(raw):
+            i = np.searchsorted(spaces, a + most)
+            # the last space before the bound, else the next one
+            b = int(spaces[i - 1]) if i and spaces[i - 1] > a else int(spaces[i]) if i < len(spaces) else len(raw)
+            b = len(raw) if len(raw) - a <= most else b
+            parts.append(self.encode(raw[a:b], np.array([0, b - a]), end)[0][:-1])
+            a = b
+        return np.concatenate([*parts, np.array([end], np.int32)])
 
 
 def worker_encoder(path: str) -> WordEncoder:
-    """The encoder that this Python worker keeps from task to task."""
+    """The encoder that this Python worker keeps from task to task: the tokenizer and a bounded cache (see the class)."""
+    # functions travel by value, with globals of their own for each task, so what outlives a task is held by a module
     kept = sys.modules.setdefault("mnemograph_worker_encoders", types.ModuleType("mnemograph_worker_encoders")).__dict__
     if path not in kept:
         kept[path] = WordEncoder(path)
@@ -176,7 +217,12 @@ def _encode(path: str, end: int, width: str):
         encoder, seen = worker_encoder(path), set()
         for batch in batches:
             for b in blocks(batch, most=ENCODE_BYTES):
-                ids, at = encoder.encode(*text_bytes(b.column("text")), end)
+                text, offs = text_bytes(b.column("text"))
+                if len(text) > 2 * ENCODE_BYTES:
+                    ids = encoder.encode_long(text, end, ENCODE_BYTES)
+                    at = np.array([0, len(ids)])
+                else:
+                    ids, at = encoder.encode(text, offs, end)
                 raw = memoryview(ids.astype(width).view(np.uint8))
                 size = np.dtype(width).itemsize
                 rows = []
@@ -190,7 +236,7 @@ def _encode(path: str, end: int, width: str):
                         was = to
                         if d not in seen:
                             # a repeated chunk of this task goes out once; beyond the bound it goes again, and the store drops it
-                            if len(seen) < 1_000_000:
+                            if len(seen) < 100_000:
                                 seen.add(d)
                             rows.append((0, int.from_bytes(d[:8], "little", signed=True), None, None, d, data.tobytes(), None))
                     rows.append((1, doc_id, doc_id, y - x, merkle_root(digests), b"".join(digests), np.array(counts, "<u4").tobytes()))
