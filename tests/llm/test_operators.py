@@ -375,16 +375,44 @@ def test_repeats(docs, rows, empty, monkeypatch):
     want = Counter((r[0], *w) for r, w in zip(rows, plain_repeats([(r[1] or "").encode() for r in rows], 200)))
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert bag(repeats.remove_repeats(docs).collect(), *names) == want
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 2000)
-    assert bag(repeats.remove_repeats(docs).collect(), *names) == want
+    # small blocks, slices and hash ranges; keys that are refined, down to whole windows
+    for most, items in ((2000, 500), (250, 50)):
+        monkeypatch.setattr(repeats, "INDEX_BYTES", most)
+        monkeypatch.setattr(repeats, "RANGE_ITEMS", items)
+        monkeypatch.setattr(repeats, "BLOCK", 3000)
+        monkeypatch.setattr(repeats, "SLICE", 1000)
+        assert bag(repeats.remove_repeats(docs).collect(), *names) == want
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_a_common_passage(spark, monkeypatch):
+    """One passage between different words in most texts, a text with periods, and one beyond a block."""
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    common = word(230)
+    texts = [word(int(rng.integers(0, 300))) + common[int(rng.integers(0, 9)) :] + word(int(rng.integers(0, 300))) for _ in range(300)]
+    texts += ["ab" * 400, "x" * 199, "x" * 200, "y" * 201, word(500_000) + common + word(700_000)]
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 20_000)
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)).collect()
+    assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((i, *w) for i, w in enumerate(plain_repeats([t.encode() for t in texts], 200)))
+
+
+def test_anchors_of_slices_are_those_of_the_whole():
+    raw = np.random.default_rng(2).integers(97, 100, 20_000).astype(np.uint8)
+    offs = np.array([0, 150, 150, 5000, 5300, 20_000])
+    whole = repeats.window_anchors(raw, offs, 200)
+    parts = repeats.window_anchors(raw, offs, 200, step=333)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert (whole[2] - whole[1] + 1).sum() == sum(max(0, n - 199) for n in np.diff(offs))
+
+
 def test_match_lengths():
     strings = [b"banana bandana", b"bandana ananas", b"\0\0zz\0\0", b"na"]
     lengths = np.array([len(s) + 1 for s in strings])
     text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int16) + 1, np.int16(0)) for s in strings])
-    got = repeats.match_lengths(text, lengths)
+    index = repeats.RunIndex(text, lengths)
+    got = index.match_lengths()
+    assert index.size.sum() == len(text) and len(index.head) == len(index.size) < len(text)
     spots = [(s, i) for s in range(4) for i in range(len(strings[s]))]
     common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
     at = np.cumsum(lengths) - lengths
