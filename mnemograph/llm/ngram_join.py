@@ -7,12 +7,18 @@ returns each row's class. It is exact: no sampling, no caps.
    range. There a shingle counts as shared when two different sets hold it. A set that links with another one shares
    at least ``num/den`` of its shingles, so all other sets leave. Equal sets of a block are posted once, before the
    shuffle. Only the shared shingles come back, with their frequency class.
-2. *Blocks.* Each remaining set posts its rarest ``n - ceil(n * num/den) + 1`` shingles (prefix filter); sets that post
-   the same one, with sizes that can link, are in one block. So every link lies inside a block.
+2. *Prefixes.* Each remaining set posts its rarest ``n - ceil(n * num/den) + 1`` shingles (prefix filter), so two sets
+   that link post a common one. Lists of up to ``FEW`` sets give their pairs, which are checked one by one. The sets of a
+   longer list (a group of copies, or boilerplate) are tied together, and tied sets make up a block; pairs that lie
+   inside one block are left to it. So rare shingles that unlike sets share by chance never chain them into blocks.
 3. *DivideSkip.* In a block, ``Index.search`` merges a query's short inverted lists, keeps the documents that reach
    ``T - L`` occurrences, and probes the ``L`` long lists by binary search. The search walks over components: found
    documents leave the index, so a group of m near copies costs about m searches of a shrinking index, not m * m pairs.
-   Blocks over ``block_bytes`` are cut into pieces that are searched two by two, each piece in bounded memory.
+4. *Crowded blocks*, of more than ``CROWD`` sets, are cut down by pivots first. All sets are compared with one of them.
+   Those that link with it are of its class and leave; as the Jaccard distance is a metric, only sets within twice the
+   distance of a link can link with any of these, and only they are searched for in the leaving ones, which are dealt
+   over many tasks. A tight group is gone after one round, and no task holds it. What remains after ``ROUNDS`` rounds is
+   searched in pieces, two by two.
 
 Nulls and texts without words have no shingles and link with nothing. Repeated rows are kept, a null doc_id too (a
 class's id is its smallest non-null doc_id). Other columns are not read, whatever their names.
@@ -29,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, table
 from .textblocks import Words, blocks, distinct_sorted, ragged, text_bytes, windows
 
 SHINGLE = 5
@@ -37,11 +43,13 @@ NUM, DEN = 3, 4
 #: Shingles for each hash range, and bytes of shingle hashes that one search task holds.
 RANGE_ITEMS = 3_000_000
 BLOCK_BYTES = 24_000_000
+#: Sets of a list that are paired, sets of a block that one task searches, and most rounds of pivots.
+FEW, CROWD, ROUNDS = 6, 200, 8
 _LOW = np.uint64((1 << 48) - 1)
 
 _POSTS = "bucket int, origin long, doc binary, cnt binary, digest binary, h binary"
 _BACK = "origin long, kind int, doc binary, cnt binary, digest binary, h binary, f binary"
-_SETS = "doc_id long, n long, digest binary, live boolean, ids binary, freq binary"
+_SETS = "doc_id long, text_hash long, n long, digest binary, live boolean, ids binary, freq binary"
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +102,7 @@ def _post(bits: int, k: int):
                 origin += 1
                 ids = b.column("doc_id").cast(pa.int64())
                 known = np.array(ids.is_valid())
-                rows = [(-1 - origin % (1 << bits), origin, np.array(ids.fill_null(0)).astype("<i8").tobytes() + known.astype(np.uint8).tobytes(), sizes.astype("<i8").tobytes(), b"".join(d or bytes(16) for d in digests), lead.astype(np.uint8).tobytes())]
+                rows = [(-1 - origin % (1 << bits), origin, np.array(ids.fill_null(0)).astype("<i8").tobytes() + np.array(b.column("text_hash")).astype("<i8").tobytes() + known.astype(np.uint8).tobytes(), sizes.astype("<i8").tobytes(), b"".join(d or bytes(16) for d in digests), lead.astype(np.uint8).tobytes())]
                 for i, j in _runs(pieces):
                     x, y = heads[i], heads[j] if j < len(heads) else len(h)
                     rows.append((int(pieces[i]), origin, docs[i:j].tobytes(), cnt[i:j].tobytes(), short[docs[i:j]].tobytes(), _six(h[x:y])))
@@ -160,14 +168,14 @@ def _back_schema() -> pa.Schema:
 
 def _gather(bits: int, num: int, den: int):
     """For one block of texts: its rows, and the shared shingles of the sets that stay."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("live", pa.bool_()), ("ids", pa.binary()), ("freq", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("live", pa.bool_()), ("ids", pa.binary()), ("freq", pa.binary())])
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.combine_chunks().to_pylist()
         meta = next(r for r in rows if r["kind"] == 0)
         n = np.frombuffer(meta["cnt"], "<i8")
         lead = np.frombuffer(meta["h"], np.uint8).astype(bool)
-        ids, known = np.frombuffer(meta["doc"][: 8 * len(n)], "<i8"), np.frombuffer(meta["doc"][8 * len(n) :], np.uint8).astype(bool)
+        (ids, texts), known = np.frombuffer(meta["doc"][: 16 * len(n)], "<i8").reshape(2, -1), np.frombuffer(meta["doc"][16 * len(n) :], np.uint8).astype(bool)
         owner, low, freq = [], [], []
         for r in rows:
             if r["kind"] == 1:
@@ -184,7 +192,7 @@ def _gather(bits: int, num: int, den: int):
         live = lead & (n > 0) & (np.diff(at) * den >= n * num)
         digests = [meta["digest"][16 * i : 16 * i + 16] if n[i] else None for i in range(len(n))]
         return pa.table([
-            pa.array(ids, mask=~known), pa.array(n), pa.array(digests, pa.binary()), pa.array(live),
+            pa.array(ids, mask=~known), pa.array(texts), pa.array(n), pa.array(digests, pa.binary()), pa.array(live),
             pa.array([low[at[i] : at[i + 1]].tobytes() if v else None for i, v in enumerate(live)], pa.binary()),
             pa.array([freq[at[i] : at[i + 1]].tobytes() if v else None for i, v in enumerate(live)], pa.binary()),
         ], schema=schema)
@@ -213,9 +221,9 @@ def _prefix(num: int, den: int):
     return run
 
 
-def _neighbours(num: int, den: int):
-    """Ties sets that post the same shingle and whose sizes can link: each to the first of its run."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _neighbours(num: int, den: int, few: int):
+    """Sets that post the same shingle and whose sizes can link: pairs of short lists, ties to the first one of long lists."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("long", pa.bool_())])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -224,13 +232,22 @@ def _neighbours(num: int, den: int):
         s, n = s[order], n[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (n[:-1] * den < n[1:] * num)
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        a, b = order[head[~new]], order[~new]
+        heads = np.flatnonzero(new)
+        run_of = np.cumsum(new) - 1
+        long = (np.diff(np.append(heads, len(s))) > few)[run_of]
+        tied = np.flatnonzero(~new & long)
+        a, b = [heads[run_of[tied]]], [tied]
+        for step in range(1, few):
+            y = np.flatnonzero(~long[step:] & (run_of[step:] == run_of[:-step])) + step
+            y = y[n[y - step] * den >= n[y] * num]
+            a.append(y - step)
+            b.append(y)
+        kind = np.repeat([1, 0], [len(tied), sum(map(len, b[1:]))])
         # the same two sets meet in many shingles of this range: once is enough
         codes = t.column("digest").combine_chunks().dictionary_encode()
         code = np.array(codes.indices)
-        pairs = np.unique(np.stack([code[a], code[b]]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.table([codes.dictionary.take(pa.array(pairs[0])), codes.dictionary.take(pa.array(pairs[1]))], schema=schema)
+        pairs = np.unique(np.stack([code[order[np.concatenate(a)]], code[order[np.concatenate(b)]], kind]), axis=1)
+        return pa.table([codes.dictionary.take(pa.array(pairs[0])), codes.dictionary.take(pa.array(pairs[1])), pa.array(pairs[2] == 1)], schema=schema)
 
     return run
 
@@ -319,11 +336,108 @@ def _search(num: int, den: int):
     return run
 
 
+def _common(x: bytes, y: bytes) -> int:
+    """Number of shingles that two sets share."""
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
+
+def _check_pairs(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("an", "bn", "ai", "bi")))
+            ok = [_common(x, y) * (num + den) >= num * (m + n) for m, n, x, y in rows]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _zones(num: int, den: int):
+    """Where each set lies from its block's pivot: 0 linked, 1 within twice the distance of a link, 2 beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            zone = []
+            for n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("n", "ids", "pn", "pids"))):
+                c = _common(x, y)
+                zone.append(0 if c * (num + den) >= num * (m + n) else 1 if c * 2 * num >= (2 * num - den) * (m + n) else 2)
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("n"), b.column("digest"), b.column("ids"), b.column("pivot"), pa.array(zone, pa.int32())], ["label", "n", "digest", "ids", "pivot", "zone"])
+
+    return run
+
+
+def _bridge(num: int, den: int):
+    """Links between the sets near a pivot (zone 1) and a piece of those linked with it (zone 0): one for each of the former is enough."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(t: pa.Table) -> pa.Table:
+        zone, sizes, digests = np.array(t.column("zone")), np.array(t.column("n")), t.column("digest").to_pylist()
+        near, inner = np.flatnonzero(zone == 1), np.flatnonzero(zone == 0)
+        if not len(near) or not len(inner):
+            return schema.empty_table()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("ids").to_pylist()]
+        tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+        index = Index(sizes, tokens, np.concatenate([[0], np.cumsum([len(x) for x in sets])]), num, den)
+        index.build(inner)
+        none, links = np.zeros(len(sizes), bool), []
+        for q in near.tolist():
+            links += [(digests[q], digests[d]) for d in index.search(q, none)[:1].tolist()]
+        return pa.table([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], schema=schema)
+
+    return run
+
+
+def _pair_links(pairs: DataFrame, block: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among pairs (a, b) whose sets are not in one block."""
+    for side in "ab":
+        pairs = pairs.join(block.select(F.col("node").alias(side), F.col("label").alias(side + "l")), side, "left")
+    pairs = pairs.where("al is null or bl is null or al <> bl").select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("digest").alias(side), F.col("n").alias(side + "n"), F.col("ids").alias(side + "i")), side)
+    return pairs.mapInArrow(_check_pairs(num, den), "a binary, b binary")
+
+
+def _block_links(member: DataFrame, scratch: Scratch, num: int, den: int) -> list[DataFrame]:
+    """Links that join the classes inside blocks; member: label, n, digest, ids."""
+    links, two, held = [], "a binary, b binary", []
+    size = [F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("ids")).alias("bytes")]
+    crowded = (F.col("sets") > CROWD) | (F.col("bytes") > BLOCK_BYTES)
+    for _ in range(ROUNDS):
+        sums = scratch.keep(member.groupBy("label").agg(*size), "sums")
+        busy = sums.where(crowded).select("label")
+        held.append(sums)
+        if not busy.limit(1).count():
+            break
+        calm = member.join(sums.where(~crowded).select("label"), "label", "left_semi")
+        links.append(scratch.keep(calm.groupBy("label").applyInArrow(_search(num, den), two), "links"))
+        open_ = member.join(busy, "label", "left_semi")
+        pick = open_.groupBy("label").agg(F.min("digest").alias("pivot"))
+        pivots = open_.join(pick, "label").where("digest = pivot").select("label", "pivot", F.col("n").alias("pn"), F.col("ids").alias("pids"))
+        zoned = scratch.keep(open_.join(pivots, "label").mapInArrow(_zones(num, den), "label binary, n long, digest binary, ids binary, pivot binary, zone int"), "zones")
+        links.append(zoned.where("zone = 0 and digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")))
+        inner = zoned.where("zone = 0").groupBy("label").agg(*size)
+        pieces = F.greatest(F.least(F.ceil(F.col("sets") / CROWD), F.lit(16)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+        dealt = zoned.where("zone < 2").join(inner.select("label", pieces.alias("pieces")), "label")
+        every = F.when(F.col("zone") == 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")))
+        bridged = dealt.withColumn("piece", F.explode(every)).select("label", "piece", "zone", "n", "digest", "ids").groupBy("label", "piece").applyInArrow(_bridge(num, den), two)
+        links.append(scratch.keep(bridged, "links"))
+        member = zoned.where("zone > 0").select("label", "n", "digest", "ids")
+        held.append(zoned)
+    # what is left, mostly nothing but small blocks, in pieces of bounded size
+    pieces = member.groupBy("label").agg(F.ceil(F.sum(F.octet_length("ids")) / BLOCK_BYTES).cast("int").alias("pieces"))
+    mine = F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")
+    placed = member.join(pieces, "label").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    placed = placed.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    links.append(scratch.keep(placed.select("label", "x", "y", "n", "digest", "ids").groupBy("label", "x", "y").applyInArrow(_search(num, den), two), "links"))
+    return links
+
+
 def ngram_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id (and class_size, the rows of the class) for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text); also text_hash (of the whole text),
+    class_key (the same for all rows of a class, null without shingles) and class_size (its rows)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "ngram")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, size / 6 / RANGE_ITEMS)))))
 
@@ -334,28 +448,28 @@ def ngram_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     live = sets.where("live").select("n", "digest", "ids", "freq")
     parts = max(8, 1 << bits)
     near = live.mapInArrow(_prefix(num, den), "shingle long, n long, digest binary").groupBy(F.pmod(F.xxhash64("shingle"), F.lit(parts)).alias("part"))
-    tied = near.applyInArrow(_neighbours(num, den), "a binary, b binary")
-    block = components(tied, scratch)
-
-    member = live.select("n", "digest", "ids").join(block.withColumnRenamed("node", "digest"), "digest").dropDuplicates(["digest"])
-    member = scratch.keep(member, "members")
-    pieces = member.groupBy("label").agg(F.ceil(F.sum(F.octet_length("ids")) / BLOCK_BYTES).cast("int").alias("pieces"))
-    mine = F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")
-    placed = member.join(pieces, "label").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-    links = placed.select("label", "x", "y", "n", "digest", "ids").groupBy("label", "x", "y").applyInArrow(_search(num, den), "a binary, b binary")
+    met = scratch.keep(near.applyInArrow(_neighbours(num, den, FEW), "a binary, b binary, long boolean"), "met")
+    block = components(met.where("long").select("a", "b"), scratch)
+    pairs = scratch.keep(met.where("not long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+
+    asked = block.select(F.col("node").alias("digest")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    member = scratch.keep(live.select("n", "digest", "ids").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "members")
+    links = scratch.keep(_pair_links(pairs, block, member, num, den), "links")
+    tied = member.join(block.withColumnRenamed("node", "digest"), "digest").select("label", "n", "digest", "ids")
+    for more in _block_links(tied, scratch, num, den):
+        links = links.unionByName(more)
     label = components(links, scratch)
 
     named = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     named = named.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("class_size"))
-    by_set = named.select("digest", "label").join(classes, "label").drop("label")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    by_set = named.select("digest", "label").join(classes, "label")
+    out = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash", F.col("label").alias("class_key"))
     out = scratch.keep(out, "classes")
-    scratch.drop(sets, block, member, label)
+    scratch.clear(out)
     return out
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return ngram_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "class_size")

@@ -15,11 +15,13 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests), a local one that is then set."""
+    """The folder named by spark.checkpoint.dir; where unset in local mode (tests), a local one that is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,6 +46,16 @@ class Scratch:
         out._mnemo_path = path
         return out
 
+    def clear(self, *but: DataFrame) -> None:
+        """Removes all tables of this folder but those given, which hold results."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(conf)
+        kept = {t._mnemo_path.rsplit("/", 1)[-1] for t in but}
+        for found in fs.listStatus(root) if fs.exists(root) else ():
+            if found.getPath().getName() not in kept:
+                fs.delete(found.getPath(), True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -64,10 +64,13 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.ngram_classes(empty).count() == 0
 
 
-def test_ngram_blocks_in_pieces(docs, monkeypatch):
-    whole = bag(ngram_join.ngram_classes(docs).collect(), "doc_id", "component_id")
-    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4000)
-    assert bag(ngram_join.ngram_classes(docs).collect(), "doc_id", "component_id") == whole
+@pytest.mark.parametrize("few, crowd, rounds, most", [(6, 3, 8, 4000), (2, 2, 1, 4000), (2, 5, 3, 10**7), (50, 200, 8, 10**7)])
+def test_ngram_paths_agree(docs, monkeypatch, few, crowd, rounds, most):
+    """Pairs, blocks, pivots and pieces give the same classes."""
+    whole = bag(ngram_join.ngram_classes(docs).collect(), "doc_id", "component_id", "class_size")
+    for name, value in (("FEW", few), ("CROWD", crowd), ("ROUNDS", rounds), ("BLOCK_BYTES", most)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert bag(ngram_join.ngram_classes(docs).collect(), "doc_id", "component_id", "class_size") == whole
 
 
 def test_divide_skip_equals_pairs():
