@@ -125,7 +125,7 @@ def windows(values: np.ndarray, per_text: np.ndarray, k: int) -> tuple[np.ndarra
     if not offs[-1]:
         return np.zeros(0, np.uint64), offs
     h = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         h[: n - j] = h[: n - j] * _B + values[j:]
     h = mix(h)
     at = np.repeat(per_text[:-1] - offs[:-1], runs) + np.arange(offs[-1])

@@ -154,7 +154,58 @@ def test_mix(docs, rows, empty):
     again = mixing.mix(docs.repartition(3)).collect()
     assert bag(again, "doc_id", "size", "taken") == bag(got, "doc_id", "size", "taken")
     assert mixing.mix(empty).count() == 0
-    assert mixing.mixed(docs).columns == docs.columns
+
+
+def plain_schedule(quotas, slots):
+    """slot of each (source, rank), from golden-ratio points one by one; quotas: source -> blocks, in order."""
+    scale, at, out = 1 << 31, 0, {}
+    spans = []
+    for source, q in quotas.items():
+        spans.append((at * scale // slots, (at + q) * scale // slots, source))
+        at += q
+    seen = Counter()
+    for i in range(slots):
+        point = i * mixing._GOLDEN % scale
+        source = next(s for lo, hi, s in spans if lo <= point < hi)
+        if seen[source] < quotas[source]:
+            out[source, seen[source]] = i
+        seen[source] += 1
+    for source, q in quotas.items():
+        for rank in range(min(q, seen[source]), q):
+            out[source, rank] = slots + rank
+    return out
+
+
+def test_mix_follows_the_schedule(docs):
+    got = [r for r in mixing.mix(docs).collect()]
+    words = {r["source"]: round(r["target"]) for r in got}
+    order = sorted((s for s in words if s is not None), key=lambda s: s.encode()) + [s for s in words if s is None]
+    quotas = {s: -(-words[s] // mixing.BLOCK) for s in order if words[s]}
+    slot = plain_schedule(quotas, sum(quotas.values()))
+    for r in got:
+        begins = [r["start"] + t * r["source_size"] for t in range(3)] if r["size"] else []
+        want = [slot[r["source"], b // mixing.BLOCK] if b < words[r["source"]] else None for b in begins]
+        assert list(r["slots"] or []) == (want if any(w is not None for w in want) else [])
+        assert r["first_slot"] == min((w for w in want if w is not None), default=None)
+    # the golden ratio deals no source its blocks in a row
+    assert [s for (s, _), i in sorted(slot.items(), key=lambda x: x[1])][: len(quotas)] != [order[0]] * len(quotas)
+
+
+def test_mixed_rows(spark, docs, rows):
+    names = docs.columns
+    got = mixing.mixed(docs)
+    assert got.columns == names
+    got = [tuple(r) for r in got.collect()]
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"]] += int((2 * r["taken"] + r["size"]) / (2 * max(r["size"], 1)))
+    assert Counter((r[0], len(words(r[1]))) for r in got) == +want
+    assert set(got) <= set(rows)
+    # three equal rows share what they get, and rows that differ in another column stay themselves
+    same = spark.createDataFrame([(1, "a b c", "x", i) for i in range(3)] + [(2, "d e", "y", 9)], "doc_id long, text string, source string, other long")
+    taken = Counter(r["other"] for r in mixing.mixed(same).where("doc_id = 1").collect())
+    assert max(taken.values()) - min(taken.get(i, 0) for i in range(3)) <= 1
+    assert [tuple(r) for r in mixing.mixed(docs).collect()] == got  # in order, too
 
 
 def test_schedule_is_even(spark):
@@ -442,3 +493,38 @@ def test_pipeline(spark, docs, rows, empty, tmp_path):
     assert got.count() == now.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_one_of_each_class_row_by_row(spark, docs, rows, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sets = [shingles(r[1]) for r in rows]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    groups = defaultdict(list)
+    for i, root in classes(links, range(len(rows))).items():
+        groups[root].append(rows[i])
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_class(spark, docs, "").collect()]
+    left = Counter(got)
+    for members in groups.values():
+        inside = [r for r in members if left[r]]
+        assert len(members) == 1 and inside or sum(left[r] for r in set(inside)) == 1 or not shingles(members[0][1])
+        assert min((r[0] is None, r[0]) for r in members) == (inside[0][0] is None, inside[0][0])
+    assert sum(not shingles(r[1]) for r in got) == sum(not s for s in sets)
+    # rows that share a doc_id, but not their texts, all stay
+    odd = spark.createDataFrame([(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, "seven eight nine ten eleven twelve"), (None, "thirteen words"), (None, "")], "doc_id long, text string")
+    assert Counter(r["text"] for r in corpus_pipeline.one_of_each_class(spark, odd, "").collect()) == Counter({r["text"]: 1 for r in odd.collect()})
+
+
+def test_near_copy_goes_through_all_stages(spark):
+    """A planted near copy, whose lines no other text shares, is caught after the quality and line stages; the clean ones stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    texts = {i: [word() for _ in range(150)] for i in range(12)}
+    texts[50] = list(texts[3])
+    for at in (10, 60, 110):
+        texts[50][at] = word()
+    rows = [(i, " ".join(t), "en", f"s{i % 2}", 0) for i, t in texts.items()]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, "")
+        assert {r["doc_id"] for r in now.select("doc_id").collect()} == (set(range(12)) if name == "near_duplicates" else set(texts))
