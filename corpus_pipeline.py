@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemograph.llm import line_dedup, mixing, ngram_join, packing, quality
-from mnemograph.llm.shared import Scratch, table
+from mnemograph.llm.shared import Scratch, table, word_count
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,18 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near duplicates; those without a doc_id stay."""
-    classes = ngram_join.ngram_classes(docs.select("doc_id", "text"))
-    heads = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    """One row of each class of near duplicates: that of the smallest doc_id (null last) and, of those, text hash.
+
+    Of rows that repeat this doc_id and text, one stays. Texts without words link with nothing, so all of them stay.
+    """
+    classes = ngram_join.ngram_classes(docs.select("doc_id", "text")).where("class_key is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("f")
+    heads = classes.groupBy("class_key").agg(first).select(F.col("f.doc_id").alias("_d"), F.col("f.text_hash").alias("_t")).distinct()
     # whole rows travel as one column, so that their names clash with none here
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    headed = rows.join(heads, F.col("_id") == F.col("_head"), "left_semi").dropDuplicates(["_id"])
-    return headed.unionByName(rows.where("_id is null")).select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    rows = rows.select("row", "_id", F.xxhash64("_text").alias("_h"), (word_count(F.col("_text")) > 0).alias("_words"))
+    headed = rows.where("_words").join(heads, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left_semi").dropDuplicates(["_id", "_h"])
+    return headed.unionByName(rows.where("not _words")).select("row.*")
 
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
