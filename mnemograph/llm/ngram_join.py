@@ -17,8 +17,10 @@ returns each row's class. It is exact: no sampling, no caps.
 4. *Crowded blocks*, of more than ``CROWD`` sets, are cut down by pivots first. All sets are compared with one of them.
    Those that link with it are of its class and leave; as the Jaccard distance is a metric, only sets within twice the
    distance of a link can link with any of these, and only they are searched for in the leaving ones, which are dealt
-   over many tasks. A tight group is gone after one round, and no task holds it. What remains after ``ROUNDS`` rounds is
-   searched in pieces, two by two.
+   over many tasks. Of the sets that are left, those found so are of one class, and need no links among themselves: if
+   the others are few, they are searched for in pieces of them. Else the next pivot follows. A group of copies, however
+   large, is gone after a round or two, and no task holds it. What remains after ``ROUNDS`` rounds is searched in pieces,
+   two by two.
 
 Nulls and texts without words have no shingles and link with nothing. Repeated rows are kept, a null doc_id too (a
 class's id is its smallest non-null doc_id). Other columns are not read, whatever their names.
@@ -28,9 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +48,7 @@ NUM, DEN = 3, 4
 RANGE_ITEMS = 3_000_000
 BLOCK_BYTES = 24_000_000
 #: Sets of a list that are paired, sets of a block that one task searches, and most rounds of pivots.
-FEW, CROWD, ROUNDS = 6, 200, 8
+FEW, CROWD, ROUNDS = 6, 200, 6
 _LOW = np.uint64((1 << 48) - 1)
 
 _POSTS = "bucket int, origin long, doc binary, cnt binary, digest binary, h binary"
@@ -357,10 +361,10 @@ def _zones(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             zone = []
-            for n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("n", "ids", "pn", "pids"))):
+            for n, x, m, y, own in zip(*(b.column(c).to_pylist() for c in ("n", "ids", "pn", "pids")), pa.compute.equal(b.column("digest"), b.column("pivot")).to_pylist()):
                 c = _common(x, y)
-                zone.append(0 if c * (num + den) >= num * (m + n) else 1 if c * 2 * num >= (2 * num - den) * (m + n) else 2)
-            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("n"), b.column("digest"), b.column("ids"), b.column("pivot"), pa.array(zone, pa.int32())], ["label", "n", "digest", "ids", "pivot", "zone"])
+                zone.append(0 if own or c * (num + den) >= num * (m + n) else 1 if c * 2 * num >= (2 * num - den) * (m + n) else 2)
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("n"), b.column("digest"), b.column("ids"), b.column("inside"), b.column("pivot"), pa.array(zone, pa.int32())], ["label", "n", "digest", "ids", "inside", "pivot", "zone"])
 
     return run
 
@@ -396,38 +400,57 @@ def _pair_links(pairs: DataFrame, block: DataFrame, sets: DataFrame, num: int, d
     return pairs.mapInArrow(_check_pairs(num, den), "a binary, b binary")
 
 
+_SIZE = [F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("ids")).alias("bytes")]
+
+
+def _bridges(zoned: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets of zone 1 and sets of zone 0 of a block; the latter are dealt in pieces, the former go to each."""
+    pieces = F.greatest(F.least(F.ceil(F.col("sets") / CROWD), F.lit(16)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = zoned.join(zoned.where("zone = 0").groupBy("label").agg(*_SIZE).select("label", pieces.alias("pieces")), "label")
+    every = F.when(F.col("zone") == 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")))
+    return dealt.withColumn("piece", F.explode(every)).select("label", "piece", "zone", "n", "digest", "ids").groupBy("label", "piece").applyInArrow(_bridge(num, den), "a binary, b binary")
+
+
 def _block_links(member: DataFrame, scratch: Scratch, num: int, den: int) -> list[DataFrame]:
     """Links that join the classes inside blocks; member: label, n, digest, ids."""
-    links, two, held = [], "a binary, b binary", []
-    size = [F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("ids")).alias("bytes")]
-    crowded = (F.col("sets") > CROWD) | (F.col("bytes") > BLOCK_BYTES)
-    for _ in range(ROUNDS):
-        sums = scratch.keep(member.groupBy("label").agg(*size), "sums")
-        busy = sums.where(crowded).select("label")
-        held.append(sums)
-        if not busy.limit(1).count():
+    links, ready = [], []
+    # inside: in the class of the block's first pivot, so that two such sets need no link of their own
+    member = member.withColumn("inside", F.lit(False))
+    unknown = F.when(~F.col("inside"), F.octet_length("ids"))
+    for turn in range(ROUNDS):
+        sums = member.groupBy("label").agg(*_SIZE, F.count(unknown).alias("open"), F.coalesce(F.sum(unknown), F.lit(0)).alias("weight"))
+        calm = (F.col("sets") <= CROWD) & (F.col("bytes") <= BLOCK_BYTES)
+        few = F.lit(turn > 0) & (F.col("open") <= 10 * CROWD) & (F.col("weight") <= BLOCK_BYTES // 4)
+        state = F.when(F.col("open") == 0, "done").when(calm, "calm").when(few, "few").otherwise("busy")
+        sums = scratch.keep(sums.select("label", state.alias("state")), "sums")
+        found = {r["state"] for r in sums.select("state").distinct().collect()}
+        placed = member.join(sums, "label")
+        ready.append(placed.where("state = 'calm' or state = 'few' and not inside"))
+        if "few" in found:
+            sides = placed.where("state = 'few'").withColumn("zone", F.when(F.col("inside"), 0).otherwise(1))
+            links.append(scratch.keep(_bridges(sides, num, den), "links"))
+        if "busy" not in found:
+            member = None
             break
-        calm = member.join(sums.where(~crowded).select("label"), "label", "left_semi")
-        links.append(scratch.keep(calm.groupBy("label").applyInArrow(_search(num, den), two), "links"))
-        open_ = member.join(busy, "label", "left_semi")
-        pick = open_.groupBy("label").agg(F.min("digest").alias("pivot"))
+        open_ = placed.where("state = 'busy'")
+        pick = open_.where("not inside").groupBy("label").agg(F.min("digest").alias("pivot"))
         pivots = open_.join(pick, "label").where("digest = pivot").select("label", "pivot", F.col("n").alias("pn"), F.col("ids").alias("pids"))
-        zoned = scratch.keep(open_.join(pivots, "label").mapInArrow(_zones(num, den), "label binary, n long, digest binary, ids binary, pivot binary, zone int"), "zones")
+        zoned = open_.join(pivots, "label").mapInArrow(_zones(num, den), "label binary, n long, digest binary, ids binary, inside boolean, pivot binary, zone int")
+        zoned = scratch.keep(zoned, "zones")
         links.append(zoned.where("zone = 0 and digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")))
-        inner = zoned.where("zone = 0").groupBy("label").agg(*size)
-        pieces = F.greatest(F.least(F.ceil(F.col("sets") / CROWD), F.lit(16)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-        dealt = zoned.where("zone < 2").join(inner.select("label", pieces.alias("pieces")), "label")
-        every = F.when(F.col("zone") == 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")))
-        bridged = dealt.withColumn("piece", F.explode(every)).select("label", "piece", "zone", "n", "digest", "ids").groupBy("label", "piece").applyInArrow(_bridge(num, den), two)
-        links.append(scratch.keep(bridged, "links"))
-        member = zoned.where("zone > 0").select("label", "n", "digest", "ids")
-        held.append(zoned)
-    # what is left, mostly nothing but small blocks, in pieces of bounded size
-    pieces = member.groupBy("label").agg(F.ceil(F.sum(F.octet_length("ids")) / BLOCK_BYTES).cast("int").alias("pieces"))
+        bridged = scratch.keep(_bridges(zoned.where("zone < 2"), num, den), "links")
+        links.append(bridged)
+        member = zoned.where("zone > 0").select("label", "n", "digest", "ids", "inside")
+        if turn == 0:
+            hit = bridged.select(F.col("a").alias("digest")).distinct().withColumn("hit", F.lit(True))
+            member = member.join(hit, "digest", "left").select("label", "n", "digest", "ids", F.col("hit").isNotNull().alias("inside"))
+    left = reduce(DataFrame.unionByName, [x.select("label", "n", "digest", "ids") for x in [*ready, member] if x is not None])
+    # mostly small blocks; what the rounds have left of a large one is cut into pieces
+    pieces = left.groupBy("label").agg(F.ceil(F.sum(F.octet_length("ids")) / BLOCK_BYTES).cast("int").alias("pieces"))
     mine = F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")
-    placed = member.join(pieces, "label").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    placed = left.join(pieces, "label").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     placed = placed.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-    links.append(scratch.keep(placed.select("label", "x", "y", "n", "digest", "ids").groupBy("label", "x", "y").applyInArrow(_search(num, den), two), "links"))
+    links.append(scratch.keep(placed.select("label", "x", "y", "n", "digest", "ids").groupBy("label", "x", "y").applyInArrow(_search(num, den), "a binary, b binary"), "links"))
     return links
 
 
