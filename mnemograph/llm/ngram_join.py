@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, components, table
@@ -400,13 +400,14 @@ def _pair_links(pairs: DataFrame, block: DataFrame, sets: DataFrame, num: int, d
     return pairs.mapInArrow(_check_pairs(num, den), "a binary, b binary")
 
 
-_SIZE = [F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("ids")).alias("bytes")]
+def _size() -> list[Column]:
+    return [F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("ids")).alias("bytes")]
 
 
 def _bridges(zoned: DataFrame, num: int, den: int) -> DataFrame:
     """Links between sets of zone 1 and sets of zone 0 of a block; the latter are dealt in pieces, the former go to each."""
     pieces = F.greatest(F.least(F.ceil(F.col("sets") / CROWD), F.lit(16)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = zoned.join(zoned.where("zone = 0").groupBy("label").agg(*_SIZE).select("label", pieces.alias("pieces")), "label")
+    dealt = zoned.join(zoned.where("zone = 0").groupBy("label").agg(*_size()).select("label", pieces.alias("pieces")), "label")
     every = F.when(F.col("zone") == 1, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest"), F.col("pieces").cast("long")).cast("int")))
     return dealt.withColumn("piece", F.explode(every)).select("label", "piece", "zone", "n", "digest", "ids").groupBy("label", "piece").applyInArrow(_bridge(num, den), "a binary, b binary")
 
@@ -418,7 +419,7 @@ def _block_links(member: DataFrame, scratch: Scratch, num: int, den: int) -> lis
     member = member.withColumn("inside", F.lit(False))
     unknown = F.when(~F.col("inside"), F.octet_length("ids"))
     for turn in range(ROUNDS):
-        sums = member.groupBy("label").agg(*_SIZE, F.count(unknown).alias("open"), F.coalesce(F.sum(unknown), F.lit(0)).alias("weight"))
+        sums = member.groupBy("label").agg(*_size(), F.count(unknown).alias("open"), F.coalesce(F.sum(unknown), F.lit(0)).alias("weight"))
         calm = (F.col("sets") <= CROWD) & (F.col("bytes") <= BLOCK_BYTES)
         few = F.lit(turn > 0) & (F.col("open") <= 10 * CROWD) & (F.col("weight") <= BLOCK_BYTES // 4)
         state = F.when(F.col("open") == 0, "done").when(calm, "calm").when(few, "few").otherwise("busy")
