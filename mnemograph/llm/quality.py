@@ -1,9 +1,9 @@
 """Quality rules (operator 4): a rule bitmask ledger.
 
-``measure`` evaluates every rule once over every whole text and stores its measurements; ``ledger`` turns them into a
-mask of failure bits, one for each rule of ``RULES``. A policy is a versioned set of bits (``POLICIES``): applying one,
-or counting what would change without one of its rules (``ablation``), is bit arithmetic on the stored masks and reads
-no text again.
+``measure`` evaluates every rule once over every whole text; ``ledger`` turns the measurements into a mask of failure
+bits, one for each rule of ``RULES``. ``write_ledger`` stores both, without the texts, as a table. A policy is a versioned
+set of bits (``POLICIES``): applying all of them (``verdicts``), or counting what would change without one of a policy's
+rules (``ablation``), is bit arithmetic on the stored masks and reads no text again.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. A null text is an empty one: it has no words and fails. Repeated rows are kept. An empty
 table gives an empty result. Other columns are not read. Letters and capitals are those of every script.
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
-from .textblocks import Words, blocks, text_bytes, windows
+from .shared import Scratch, table
+from .textblocks import Words, blocks, span_hashes, text_bytes, windows
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_lines")
@@ -86,22 +86,35 @@ def _repeats(words: Words, k: int = 3) -> np.ndarray:
     return _by_text(covered[: len(words.starts)], words.per_text)
 
 
+def _lines(raw: np.ndarray, offs: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """By text, the lines (cut at line feeds), and those with a word that equal an earlier line."""
+    feeds = np.flatnonzero(raw == 10)
+    per = np.searchsorted(feeds, offs)
+    counts = np.diff(per) + 1
+    at = np.concatenate([[0], np.cumsum(counts)])
+    # a text's first line begins with the text, and its last one ends with it
+    starts, ends = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
+    inner = np.ones(at[-1], bool)
+    inner[at[:-1]] = False
+    starts[at[:-1]], starts[inner] = offs[:-1], feeds + 1
+    inner[:] = True
+    inner[at[1:] - 1] = False
+    ends[at[1:] - 1], ends[inner] = offs[1:], feeds
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    some = np.concatenate([[0], np.cumsum(words.inside)])
+    lines = np.flatnonzero(some[ends] > some[starts])
+    h, owner = span_hashes(raw, starts[lines], ends[lines]), text_of[lines]
+    order = np.lexsort((h, owner))
+    again = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    return counts, np.bincount(owner[order][1:][again], minlength=len(counts))
+
+
 def _measures(column: pa.Array) -> list[pa.Array]:
     raw, offs = text_bytes(column)
     words = Words(raw, offs)
     upper, letter = _cased(raw)
-    lines, again = [], []
-    for text in column.to_pylist():
-        parts = (text or "").split("\n")
-        seen, dups = set(), 0
-        for line in parts:
-            if line in seen:
-                dups += bool(line.strip(" \t\n\x0b\x0c\r"))
-            else:
-                seen.add(line)
-        lines.append(len(parts))
-        again.append(dups)
-    got = [words.counts, _by_text(words.inside & ((raw & 0xC0) != 0x80), offs), _by_text(_SYMBOL[raw], offs), np.array(again), _repeats(words), _by_text(upper, offs), _by_text(letter, offs), np.array(lines)]
+    lines, again = _lines(raw, offs, words)
+    got = [words.counts, _by_text(words.inside & ((raw & 0xC0) != 0x80), offs), _by_text(_SYMBOL[raw], offs), again, _repeats(words), _by_text(upper, offs), _by_text(letter, offs), lines]
     return [pa.array(x.astype(np.int64)) for x in got]
 
 
@@ -126,9 +139,24 @@ def ledger(measured: DataFrame) -> DataFrame:
     return measured.withColumn("failures", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
+def write_ledger(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The stored ledger of ``docs`` (doc_id, text): doc_id, one long for each of ``MEASURES``, failures."""
+    book = ledger(measure(docs.select("doc_id", "text")))
+    return scratch.keep(book.select("row.doc_id", *MEASURES, "failures"), "ledger")
+
+
+def _passes(policy: str) -> Column:
+    return F.col("failures").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
+
+
 def apply_policy(book: DataFrame, policy: str = POLICY) -> DataFrame:
     """Adds ``kept``: whether no bit of the policy is set."""
-    return book.withColumn("kept", F.col("failures").bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0)
+    return book.withColumn("kept", _passes(policy))
+
+
+def verdicts(book: DataFrame) -> DataFrame:
+    """Adds ``kept_<version>`` for each policy, all from one mask."""
+    return book.withColumns({f"kept_{version}": _passes(version) for version in POLICIES})
 
 
 def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
@@ -146,5 +174,31 @@ def keep_good(docs: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(measure(table(spark, sf_dir, "documents").select("doc_id", "text"))))
-    return book.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failures").bitwiseAND(F.lit(BASE).cast("long")) != 0).alias("base_failed"), "kept", "failures")
+    book = verdicts(apply_policy(write_ledger(table(spark, sf_dir, "documents"), Scratch(spark, "quality"))))
+    failed = (F.col("failures").bitwiseAND(F.lit(BASE).cast("long")) != 0).alias("base_failed")
+    return book.select("doc_id", *MEASURES[:5], failed, "kept", "failures", *[f"kept_{v}" for v in POLICIES])
+
+
+_SPACES = r"\x09-\x0D\x20"
+#: Words, lines and windows are cut anew; the rules are those of RULES.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^{_SPACES}]+') AS w, string_split(t, chr(10)) AS l FROM d),
+g AS (SELECT r, i, list_slice(w, i, i + 2) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(3) AS s(j) GROUP BY r),
+m AS (
+  SELECT w.r, doc_id, len(w) AS n_words, length(regexp_replace(t, '[{_SPACES}]+', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(l, lambda x: regexp_matches(x, '[^{_SPACES}]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^{_SPACES}]')))) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+         length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters
+  FROM w LEFT JOIN covered USING (r)),
+f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN {BIT["too_few_words"]} ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN {BIT["repeated_windows"]} ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN {BIT["too_many_symbols"]} ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN {BIT["short_words"]} ELSE 0 END
+    + CASE WHEN word_chars > 15 * n_words THEN {BIT["long_words"]} ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN {BIT["repeated_lines"]} ELSE 0 END
+    + CASE WHEN 2 * n_upper > n_letters THEN {BIT["capitals"]} ELSE 0 END)::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & {BASE} <> 0 AS base_failed, failures & {POLICIES[POLICY]} = 0 AS kept, failures,
+       {", ".join(f"failures & {bits} = 0 AS kept_{v}" for v, bits in POLICIES.items())} FROM f
+"""

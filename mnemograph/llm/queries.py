@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_quality_rules": quality.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

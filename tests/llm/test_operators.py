@@ -229,9 +229,11 @@ def test_quality(docs, rows, empty):
             seen.add(line)
         return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dups, len(repeated)
 
-    book = quality.apply_policy(quality.ledger(quality.measure(docs)))
+    book = quality.verdicts(quality.apply_policy(quality.write_ledger(docs, Scratch(docs.sparkSession, "t"))))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    got = book.select("row.doc_id", *names, "failures", "kept").collect()
+    got = book.select("doc_id", *names, "failures", "kept", *[f"kept_{v}" for v in quality.POLICIES]).collect()
+    for version, bits in quality.POLICIES.items():
+        assert all(r[f"kept_{version}"] == (r["failures"] & bits == 0) for r in got)
     assert bag(got, "doc_id", *names) == Counter((r[0], *plain(r[1])) for r in rows)
     assert all(r["kept"] == (r["failures"] == 0) for r in got)
     failed = {r["rule"]: r["failed"] for r in quality.ablation(book).collect()}
@@ -278,6 +280,15 @@ def test_boundaries_are_optimal():
     cost = lambda ends: sum(c * min(e for e in ends if e >= u) for u, c in zip(upper, count))
     best = min(cost([*pick, upper[-1]]) for k in range(3) for pick in combinations(upper[:-1], k))
     assert cost(packing.boundaries(upper, count, 3)) == best
+    # long and many lengths, against the plain program
+    upper, count = np.sort(rng.choice(200_000, 300, replace=False)), rng.integers(1, 1000, 300)
+    total = np.concatenate([[0], np.cumsum(count)])
+    least = np.full(301, np.inf)
+    least[0] = 0
+    for _ in range(7):
+        least = np.array([np.inf] + [min(least[i] + upper[j - 1] * (total[j] - total[i]) for i in range(j)) for j in range(1, 301)])
+    ends = packing.boundaries(upper, count, 7)
+    assert len(ends) <= 7 and sum(int(c) * min(e for e in ends if e >= u) for u, c in zip(upper, count)) == least[300]
 
 
 def test_jpeg(docs, rows, empty):
