@@ -2,7 +2,7 @@
 
 A text is cut after each byte at which the gear hash of the last ``WINDOW`` bytes has ``CUT_BITS`` leading zeros (and
 after ``MOST`` bytes without a cut), so cuts depend on nearby bytes alone: an insertion moves the chunks behind it but
-does not change them. Chunks are deduplicated by a 64-bit digest: of equal chunks, the one with the smallest
+does not change them. Chunks are deduplicated by a 128-bit digest (two 64-bit hashes of their bytes): of equal chunks, the one with the smallest
 (doc_id, place) stays. As a chunk may be a few bytes that recur by chance, later copies are removed where a run of
 neighbouring ones has at least ``LEAST_RUN`` bytes.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import Scratch, table
 from .textblocks import blocks, ragged, span_hashes, text_bytes
 
-WINDOW, CUT_BITS, MOST, LEAST_RUN = 16, 5, 512, 96
+WINDOW, CUT_BITS, MOST, LEAST_RUN = 16, 5, 512, 128
 RANGE_ITEMS = 1_500_000
 _GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -55,15 +55,22 @@ _FLAGS = pa.schema([("bucket", pa.int32()), ("origin", pa.int64()), ("flags", pa
 _OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans")), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Which entries of sorted keys differ from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
 def _post(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, most=2_000_000):
                 origin += 1
                 raw, offs = text_bytes(b.column("text"))
                 starts, per = chunk_bounds(raw, offs)
-                digest = span_hashes(raw, starts[:-1], starts[1:])
+                digest, more = (span_hashes(x, starts[:-1], starts[1:]) for x in (raw, raw ^ np.uint8(0x55)))
                 column = b.column("doc_id").cast(pa.int64())
                 known = np.array(column.is_valid())
                 ids = np.where(known, np.array(column.fill_null(0)), np.iinfo(np.int64).min)
@@ -71,14 +78,12 @@ def _post(bits: int):
                 # the first of equal chunks of this block, in the order of doc_id
                 rank = np.empty(len(ids), np.int64)
                 rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                order = np.lexsort((starts[:-1], rank[text], digest))
-                d = digest[order]
-                new = np.ones(len(d), bool)
-                new[1:] = d[1:] != d[:-1]
-                inverse = np.empty(len(d), np.int64)
+                order = np.lexsort((starts[:-1], rank[text], more, digest))
+                new = _heads(digest[order], more[order])
+                inverse = np.empty(len(order), np.int64)
                 inverse[order] = np.cumsum(new) - 1
                 lead = order[new]
-                one, times = digest[lead], np.diff(np.append(np.flatnonzero(new), len(d)))
+                one, two, times = digest[lead], more[lead], np.diff(np.append(np.flatnonzero(new), len(order)))
                 bucket = (one >> np.uint64(64 - bits)).astype(np.int64)
                 meta = np.concatenate([np.diff(starts), inverse, lead, times]).astype("<i4").tobytes()
                 counts = np.array([len(digest), len(one)], "<i8").tobytes()
@@ -87,7 +92,7 @@ def _post(bits: int):
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
                     if j > i:
-                        rows.append((int(bucket[i]), origin, one[i:j].astype("<u8").tobytes(), text[lead[i:j]].astype("<i4").tobytes(), ids.astype("<i8").tobytes(), None))
+                        rows.append((int(bucket[i]), origin, one[i:j].astype("<u8").tobytes(), text[lead[i:j]].astype("<i4").tobytes(), ids.astype("<i8").tobytes(), two[i:j].astype("<u8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PARTS)], schema=_PARTS)
 
     return run
@@ -98,12 +103,10 @@ def _meet(t: pa.Table) -> pa.Table:
     rows = sorted(t.combine_chunks().to_pylist(), key=lambda r: r["origin"])
     parts = [np.frombuffer(r["a"], "<u8") for r in rows]
     ids = np.concatenate([np.frombuffer(r["c"], "<i8")[np.frombuffer(r["b"], "<i4")] for r in rows])
-    digest = np.concatenate(parts)
-    order = np.lexsort((ids, digest))
-    d = digest[order]
-    new = np.ones(len(d), bool)
-    new[1:] = d[1:] != d[:-1]
-    flags = np.empty(len(d), np.uint8)
+    digest, more = np.concatenate(parts), np.concatenate([np.frombuffer(r["d"], "<u8") for r in rows])
+    order = np.lexsort((ids, more, digest))
+    new = _heads(digest[order], more[order])
+    flags = np.empty(len(order), np.uint8)
     flags[order] = new + 2 * (~new | ~np.append(new[1:], True))
     cuts = np.cumsum([0, *map(len, parts)])
     return pa.table([[r["bucket"] for r in rows], [r["origin"] for r in rows], [flags[x:y].tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]], schema=_FLAGS)

@@ -4,7 +4,7 @@
 block (quantiser 8, so a flat block of exactly that sample), 192 blocks in a row, and a restart interval for each row.
 Images hold at most 8191 rows, as JPEG sizes are 16-bit; a longer payload is several images, one after the other.
 
-``image_features`` reads images: it parses the markers, Huffman-decodes the scan and rebuilds the luminance thumbnail
+``store_media`` writes such images as a table and reads that table back. ``image_features`` reads images: it parses the markers, Huffman-decodes the scan and rebuilds the luminance thumbnail
 from the DC coefficients alone (one sample for each block), for one or three interleaved components with any sampling
 factors. It decodes all restart intervals of many images side by side in numpy. A damaged image gives nulls.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import Scratch, table
 from .textblocks import binary_column, blocks, ragged, text_bytes
 
 ROW, MAX_ROWS = 192, 8191
@@ -298,7 +298,7 @@ def payload_images(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch):
+            for b in blocks(batch, most=2_000_000):
                 raw, offs = text_bytes(b.column("text"))
                 media = binary_column(*encode_payloads(*padded(raw, offs)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(np.diff(offs)), media], schema=schema)
@@ -307,6 +307,11 @@ def payload_images(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def store_media(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The table of ``payload_images``, written and read again. Scans of equal rows are equal, which zstandard finds."""
+    return scratch.keep(payload_images(docs), "media", compression="zstd")
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
 
 
@@ -319,7 +324,7 @@ def image_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch, "media", 6_000_000):
+            for b in blocks(batch, "media", 3_000_000):
                 raw, offs = text_bytes(b.column("media"))
                 data = raw.tobytes()
                 images: list[list[tuple[Frame, int]] | None] = []
@@ -363,4 +368,7 @@ def _alone(raw: np.ndarray, image: tuple[Frame, int]) -> np.ndarray | None:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_features(payload_images(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    scratch = Scratch(spark, "media")
+    out = scratch.keep(image_features(store_media(table(spark, sf_dir, "documents"), scratch)), "features")
+    scratch.clear(out)
+    return out

@@ -38,10 +38,10 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, label: str = "t", **options) -> DataFrame:
         path = self.path(label)
         schema = df.schema
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._mnemo_path = path
         return out

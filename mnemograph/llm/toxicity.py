@@ -1,15 +1,17 @@
 """Toxicity (operator 7): gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a whole text: density of stems that the labels tell apart (see ``learn_stems``), densities of insult, profanity, threat and hostility words, of these words next to a
-second-person word, capitals, punctuation, obfuscation (words of a lexicon once digits and signs are read as letters or
-repeats are cut), and lengths. Language, source, doc_id and labels are no features.
+Features of a whole text: densities of the words of lexicons (insults, profanity, threats, hostility, and one that the
+labels teach), of these words next to a second-person word, capitals, punctuation, obfuscation (words of a lexicon once
+digits and signs are read as letters or repeats are cut), and lengths. Language, source, doc_id and labels are no features.
 
-Stems are word beginnings of 4 to 8 bytes. Those that stand in toxic texts far more often than in others become a
-lexicon of at most ``STEMS`` hashes. Trees see each training row through stems learned from other rows only.
+The taught lexicon is for words that no written list has, such as those of other languages: word beginnings of 4 to 8
+bytes (stems) that stand in toxic texts far more often than in others, at most ``STEMS`` of them.
 
 ``fit`` learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``FIT_ROWS`` of them (those with
-the smallest hash of doc_id): trees on the rows of remainders 1 to 3, the isotonic map from margins to probabilities on
-those of remainder 4. If one of the two classes is missing, every score is the other one's label.
+the smallest hash of doc_id), and each part from rows of its own: the lexicon from those of remainders 1 and 2, the trees
+from those of 3, and the isotonic map from margins to probabilities from those of 4. So trees and map see the lexicon as
+it meets new texts. If one of the two classes is missing among the rows of trees or map, every score is the mean label.
+Of rows that share a doc_id, the text with the smallest hash is learned from, so that reruns agree.
 
 Null texts are empty; they are scored too. Repeated rows are kept. Rows with a null doc_id count as held out (they
 have no remainder). An empty table gives an empty result. Other columns are not read.
@@ -222,25 +224,26 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = FIT_RO
     known = known.where("doc_id is not null and label in (0, 1)").withColumn("r", remainder(F.col("doc_id"))).where("r <> 0")
     known = known.groupBy("doc_id", "r").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most FIT_ROWS rows of three numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "r", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "r", "label", "t.text")
     texts = scratch.keep(texts, "texts")
-    halves = [texts.where("r <= 2"), texts.where("r > 2")]
-    stems = [learn_stems(h) for h in halves]
-    rows = features(halves[0], stems[1]).unionByName(features(halves[1], stems[0])).join(F.broadcast(known), "doc_id")
+    stems = learn_stems(texts.where("r <= 2"))
+    rows = features(texts.where("r > 2"), stems).join(F.broadcast(known), "doc_id")
     rows = scratch.keep(rows.withColumn("x", array_to_vector("f")).select("doc_id", "x", "r", "label").orderBy("doc_id"), "fit")
-    classes = {r["label"] for r in rows.where("r < 4").select("label").distinct().collect()}
+    classes = {r["label"] for r in rows.where("r = 3").select("label").distinct().collect()}
     held = {r["label"] for r in rows.where("r = 4").select("label").distinct().collect()}
     if len(classes) < 2 or len(held) < 2:
-        return ToxicityModel(np.zeros(0, np.uint64), None, None, rows.agg(F.avg("label")).first()[0] or 0.0)
-    trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="guess", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(rows.where("r < 4"))
+        return ToxicityModel(np.zeros(0, np.uint64), None, None, texts.agg(F.avg("label")).first()[0] or 0.0)
+    trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="guess", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(rows.where("r = 3"))
     margins = trees.transform(rows.where("r = 4")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(margins)
-    return ToxicityModel(learn_stems(texts), trees, calibration)
+    return ToxicityModel(stems, trees, calibration)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark, "toxic")
     model = fit(docs, table(spark, sf_dir, "labels"), scratch)
+    scratch.clear()
     scored = model.score(docs)
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -292,7 +292,7 @@ def test_boundaries_are_optimal():
 
 
 def test_jpeg(docs, rows, empty):
-    got = jpeg_media.image_features(jpeg_media.payload_images(docs)).collect()
+    got = jpeg_media.image_features(jpeg_media.store_media(docs, Scratch(docs.sparkSession, "t"))).collect()
 
     def plain(text):
         b = (text or "").encode()
@@ -328,6 +328,73 @@ def test_jpeg_bit_by_bit():
     assert len(offs) == 2
 
 
+def foreign_jpeg(rng, width, height, factors, interval):
+    """A baseline image with random coefficients: its bytes, and the luminance DC values by block row and column.
+
+    factors: sampling (h, v) of each component. Code tables and quantisers are not those of the operator.
+    """
+    dc_bits, dc_symbols = (0, 0, 5, 3, 2, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0), (4, 0, 2, 1, 3, 7, 5, 6, 9, 8, 10, 11)
+    ac_symbols = (0, 1, 2, 0x11, 0xF0, 3, 0x21, 0x43, 5)
+    ac_bits = (0, 1, 3, 3, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+    dc, ac = jpeg_media.codes(dc_bits, dc_symbols), jpeg_media.codes(ac_bits, ac_symbols)
+    seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    quant = {0: 11, 1: 5}
+    h, v = max(f[0] for f in factors), max(f[1] for f in factors)
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    lh, lv = factors[0]
+    luma = np.zeros((down * lv, across * lh), int)
+    head = b"\xff\xd8" + seg(0xFE, b"another encoder") + seg(0xDB, b"".join(bytes([i]) + bytes([q] * 64) for i, q in quant.items()))
+    head += seg(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + b"".join(bytes([i + 1, 16 * a + b, min(i, 1)]) for i, (a, b) in enumerate(factors)))
+    head += seg(0xC4, b"\x01" + bytes(dc_bits) + bytes(dc_symbols) + b"\x11" + bytes(ac_bits) + bytes(ac_symbols))
+    head += seg(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    head += seg(0xDA, bytes([len(factors)]) + b"".join(bytes([i + 1, 0x11]) for i in range(len(factors))) + b"\0\x3f\0")
+    put = lambda table, s: f"{table[s][0]:0{table[s][1]}b}"
+    magnitude = lambda x, n: f"{x if x > 0 else x + (1 << n) - 1:0{n}b}" if n else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+    out, bits, last = b"", "", [0] * len(factors)
+    for m in range(across * down):
+        if interval and m and m % interval == 0:
+            out, bits, last = out + flush(bits) + bytes([0xFF, 0xD0 + (m // interval - 1) % 8]), "", [0] * len(factors)
+        for i, (a, b) in enumerate(factors if len(factors) > 1 else [(1, 1)]):
+            for y in range(b):
+                for x in range(a):
+                    value = int(rng.integers(-90, 90))
+                    diff, last[i] = value - last[i], value
+                    n = abs(diff).bit_length()
+                    bits += put(dc, n) + magnitude(diff, n)
+                    k = 1
+                    while k < 64 and rng.random() < 0.6:
+                        s = ac_symbols[int(rng.integers(1, len(ac_symbols)))]
+                        if k + (s >> 4) > 63:
+                            break
+                        bits += put(ac, s) + (f"{int(rng.integers(0, 1 << (s & 15))):0{s & 15}b}" if s & 15 else "")
+                        k += (s >> 4) + 1
+                    bits += put(ac, 0) if k < 64 else ""
+                    if i == 0:
+                        luma[(m // across) * b + y, (m % across) * a + x] = value
+    return head + out + flush(bits) + b"\xff\xd9", luma[: -(-height * lv // (8 * v)), : -(-width * lh // (8 * h))], quant[0]
+
+
+@pytest.mark.parametrize("factors, interval", [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(1, 1), (1, 1), (1, 1)], 5)])
+def test_images_of_another_encoder(factors, interval):
+    """Three components, sampling factors, AC coefficients, with and without restart intervals, sizes that end inside a block."""
+    rng = np.random.default_rng(len(factors) * 10 + interval)
+    data, frames, ends, want, at = b"", [], [], [], 0
+    for width, height in ((61, 45), (8, 8), (130, 17)):
+        image, luma, q = foreign_jpeg(rng, width, height, factors, interval)
+        data += image
+        want.append(np.clip((luma * q + 4 >> 3) + 128, 0, 255))
+    for f, end in jpeg_media.split_images(data, 0, len(data)):
+        frames.append(f)
+        ends.append(end)
+    got = jpeg_media.thumbnails(np.frombuffer(data, np.uint8), frames, ends)
+    assert all(a.shape == b.shape and (a == b).all() for a, b in zip(got, want)) and len(got) == 3
+
+
 def test_damaged_images_give_nulls(spark):
     media = spark.createDataFrame([(1, 3, b"abc"), (2, 0, b""), (3, 1, b"\xff\xd8\xff")], "doc_id long, n_bytes long, media binary")
     got = {r["doc_id"]: r["payload_bytes"] for r in jpeg_media.image_features(media).collect()}
@@ -354,10 +421,53 @@ def test_toxicity(spark, docs, rows, empty):
     scored = model.score(docs).collect()
     assert bag(scored, "doc_id") == Counter((r[0],) for r in rows) and all(0 <= r["score"] <= 1 for r in scored)
     assert model.score(empty).count() == 0
+    # reruns agree, whatever the partitions, also where a doc_id has two texts
+    twice = d.unionByName(d.where("doc_id < 50").selectExpr("doc_id", "concat(text, ' idiot') AS text"))
+    runs = [bag(toxicity.fit(twice.repartition(n), lab, Scratch(spark, "t")).score(d.where("doc_id < 100")).collect(), "doc_id", "score") for n in (2, 5)]
+    assert runs[0] == runs[1]
     only = toxicity.fit(d, lab.where("toxic = 0"), Scratch(spark, "t"))
     assert {r["score"] for r in only.score(d).collect()} == {0.0}
 
 
+def test_isotonic_map(spark):
+    """The map from margins to probabilities is the least-squares rising one, found by pooling neighbours."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    rng = np.random.default_rng(6)
+    margin = np.sort(rng.normal(size=80)).round(6)
+    label = (rng.random(80) < 1 / (1 + np.exp(-2 * margin))).astype(float)
+    pools: list[list[float]] = []
+    for y in label:
+        pools.append([y, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            y2, n2 = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2]
+    want = [y / n for y, n in pools for _ in range(n)]
+    data = spark.createDataFrame([(float(m), float(y)) for m, y in zip(margin, label)], "margin double, label double")
+    got = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="p").fit(data).transform(data).orderBy("margin").collect()
+    assert np.allclose([r["p"] for r in got], want)
+
+
+def test_features_word_by_word(rows):
+    """Densities against a plain count over words."""
+    texts = [r[1] for r in rows] + ["You idiot! SHUT UP, kill. your #*$ hell?", "ID10T idiots you; a trash", "été !!! Ça va??? NO NO"]
+    got = toxicity.text_features(*text_bytes(pa.array(texts)), np.zeros(0, np.uint64))
+    at = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    lists = {"insult": toxicity.INSULTS, "profanity": toxicity.PROFANITY, "threat": toxicity.THREATS, "hostile": toxicity.HOSTILITY, "second": toxicity.SECOND}
+    for t, x in zip(texts, got):
+        raw = (t or "").encode().translate(bytes(b + 32 if 65 <= b < 91 else b for b in range(256)))
+        bare = [re.sub(rb"^[^a-z\x80-\xff]+|[^a-z\x80-\xff]+$", b"", w) for w in re.findall(rb"[^\x20\x09-\x0d]+", raw)]
+        n = max(1, len(bare))
+        for name, words_ in lists.items():
+            known = {w.encode() for w in words_.split()}
+            assert x[at[name]] == pytest.approx(1000 * sum(w in known for w in bare) / n)
+        size = max(1, len(raw))
+        for name, sign in (("exclaim", b"!"), ("question", b"?")):
+            assert x[at[name]] == pytest.approx(1000 * raw.count(sign) / size)
+        assert x[at["capitals"]] == pytest.approx(1000 * sum(65 <= b < 91 for b in (t or "").encode()) / size)
+        assert x[at["log_words"]] == pytest.approx(np.log1p(len(bare)))
+
+
 def test_cdc(docs, rows, empty):
     def cut(b):
         out, a = [], 0
@@ -379,7 +489,7 @@ def test_cdc(docs, rows, empty):
         for c in v:
             later.append(c in seen)
             seen.add(c)
-        runs = lambda on: [s for s in (sum(len(v[k]) for k, _ in g) for f, g in groupby(enumerate(on), key=lambda x: x[1]) if f) if s >= 96]  # noqa: B023, E731
+        runs = lambda on: [s for s in (sum(len(v[k]) for k, _ in g) for f, g in groupby(enumerate(on), key=lambda x: x[1]) if f) if s >= cdc_dedup.LEAST_RUN]  # noqa: B023, E731
         removed = runs(later)
         want[i] = (len(v), sum(runs([count[c] > 1 for c in v])), sum(removed), len(removed))
     assert {r["doc_id"]: (r["n_chunks"], r["n_repeated"], r["n_removed"], r["n_spans"]) for r in got} == want
@@ -539,3 +649,96 @@ def test_near_copy_goes_through_all_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:3]:
         now = stage(spark, now, "")
         assert {r["doc_id"] for r in now.select("doc_id").collect()} == (set(range(12)) if name == "near_duplicates" else set(texts))
+
+
+CONTRACT = {
+    "op1_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op2_token_store": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op3_mix_sources": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op4_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op5_pack_buckets": "doc_id bigint, length bigint, bucket int, bucket_length bigint",
+    "op6_jpeg_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op7_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op8_gear_chunks": "doc_id bigint, n_bytes bigint, n_repeated bigint, n_removed bigint",
+    "op9_line_dedup": "doc_id bigint, n_lines bigint, n_equal bigint, n_near bigint",
+    "op10_repeated_strings": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+}
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(CONTRACT))
+def test_registered_queries(spark, name):
+    """Each query over its whole table: columns, one row for each document, and values that a plain version gives."""
+    from mnemograph.llm.queries import QUERIES
+
+    if name.startswith("op2"):
+        pytest.importorskip("public_tokenizers")
+    df = QUERIES[name](spark, SMALL)
+    kinds = dict(df.dtypes)
+    assert all(kinds[c.split()[0]] == c.split()[1] for c in CONTRACT[name].split(", "))
+    got = {r["doc_id"]: r for r in df.collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert got.keys() == texts.keys() and df.count() == len(texts)
+    for i, text in texts.items():
+        r, raw = got[i], text.encode()
+        if name.startswith("op4"):
+            w = words(text)
+            assert r["n_words"] == len(w) and r["base_failed"] == (len(w) < 50 or 100 * r["n_repeat_words"] > 50 * len(w))
+            assert not (r["kept"] and r["base_failed"])
+        if name.startswith("op7"):
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5)
+        if name.startswith(("op6", "op8", "op10")):
+            assert r["n_bytes"] == len(raw)
+        if name.startswith(("op3", "op5")):
+            assert r["size" if "op3" in name else "length"] == len(words(text))
+    if name.startswith("op2"):
+        at = 0
+        for i in sorted(got):
+            assert got[i]["start"] == at
+            at += got[i]["n_tokens"]
+    if name.startswith("op10"):
+        order = sorted(texts)
+        want = dict(zip(order, plain_repeats([texts[i].encode() for i in order], 200)))
+        assert all(tuple(got[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want[i] for i in order)
+
+
+def test_op4_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    df = quality.op4(spark, SMALL)
+    rel = con.sql(quality.SQL)
+    assert sorted(rel.columns) == sorted(df.columns)
+    assert Counter(tuple(r[rel.columns.index(c)] for c in df.columns) for r in rel.fetchall()) == Counter(tuple(r) for r in df.collect())
+
+
+def test_long_texts_and_full_caches_stay_bounded(monkeypatch):
+    """A text of 20 MB is encoded in pieces; the cache of a worker keeps to its bound, and other words get their ids all the same."""
+    public = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 500)
+    enc = token_store.WordEncoder(public.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    some = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    text = " ".join(some[i] for i in rng.integers(0, 3000, 3_000_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    tracemalloc.start()
+    ids = enc.encode_long(raw, 2, token_store.ENCODE_BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(enc.keys) == 500 and ids[-1] == 2 and peak < 250_000_000
+    piece = " ".join(text[:200_000].split(" ")[:-1])
+    want = enc.tok.encode(piece, add_special_tokens=False).ids
+    assert ids[: len(want)].tolist() == want
+
+
+def test_words_with_one_hash_keep_their_ids(monkeypatch):
+    """Hashes only lead to words: even if all of them collide, ids are those of the words."""
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_store, "span_hashes", lambda raw, a, b: np.zeros(len(a), np.uint64))
+    enc = token_store.WordEncoder(public.path("word_bpe_49k.json"))
+    for text in ("one two two three one", "three four one", "two"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode(raw, np.array([0, len(raw)]), 2)[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids + [2]
