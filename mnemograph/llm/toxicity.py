@@ -8,10 +8,11 @@ The taught lexicon is for words that no written list has, such as those of other
 bytes (stems) that stand in toxic texts far more often than in others, at most ``STEMS`` of them.
 
 ``fit`` learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``FIT_ROWS`` of them (those with
-the smallest hash of doc_id), and each part from rows of its own: the lexicon from those of remainders 1 and 2, the trees
-from those of 3, and the isotonic map from margins to probabilities from those of 4. So trees and map see the lexicon as
-it meets new texts. If one of the two classes is missing among the rows of trees or map, every score is the mean label.
-Of rows that share a doc_id, the text with the smallest hash is learned from, so that reruns agree.
+the smallest hash of doc_id). Lexicon and trees learn from remainders 1 to 3; a row of the trees is seen through a lexicon
+that the rows of the two other remainders teach. The isotonic map from margins to probabilities learns from remainder 4,
+seen as new texts are: through the lexicon of remainders 1 to 3, which scores use. If one of the two classes is missing
+among the rows of trees or map, every score is the mean label. Of rows that share a doc_id, the text with the smallest
+hash is learned from, so that reruns agree.
 
 Null texts are empty; they are scored too. Repeated rows are kept. Rows with a null doc_id count as held out (they
 have no remainder). An empty table gives an empty result. Other columns are not read.
@@ -20,6 +21,7 @@ have no remainder). An empty table gives an empty result. Other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,18 +168,14 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn_stems(texts: DataFrame, most: int = STEMS) -> np.ndarray:
-    """Sorted hashes of the stems that tell the texts of ``texts`` (text, label) apart best.
-
-    A stem has to be in a twentieth of the toxic texts and five of them at least, and ``STEM_ODDS`` times likelier there
-    by text; the best by its gain in log-likelihood are taken. Tasks send counts by block, the driver gets ``most`` rows.
-    """
-    schema = pa.schema([("stem", pa.int64()), ("bad", pa.int64()), ("good", pa.int64())])
+def stem_counts(texts: DataFrame) -> DataFrame:
+    """stem, x1, y1, ...: for each stem of ``texts`` (text, r, label), the toxic and the other texts of each remainder of 1 to 3 that hold it."""
+    schema = pa.schema([("stem", pa.int64()), ("r", pa.int64()), ("bad", pa.int64()), ("good", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch):
-                label = np.array(b.column("label"))
+                label, part = np.array(b.column("label")), np.array(b.column("r"))
                 words, low, _, x, y = _bare(*text_bytes(b.column("text")))
                 text_of = np.repeat(np.arange(len(words.counts)), words.counts)
                 for at, h in _stem_hashes(low, x, y):
@@ -185,18 +183,29 @@ def learn_stems(texts: DataFrame, most: int = STEMS) -> np.ndarray:
                     hs, ts = h[order], text_of[at][order]
                     new = np.ones(len(hs), bool)
                     new[1:] = (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])
-                    stem, of = np.unique(hs[new], return_inverse=True)
-                    bad = np.bincount(of, label[ts[new]], len(stem)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), pa.array(bad), pa.array(np.bincount(of, minlength=len(stem)) - bad)], schema=schema)
+                    for r in (1, 2, 3):
+                        mine = new & (part[ts] == r)
+                        stem, of = np.unique(hs[mine], return_inverse=True)
+                        bad = np.bincount(of, label[ts[mine]], len(stem)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), pa.array(np.full(len(stem), r)), pa.array(bad), pa.array(np.bincount(of, minlength=len(stem)) - bad)], schema=schema)
+
+    counts = texts.select("text", F.col("r").cast("long").alias("r"), "label").mapInArrow(run, "stem long, r long, bad long, good long")
+    return counts.groupBy("stem").agg(*[F.sum(F.when(F.col("r") == r, F.col(c)).otherwise(0)).alias(f"{n}{r}") for r in (1, 2, 3) for n, c in (("x", "bad"), ("y", "good"))])
 
-    totals = texts.agg(F.sum("label"), F.count(F.lit(1))).first()
-    bad = totals[0] or 0.0
-    good = totals[1] - bad
+
+def pick_stems(counts: DataFrame, totals: dict[int, tuple[float, float]], parts: tuple[int, ...], most: int = STEMS) -> np.ndarray:
+    """Sorted hashes of the stems that tell the toxic texts of some remainders from the others best.
+
+    A stem has to be in a twentieth of the toxic texts and five of them at least, and ``STEM_ODDS`` times likelier there
+    by text; the best by its gain in log-likelihood are taken. The driver gets ``most`` rows. totals: toxic and other
+    texts of each remainder.
+    """
+    bad, good = (sum(totals.get(r, (0, 0))[i] for r in parts) for i in (0, 1))
     if not bad or not good:
         return np.zeros(0, np.uint64)
-    counts = texts.select("text", "label").mapInArrow(run, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("x"), F.sum("good").alias("y"))
-    p, q = (F.col("x") + 0.5) / (bad + 1), (F.col("y") + 0.5) / (good + 1)
-    kept = counts.where((F.col("x") >= max(5.0, bad / 20)) & (p >= STEM_ODDS * q))
+    x, y = (sum((F.col(f"{n}{r}") for r in parts), F.lit(0)) for n in "xy")
+    p, q = (F.col("x") + 0.5) / (bad + 1.0), (F.col("y") + 0.5) / (good + 1.0)
+    kept = counts.select("stem", x.alias("x"), y.alias("y")).where((F.col("x") >= max(5.0, bad / 20)) & (p >= STEM_ODDS * q))
     best = kept.orderBy((F.col("x") * F.log(p / q)).desc(), "stem").limit(most).select("stem").collect()
     return np.sort(np.array([r["stem"] for r in best], np.int64).view(np.uint64))
 
@@ -227,14 +236,17 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = FIT_RO
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     texts = texts.groupBy("doc_id", "r", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "r", "label", "t.text")
     texts = scratch.keep(texts, "texts")
-    stems = learn_stems(texts.where("r <= 2"))
-    rows = features(texts.where("r > 2"), stems).join(F.broadcast(known), "doc_id")
+    counts = scratch.keep(stem_counts(texts.where("r < 4")), "stems")
+    totals = {r["r"]: (r["bad"], r["n"] - r["bad"]) for r in texts.groupBy("r").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
+    stems = pick_stems(counts, totals, (1, 2, 3))
+    seen = [features(texts.where(F.col("r") == r), pick_stems(counts, totals, tuple({1, 2, 3} - {r}))) for r in (1, 2, 3)]
+    rows = reduce(DataFrame.unionByName, [*seen, features(texts.where("r = 4"), stems)]).join(F.broadcast(known), "doc_id")
     rows = scratch.keep(rows.withColumn("x", array_to_vector("f")).select("doc_id", "x", "r", "label").orderBy("doc_id"), "fit")
-    classes = {r["label"] for r in rows.where("r = 3").select("label").distinct().collect()}
+    classes = {r["label"] for r in rows.where("r < 4").select("label").distinct().collect()}
     held = {r["label"] for r in rows.where("r = 4").select("label").distinct().collect()}
     if len(classes) < 2 or len(held) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), None, None, texts.agg(F.avg("label")).first()[0] or 0.0)
-    trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="guess", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(rows.where("r = 3"))
+    trees = GBTClassifier(featuresCol="x", labelCol="label", predictionCol="guess", maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(rows.where("r < 4"))
     margins = trees.transform(rows.where("r = 4")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="calibrated").fit(margins)
     return ToxicityModel(stems, trees, calibration)
