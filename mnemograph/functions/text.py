@@ -40,7 +40,7 @@ def strip_markdown(x: Column) -> Column:
 
 def html_text(x: Column, most: int = 100_000) -> Column:
     """What a page says: no scripts, styles and tags, the usual entities, squeezed, at most ``most`` characters."""
-    x = F.regexp_replace(x, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    x = F.regexp_replace(x, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))

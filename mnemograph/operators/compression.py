@@ -2,66 +2,45 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def _render(parts: list[str]) -> str:
-    return "\n".join(f"[{i}] {p}" for i, p in enumerate(parts, 1))
-
-
-def _tokens(text: str) -> int:
-    return len(text.split())
-
-
-def pack(query: str, items: list[dict], budget: int) -> tuple[str, list[str]]:
-    """Rendered context and the ids in it: best sentences of each item, in rank order, while the whole stays in budget."""
-    asked = set(re.findall(r"\w+", query.lower()))
-    parts, ids, texts = [], [], set()
-    for it in items:
-        text = it["text"] or ""
-        head = text[:2000]
-        sentences = it["sentences"]
-        if not text or head in texts or not len(sentences):
-            continue
-        texts.add(head)
-        tag = f"(ring{it['ring']} · {it['sector']}) "
-        order = sorted(range(len(sentences)), key=lambda i: (-len(asked & set(re.findall(r"\w+", sentences[i].lower()))), i))
-        chosen: list[int] = []
-        for i in order:
-            if sentences[i] in (sentences[j] for j in chosen):
-                continue
-            tried = sorted([*chosen, i])
-            if _tokens(_render([*parts, tag + " ".join(sentences[j] for j in tried)])) <= budget:
-                chosen = tried
-        if chosen:
-            parts.append(tag + " ".join(sentences[j] for j in chosen))
-            ids.append(it["id"])
-            if _tokens(_render(parts)) >= budget:
-                break
-    return _render(parts), ids
-
-
 def compress(ranked: DataFrame, budget: int = 2048) -> DataFrame:
     """query_id, context, n_tokens, n_raw_tokens, ids; ranked: query_id, query, rank, id, text, ring, sector.
 
-    What fits depends on what was taken before, so each query's few ranked rows are folded in one call.
+    Tokens are runs without white space, so a context's count is the sum of its parts': a sentence adds its own, and the
+    first one of an item adds those of the item's number and tag. All counts are known before, and a running total over
+    the sentences in their order of choice (item by rank, then query words, then place) decides which ones fit. A
+    context shows an item's sentences in their order in the text. Items without a text, and those whose first 2000
+    characters a better item has, add nothing; of equal sentences of an item one counts.
     """
-    cut = ranked.select("query_id", "query", "rank", "id", "text", "ring", "sector", T.sentences(F.col("text")).alias("sentences"))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        text, ids = pack(rows["query"].iloc[0] or "", rows.to_dict("records"), budget)
-        return pd.DataFrame({"query_id": [key[0]], "context": [text], "n_tokens": [_tokens(text)], "n_raw_tokens": [sum(_tokens(t or "") for t in rows["text"])], "ids": [ids]})
-
-    kind = ranked.schema["query_id"].dataType.simpleString()
-    ident = ranked.schema["id"].dataType.simpleString()
-    return cut.groupBy("query_id").applyInPandas(run, f"query_id {kind}, context string, n_tokens long, n_raw_tokens long, ids array<{ident}>")
+    tag = F.concat(F.lit("(ring"), F.coalesce(F.col("ring").cast("string"), F.lit("?")), F.lit(" · "), F.coalesce("sector", F.lit("general")), F.lit(") "))
+    asked = F.array_distinct(T.unicode_words(F.coalesce("query", F.lit(""))))
+    better = F.row_number().over(Window.partitionBy("query_id", F.substring("text", 1, 2000)).orderBy("rank"))
+    items = ranked.where("text is not null").withColumn("parts", T.sentences(F.col("text"))).where(F.size("parts") > 0).withColumn("again", better).where("again = 1")
+    each = items.select("query_id", "rank", "id", tag.alias("tag"), asked.alias("asked"), F.posexplode("parts").alias("no", "sentence"))
+    each = each.groupBy("query_id", "rank", "id", "tag", "asked", "sentence").agg(F.min("no").alias("no"))
+    hits = F.size(F.array_intersect(F.array_distinct(T.unicode_words(F.col("sentence"))), F.col("asked")))
+    row = F.struct("rank", (-hits).alias("away"), "no", T.piece_tokens(F.col("sentence")).alias("cost"), (1 + T.piece_tokens(F.col("tag"))).alias("extra"), "id", "tag", "sentence")
+    flat = each.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kind = flat.schema["rows"].dataType.simpleString()
+    state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(None).cast(each.schema["rank"].dataType).alias("item"), F.array().cast(kind).alias("taken"))
+
+    def step(total, x):
+        cost = (total["used"] + x["cost"] + F.when(total["item"].eqNullSafe(x["rank"]), 0).otherwise(x["extra"])).cast("long")
+        return F.when(cost <= budget, F.struct(cost.alias("used"), x["rank"].alias("item"), F.array_append(total["taken"], x).alias("taken"))).otherwise(total)
+
+    fold = flat.select("query_id", F.aggregate("rows", state, step).alias("f")).select("query_id", "f.used", "f.taken")
+    of = lambda item: F.array_sort(F.transform(F.filter("taken", lambda x: x["rank"] == item["rank"]), lambda x: F.struct(x["no"], x["sentence"])))
+    line = lambda item, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), item["tag"], F.array_join(F.transform(of(item), lambda x: x["sentence"]), " "))
+    heads = F.array_distinct(F.transform("taken", lambda x: F.struct(x["rank"].alias("rank"), x["id"].alias("id"), x["tag"].alias("tag"))))
+    shown = fold.withColumn("heads", heads).select("query_id", "used", F.array_join(F.transform("heads", line), "\n").alias("context"), F.transform("heads", lambda x: x["id"]).alias("ids"))
+    raw = ranked.groupBy("query_id").agg(F.sum(F.coalesce(T.piece_tokens(F.col("text")), F.lit(0))).alias("n_raw_tokens"))
+    none = F.array().cast(f"array<{ranked.schema['id'].dataType.simpleString()}>")
+    return raw.join(shown, "query_id", "left").select("query_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("used", F.lit(0)).cast("long").alias("n_tokens"), "n_raw_tokens", F.coalesce("ids", none).alias("ids"))
 
 
 def extractive_answer(context: DataFrame, lines: int = 3) -> DataFrame:

@@ -76,8 +76,10 @@ def soft_retention(now: Column, half_life: float = 21.0, boost: float = 0.5) ->
     return F.exp(-N.age_days(F.col("updated_at"), now) / (half_life / math.log(2.0) * settled))
 
 
-def adaptive_retention(now: Column, p: dict = PARAMETERS) -> Column:
-    return N.clip(F.exp(-N.age_days(F.col("updated_at"), now) / (p["half_life_days"] * strength(p) / math.log(2.0))))
+def adaptive_retention(now: Column, p: dict = PARAMETERS, since: Column | None = None) -> Column:
+    """What is left of a memory since ``since`` (its last change, unless given)."""
+    since = F.col("updated_at") if since is None else since
+    return N.clip(F.exp(-N.age_days(since, now) / (p["half_life_days"] * strength(p) / math.log(2.0))))
 
 
 def decay(nodes: DataFrame, retention: Column, floor: float = 0.15, least: float = 0.05) -> DataFrame:
@@ -87,6 +89,17 @@ def decay(nodes: DataFrame, retention: Column, floor: float = 0.15, least: float
     return out.withColumns({"faded": F.col("retention") < 0.999, "new_importance": F.when(F.col("retention") < 0.999, lower).otherwise(F.col("importance"))})
 
 
+def adaptive_decay(stated: DataFrame, now: Column, p: dict = PARAMETERS) -> DataFrame:
+    """``decay`` by adaptive retention, with last_decay_at set to ``now``.
+
+    The interval runs from the newest of the last change and the last pass (last_decay_at, where it is a column), so that
+    a repeated pass charges each interval once. Without either stamp nothing fades.
+    """
+    known = F.greatest("updated_at", "last_decay_at") if "last_decay_at" in stated.columns else F.col("updated_at")
+    retention = F.coalesce(adaptive_retention(now, p, known), F.lit(1.0))
+    return decay(stated, retention, least=p["decay_min_importance"]).withColumn("last_decay_at", now)
+
+
 def decay_report(decayed: DataFrame) -> DataFrame:
     """One row: nodes, decayed, and the mean, least and greatest retention."""
     r = F.col("retention")

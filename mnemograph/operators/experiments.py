@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,9 +75,13 @@ def strategy_sweep(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold:
 
 
 def by_language(docs: DataFrame, queries: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """lang, n, mean of the best score: the lexical ranker for each language of the documents it finds."""
-    hits = lexical.bm25(docs, key, queries, k).join(docs.select(key, "lang"), key)
-    return hits.groupBy("lang").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("mean_score"))
+    """lang, query_id, key, score, rank: the lexical ranker over the documents of each language alone.
+
+    Each language has an index of its own (its frequencies and mean length); documents without a language are one too.
+    """
+    worlds = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    runs = [lexical.bm25(docs.where(F.col("lang").eqNullSafe(F.lit(w))).drop("lang"), key, queries, k).withColumn("lang", F.lit(w).cast("string")) for w in worlds]
+    return reduce(DataFrame.unionByName, runs).select("lang", "query_id", key, "score", "rank")
 
 
 def learned_weights(scored: DataFrame, gold: DataFrame, rounds: int = 20, rate: float = 0.5) -> dict[str, float]:

@@ -15,12 +15,11 @@ def collapse(edges: DataFrame) -> DataFrame:
     (source, target, relation) order among equals.
     """
     e = edges.where("source_id <> target_id")
-    best = F.struct("weight", "confidence")
-    # the order of strings is turned round by taking the minimum among the best
     pair = [F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")]
-    top = e.groupBy(*pair).agg(F.max(best).alias("m"), F.sort_array(F.collect_set("relation_type")).alias("relations"), F.collect_list(F.struct("weight", "confidence", "source_id", "target_id", "relation_type")).alias("all"))
-    first = F.array_min(F.transform(F.filter("all", lambda x: (x["weight"] == F.col("m.weight")) & (x["confidence"] == F.col("m.confidence"))), lambda x: F.struct(x["source_id"], x["target_id"], x["relation_type"].alias("r"))))
-    return top.select("a", "b", F.col("m.weight").alias("weight"), "relations", first["r"].alias("relation"), F.col("m.confidence").alias("confidence"))
+    # the least of a struct with turned numbers is the record of the largest weight and confidence, first in name order
+    first = F.min(F.struct((-F.col("weight")).alias("w"), (-F.col("confidence")).alias("c"), "source_id", "target_id", "relation_type")).alias("m")
+    top = e.groupBy(*pair).agg(first, F.sort_array(F.collect_set("relation_type")).alias("relations"))
+    return top.select("a", "b", (-F.col("m.w")).alias("weight"), "relations", F.col("m.relation_type").alias("relation"), (-F.col("m.c")).alias("confidence"))
 
 
 def pairs(edges: DataFrame) -> DataFrame:
@@ -58,37 +57,46 @@ def neighbours_by_relation(edges: DataFrame) -> DataFrame:
     return both.groupBy("id", "relation_type").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))
 
 
-def ego(seeds: DataFrame, sym: DataFrame, hops: int) -> DataFrame:
-    """seed, id, hop: nodes within ``hops`` of each seed, the seed at 0."""
+def ego(seeds: DataFrame, sym: DataFrame, hops: int | None) -> DataFrame:
+    """seed, id, hop: nodes within ``hops`` of each seed, the seed at 0; None: as far as edges lead."""
     seen = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"))
-    front = seen
-    for hop in range(1, hops + 1):
+    front, hop = seen, 0
+    while hops is None or hop < hops:
+        hop += 1
         near = front.join(sym.select(F.col("src").alias("id"), "dst"), "id").select("seed", F.col("dst").alias("id")).distinct()
         front = cut(near.join(seen, ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
+        if hops is None and front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def hop_distance(seeds: DataFrame, sym: DataFrame, most: int) -> DataFrame:
-    """seed, id, hop: hops on a shortest path, up to ``most``."""
+def hop_distance(seeds: DataFrame, sym: DataFrame, most: int | None = None) -> DataFrame:
+    """seed, id, hop: hops on a shortest path, of any length or up to ``most``."""
     return ego(seeds, sym, most).where("hop > 0")
 
 
-def cheapest_paths(seeds: DataFrame, sym: DataFrame, hops: int) -> DataFrame:
-    """seed, id, cost, path: least-cost paths of at most ``hops`` edges; an edge costs 1 / weight.
+def cheapest_paths(seeds: DataFrame, sym: DataFrame, hops: int | None = None) -> DataFrame:
+    """seed, id, cost, path: least-cost paths, of any length or of at most ``hops`` edges; an edge costs 1 / weight.
 
-    Ties go to fewer hops, then to the path that sorts first. Each round keeps one path for each (seed, node).
+    Ties go to fewer hops, then to the path that sorts first. Each round keeps one path for each (seed, node) and goes on
+    from those that changed; without a bound, rounds end when none does.
     """
     step = sym.select(F.col("src").alias("at"), F.col("dst").alias("id"), (1.0 / F.greatest("weight", F.lit(1e-6))).alias("c"))
+    if hops is None:
+        step = cut(step)
     best = seeds.select(F.col("id").alias("seed"), "id", F.lit(0.0).alias("cost"), F.array("id").alias("path"))
-    front = best
-    for _ in range(hops):
+    front, turn = best, 0
+    while hops is None or turn < hops:
+        turn += 1
         moved = front.select("seed", F.col("id").alias("at"), "cost", "path").join(step, "at").where(~F.array_contains("path", F.col("id")))
         moved = moved.select("seed", "id", F.round(F.col("cost") + F.col("c"), 9).alias("cost"), F.array_append("path", F.col("id")).alias("path"))
         order = F.struct("cost", F.size("path"), F.array_join("path", ">"))
         both = best.withColumn("new", F.lit(False)).unionByName(moved.withColumn("new", F.lit(True)))
         chosen = cut(both.groupBy("seed", "id").agg(F.min_by(F.struct("cost", "path", "new"), order).alias("p")).select("seed", "id", "p.*"))
         best, front = chosen.drop("new"), chosen.where("new").drop("new")
+        if hops is None and front.isEmpty():
+            break
     return best.where("seed <> id")
 
 

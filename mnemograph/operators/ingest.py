@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,36 +14,38 @@ from ..functions import text as T
 SIZE, OVERLAP = 800, 120
 
 
+def chunk_bounds(lengths: np.ndarray, size: int, overlap: int, cut_off: bool = False) -> list[tuple[int, int]]:
+    """Ranges (from, to) of sentences, none longer than ``size``, that make up the chunks.
+
+    Over running lengths, a range ends where the next sentence would pass ``size``, but has one new sentence at least,
+    and the next one begins with those of its last sentences that ``overlap`` holds. Where a long sentence cuts the row
+    off, what would carry over is a range of its own.
+    """
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    out, begin, new = [], 0, 0
+    while new < len(lengths):
+        end = max(new + 1, int(np.searchsorted(total, total[begin] + size, "right")) - 1)
+        out.append((begin, end))
+        begin, new = max(begin, int(np.searchsorted(total, total[end] - overlap))), end
+    return [*out, (begin, new)] if cut_off and begin < new else out
+
+
 def pack_sentences(whole: str, parts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Sentences packed into chunks of at most ``size`` characters; whole sentences of up to ``overlap`` carry over.
+    """Chunks of a text of at most ``size`` characters of sentences, blanks between them not counted; see ``chunk_bounds``.
 
-    Blanks between sentences are not counted; a sentence longer than ``size`` is cut into pieces that overlap.
+    A text that fits is one chunk. A sentence longer than ``size`` stands alone, cut into pieces that overlap.
     """
-    if not whole.strip():
-        return []
     if len(whole) <= size:
-        return [whole.strip()]
-    out, now, used = [], [], 0
-    for s in parts:
-        if now and used + len(s) > size:
-            out.append(" ".join(now))
-            carry, room = 0, overlap
-            while carry < len(now) and len(now[-1 - carry]) <= room:
-                room -= len(now[-1 - carry])
-                carry += 1
-            now = now[len(now) - carry :]
-            used = overlap - room
-        if len(s) > size:
-            if now:
-                out.append(" ".join(now))
-                now, used = [], 0
-            out += [s[i : i + size].strip() for i in range(0, len(s), size - overlap)]
-        else:
-            now.append(s)
-            used += len(s)
-    if now:
-        out.append(" ".join(now))
-    return [c for c in (c.strip() for c in out) if c]
+        return [whole.strip()] if whole.strip() else []
+    lengths = np.array([len(p) for p in parts], np.int64)
+    long = np.flatnonzero(lengths > size)
+    chunks = []
+    # what lies between two long sentences is packed on its own
+    for a, z in zip([0, *(long + 1).tolist()], [*long.tolist(), len(parts)]):
+        chunks += [" ".join(parts[a + x : a + y]) for x, y in chunk_bounds(lengths[a:z], size, overlap, z < len(parts))]
+        if z < len(parts):
+            chunks += [parts[z][i : i + size] for i in range(0, len(parts[z]), size - overlap)]
+    return [c for c in map(str.strip, chunks) if c]
 
 
 def chunk(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .durable import cut
 
 K1, B = 1.5, 0.75
-#: Most queries of a batch, and most terms that are filtered by before rows leave the JVM.
-MOST_QUERIES, MOST_LITERALS = 10_000, 5_000
+#: Queries of a block, and most terms that are filtered by before rows leave the JVM.
+BLOCK_QUERIES, MOST_LITERALS = 2_000, 20_000
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -22,59 +25,68 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, queries: DataFrame, k: int = 8, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, key, score, rank: the ``k`` best documents for each of ``queries`` (query_id, query), at most ``MOST_QUERIES``.
+    """query_id, key, score, rank: the ``k`` best documents for each of ``queries`` (query_id, query).
 
-    The terms of the batch of queries travel with the code. Document frequencies are counted over these terms alone; then
-    each batch of documents is a matrix of term weights times the matrix of query terms, and sends on its k best for each
-    query, so that neither postings nor pairs of documents and queries are shuffled.
+    Queries go in blocks of about ``BLOCK_QUERIES``, whose terms travel with the code. The corpus is cut into words once:
+    what it holds of the asked terms, and each document's length, goes to the shared folder, and frequencies, mean length
+    and scores come from there. A batch of documents meets the query terms as a product of two sparse matrices and sends
+    on its k best for each query, so that neither postings nor pairs of documents and queries are shuffled.
     """
-    rows = queries.select("query_id", T.unicode_words(F.col("query")).alias("terms")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in a batch")
+    n_blocks = -(-queries.count() // BLOCK_QUERIES)
+    if n_blocks <= 1:
+        return _block_bm25(docs, key, queries, k, k1, b)
+    mine = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    return reduce(DataFrame.unionByName, [cut(_block_bm25(docs, key, queries.where(mine == i), k, k1, b)) for i in range(n_blocks)])
+
+
+def _block_bm25(docs: DataFrame, key: str, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    rows = queries.select("query_id", T.unicode_words(F.col("query")).alias("terms")).collect()
     ids = [r["query_id"] for r in rows]
-    place = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"] or ()}))}
-    asked = np.zeros((len(place), len(ids)))
-    for j, r in enumerate(rows):
-        for t in r["terms"] or ():
-            asked[place[t], j] += 1
+    asked = Counter((t, j) for j, r in enumerate(rows) for t in r["terms"] or ())
+    place = {t: i for i, t in enumerate(sorted({t for t, _ in asked}))}
+    # by term: which queries ask for it, and how often
+    triples = np.array(sorted((place[t], j, n) for (t, j), n in asked.items()), np.int64).reshape(-1, 3)
+    starts = np.searchsorted(triples[:, 0], np.arange(len(place) + 1))
     every = T.unicode_words(F.col("text"))
-    cut = docs.select(key, F.coalesce(F.size(every), F.lit(0)).alias("dl"), every.alias("terms"))
-    if len(place) <= MOST_LITERALS:
-        cut = cut.withColumn("terms", F.filter("terms", lambda w: w.isin(list(place))))
+    words = docs.select(key, F.coalesce(F.size(every), F.lit(0)).alias("dl"), every.alias("terms"))
 
-    def held(terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and count of what some documents hold of the asked terms."""
-        flat = [(i * len(place) + place[t]) for i, ts in enumerate(terms) if ts is not None for t in ts if t in place]
-        code, n = np.unique(np.array(flat, np.int64), return_counts=True)
-        return code // max(1, len(place)), code % max(1, len(place)), n
-
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each document, the numbers of the asked terms that it holds, and how often."""
         for part in batches:
-            yield pd.DataFrame({"term": held(part["terms"])[1]}).groupby("term").size().rename("df").reset_index()
+            found = [np.unique(np.array([place[t] for t in ts if t in place] if ts is not None else [], np.int32), return_counts=True) for ts in part["terms"]]
+            yield pd.DataFrame({key: part[key], "dl": part["dl"], "term": [t for t, _ in found], "tf": [n.astype(np.int32) for _, n in found]})
 
-    world = docs.agg(F.count(F.lit(1)), F.avg(F.coalesce(F.size(every), F.lit(0)))).first()
-    n, mean = world[0], world[1] or 1.0
+    if len(place) <= MOST_LITERALS:
+        words = words.withColumn("terms", F.filter("terms", lambda w: w.isin(list(place))))
+    kind = docs.schema[key].dataType.simpleString()
+    kept = cut(words.mapInPandas(held, f"{key} {kind}, dl int, term array<int>, tf array<int>"))
+    n, mean = kept.agg(F.count(F.lit(1)), F.avg("dl")).first()
     df = np.zeros(len(place))
-    for r in cut.select("terms").mapInPandas(counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in kept.select(F.explode("term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():
         df[r["term"]] = r["df"]
-    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None] * asked
+    mean = mean or 1.0
+    query, weight = triples[:, 1], np.log(1 + (n - df + 0.5) / (df + 0.5))[triples[:, 0]] * triples[:, 2]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                part = whole.iloc[at : at + 1000].sort_values(key, ignore_index=True)
-                row, term, tf = held(part["terms"])
-                x = np.zeros((len(part), len(place)))
-                long = part["dl"].to_numpy()[row]
-                x[row, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * long / mean))
-                got = np.round(x @ weight, 4)
+            for at in range(0, len(whole), 500):
+                part = whole.iloc[at : at + 500].sort_values(key, ignore_index=True)
+                sizes = np.array([len(t) for t in part["term"]])
+                row = np.repeat(np.arange(len(part)), sizes)
+                term, tf = (np.concatenate([np.zeros(0), *part[c]]) for c in ("term", "tf"))
+                term, long = term.astype(np.int64), part["dl"].to_numpy()[row]
+                x = tf * (k1 + 1) / (tf + k1 * (1 - b + b * long / mean))
+                each = starts[term + 1] - starts[term]
+                spot = np.repeat(starts[term] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                cell = np.repeat(row, each) * len(ids) + query[spot]
+                got = np.round(np.bincount(cell, np.repeat(x, each) * weight[spot], len(part) * len(ids)).reshape(len(part), len(ids)), 4)
                 best = np.argsort(-got, axis=0, kind="stable")[:k]
                 q, d = np.tile(np.arange(len(ids)), len(best)), best.ravel()
                 some = got[d, q] > 0
                 yield pd.DataFrame({"query_id": [ids[i] for i in q[some]], key: part[key].to_numpy()[d[some]], "score": got[d[some], q[some]]})
 
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}, score double"
-    return top(cut.mapInPandas(score, kinds), "query_id", [F.col("score").desc(), F.col(key)], k)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double"
+    return top(kept.mapInPandas(score, kinds), "query_id", [F.col("score").desc(), F.col(key)], k)
 
 
 def top(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

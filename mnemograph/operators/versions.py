@@ -44,16 +44,29 @@ def evidence_policy(df: DataFrame, old: Column, new: Column) -> DataFrame:
     return df.withColumns({"old_class": a, "new_class": b, "rank_change": T.evidence_rank(b) - T.evidence_rank(a), "policy": policy})
 
 
+def stated_values(nodes: DataFrame) -> DataFrame:
+    """subject, value, members (ids, sorted), values (different ones of the subject): what facts and events say."""
+    facts = nodes.where(F.col("memory_type").isin("fact", "event")).withColumn("p", T.proposition(F.coalesce("raw_text", "concept"))).where("p is not null")
+    said = facts.groupBy(F.col("p.subject").alias("subject"), F.col("p.value").alias("value")).agg(F.sort_array(F.collect_list("id")).alias("members"))
+    return said.join(said.groupBy("subject").agg(F.count(F.lit(1)).alias("values")), "subject")
+
+
 def conflicts(nodes: DataFrame) -> DataFrame:
-    """subject, a, b, a_value, b_value: facts or events that say different things of one subject.
+    """subject, a_value, b_value, a_members, b_members: the pairs of different values that are stated of one subject.
 
-    Rows are first counted by (subject, value): only values that differ are paired, so facts that agree make no pairs.
+    Facts are first gathered by (subject, value), so that those which agree make no pairs.
     """
-    facts = nodes.where(F.col("memory_type").isin("fact", "event")).withColumn("p", T.proposition(F.coalesce("raw_text", "concept"))).where("p is not null")
-    facts = facts.select("id", F.col("p.subject").alias("subject"), F.col("p.value").alias("value"))
-    a = facts.select(F.col("id").alias("a"), "subject", F.col("value").alias("a_value"))
-    b = facts.select(F.col("id").alias("b"), "subject", F.col("value").alias("b_value"))
-    return a.join(b, "subject").where("a < b and a_value <> b_value").select("subject", "a", "b", "a_value", "b_value")
+    said = stated_values(nodes).where("values > 1")
+    a, b = (said.select("subject", F.col("value").alias(f"{x}_value"), F.col("members").alias(f"{x}_members")) for x in "ab")
+    return a.join(b, "subject").where("a_value < b_value")
+
+
+def conflicting_pairs(nodes: DataFrame) -> DataFrame:
+    """subject, a, b, a_value, b_value: ``conflicts`` spelled out for their members, a before b."""
+    each = conflicts(nodes).withColumn("a", F.explode("a_members")).withColumn("b", F.explode("b_members"))
+    turn = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    return each.select("subject", pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("a_value", "b_value").alias("a_value"), pick("b_value", "a_value").alias("b_value"))
 
 
 def resolution_score(now: Column, authority: Column | None = None, sources: Column | None = None, valid_until: Column | None = None) -> Column:
@@ -68,8 +81,7 @@ def resolution_score(now: Column, authority: Column | None = None, sources: Colu
 
 def resolve(nodes: DataFrame, now: Column) -> DataFrame:
     """subject, id, score, rank: the sides of each conflict, the strongest first."""
-    found = conflicts(nodes)
-    sides = found.select("subject", F.col("a").alias("id")).union(found.select("subject", "b")).distinct()
+    sides = stated_values(nodes).where("values > 1").select("subject", F.explode("members").alias("id"))
     scored = sides.join(nodes.select("id", "confidence", "updated_at"), "id").withColumn("score", F.round(resolution_score(now), 6))
     return scored.select("subject", "id", "score", F.row_number().over(Window.partitionBy("subject").orderBy(F.col("score").desc(), "id")).cast("long").alias("rank"))
 

@@ -1,7 +1,7 @@
 """The driver's tables as a memory graph: nodes, edges, queries and logs, and the same as SQL.
 
 Vectors are nodes: their coordinates come from their numbers, their use from the events of the user with the same number
-(mod 150). Benchmark passages are text queries, vectors under 20 are vector queries. ``NOW`` is the clock.
+(mod 150). Benchmark passages are text queries, every hundredth vector is a query. ``NOW`` is the clock.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOW = "2024-02-01 00:00:00"
-USERS, N_QUERIES = 150, 20
+#: Users of the log; queries and starts of walks are the vectors whose number this divides.
+USERS, EVERY = 150, 100
 
 
 def now():
@@ -91,7 +92,7 @@ sym AS (SELECT a AS src, b AS dst, weight, confidence FROM pairs UNION ALL SELEC
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, vector, label: the vectors that are asked with."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES)
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % EVERY == 0)
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("query_label"))
 
 

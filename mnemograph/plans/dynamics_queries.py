@@ -107,16 +107,16 @@ def soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kernel(spark, sf_dir, amplitudes):
     m = _members(spark, sf_dir)
-    q = m.join(A.nodes(spark, sf_dir).where(F.col("num") < A.N_QUERIES).select("id", F.col("num").alias("query_id")), "id").select("query_id", "cid", "w")
+    q = m.join(A.nodes(spark, sf_dir).where(F.col("num") % A.EVERY == 0).select("id", F.col("num").alias("query_id")), "id").select("query_id", "cid", "w")
     return placement.overlap(q, m, amplitudes).withColumn("kernel", F.round("kernel", 5))
 
 
-@query("overlap_kernel", f"{_N}, {_MEMBERS} SELECT q.num AS query_id, m.id, round(sum(q.w * m.w), 5) AS kernel FROM mem q JOIN mem m USING (cid) WHERE q.num < {A.N_QUERIES} GROUP BY ALL")
+@query("overlap_kernel", f"{_N}, {_MEMBERS} SELECT q.num AS query_id, m.id, round(sum(q.w * m.w), 5) AS kernel FROM mem q JOIN mem m USING (cid) WHERE q.num % {A.EVERY} = 0 GROUP BY ALL")
 def overlap_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel(spark, sf_dir, False)
 
 
-@query("born_kernel", f"{_N}, {_MEMBERS} SELECT q.num AS query_id, m.id, round(pow(sum(sqrt(q.w * m.w)), 2), 5) AS kernel FROM mem q JOIN mem m USING (cid) WHERE q.num < {A.N_QUERIES} GROUP BY ALL")
+@query("born_kernel", f"{_N}, {_MEMBERS} SELECT q.num AS query_id, m.id, round(pow(sum(sqrt(q.w * m.w)), 2), 5) AS kernel FROM mem q JOIN mem m USING (cid) WHERE q.num % {A.EVERY} = 0 GROUP BY ALL")
 def born_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel(spark, sf_dir, True)
 
@@ -163,6 +163,19 @@ def adaptive_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", F.round("retention", 6).alias("retention"), F.round("new_importance", 4).alias("new_importance"))
 
 
+_LATER = "TIMESTAMP '2024-02-21 00:00:00'"
+
+
+@query("adaptive_decay_passes", f"""{_G}, {_STATE}, one AS (SELECT *, {_FADED} AS imp, TIMESTAMP '{A.NOW}' AS passed FROM ret),
+two AS (SELECT id, r AS r1, imp, exp(-greatest(0, date_diff('second', greatest(updated_at, passed), {_LATER}) / 86400.0)::DOUBLE / (21.0::DOUBLE * greatest(0.25, least(8, 1 + 0.35::DOUBLE * rank_ + 1.2::DOUBLE * stability + 0.6::DOUBLE * (imp - 0.5) + 0.8::DOUBLE * least(ln(1 + access_count) / ln(9::DOUBLE), 1) + 0.1::DOUBLE * {_D8})) / ln(2::DOUBLE))) AS r FROM one)
+SELECT id, round(r1, 6) AS first_retention, round(r, 6) AS second_retention, round(CASE WHEN r < 0.999 THEN round(greatest(imp * r, imp * 0.15::DOUBLE, 0.05), 4) ELSE imp END, 4)::DOUBLE AS new_importance FROM two""")
+def adaptive_decay_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass, and one twenty days later, which charges these twenty days alone."""
+    one = dynamics.adaptive_decay(_stated(spark, sf_dir), A.now()).withColumnRenamed("retention", "first").withColumn("importance", F.col("new_importance"))
+    two = dynamics.adaptive_decay(one.drop("faded", "new_importance"), F.lit("2024-02-21 00:00:00").cast("timestamp"))
+    return two.select("id", F.round("first", 6).alias("first_retention"), F.round("retention", 6).alias("second_retention"), F.round("new_importance", 4).alias("new_importance"))
+
+
 @query("reinforce_nodes", f"{_N} SELECT id, round(least(0.98, importance + 0.06::DOUBLE * (1.2 - importance)), 4)::DOUBLE AS importance FROM nodes WHERE access_count > 0")
 def reinforce_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.nodes(spark, sf_dir).where("access_count > 0").select("id", dynamics.lifted(F.col("importance")).alias("importance"))

@@ -18,7 +18,7 @@ def _gold(spark, sf_dir):
     return q.join(A.nodes(spark, sf_dir).select("id", "label"), "label").select("query_id", "id")
 
 
-@query("rotation_invariance", f"SELECT vec_id AS query_id, 1.0::DOUBLE AS jaccard, 1.0::DOUBLE AS top1 FROM embeddings WHERE vec_id < {A.N_QUERIES}")
+@query("rotation_invariance", f"SELECT vec_id AS query_id, 1.0::DOUBLE AS jaccard, 1.0::DOUBLE AS top1 FROM embeddings WHERE vec_id % {A.EVERY} = 0")
 def rotation_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.rotation_agreement(A.nodes(spark, sf_dir), A.vector_queries(spark, sf_dir), 64)
 
@@ -38,7 +38,7 @@ _STEP = """SELECT {s} AS step, q.label AS task, count(*) AS n, round(avg(hits /
   JOIN q USING (query_id) JOIN w ON w.label = q.label WHERE q.label <= {s} GROUP BY q.label"""
 
 
-@query("forgetting_lab", f"""{_N}, q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {A.N_QUERIES}), w AS (SELECT label, count(*) AS w FROM nodes GROUP BY 1),
+@query("forgetting_lab", f"""{_N}, q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {A.EVERY} = 0), w AS (SELECT label, count(*) AS w FROM nodes GROUP BY 1),
 cos AS (SELECT query_id, id, round(list_dot_product(v, embedding) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding, embedding))), 6) AS score FROM q, nodes)
 {" UNION ALL ".join(_STEP.format(s=s) for s in (3, 6, 9))}""")
 def forgetting_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,14 @@ def strategy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.strategy_sweep(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir), _gold(spark, sf_dir), A.now(), ("graph_centrality", "temporal"))
 
 
-@query("bm25_by_language")
+@query("bm25_by_language", r"""
+WITH d AS (SELECT doc_id, lang, lower(text) AS t FROM documents), p AS (SELECT doc_id, lang, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS term FROM d),
+tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM p GROUP BY ALL), dl AS (SELECT d.doc_id, d.lang, coalesce(sum(tf), 0) AS dl FROM d LEFT JOIN tf USING (doc_id) GROUP BY ALL),
+g AS (SELECT lang, count(*) AS n, avg(dl) AS av FROM dl GROUP BY 1), df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL),
+qt AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, tf.lang, sum(k * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))) AS score
+  FROM qt JOIN tf USING (term) JOIN df ON df.term = tf.term AND df.lang IS NOT DISTINCT FROM tf.lang JOIN dl USING (doc_id) JOIN g ON g.lang IS NOT DISTINCT FROM tf.lang GROUP BY ALL)
+SELECT lang, item_id AS query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY lang, item_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM s QUALIFY rank <= 8""")
 def bm25_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.by_language(A.documents(spark, sf_dir).select("doc_id", "text", "lang"), A.text_queries(spark, sf_dir), "doc_id")
 

@@ -11,7 +11,6 @@ from .catalog import query
 
 _G = f"WITH {A.NODES}, {A.EDGES}, {A.PAIRS}"
 _RG = f"WITH RECURSIVE {A.NODES}, {A.EDGES}, {A.PAIRS}"
-_SEEDS = "'v00000000','v00000003','v00000010'"
 
 
 def _sym(spark, sf_dir):
@@ -19,7 +18,7 @@ def _sym(spark, sf_dir):
 
 
 def _some(spark, sf_dir):
-    return A.nodes(spark, sf_dir).where(F.col("num").isin(0, 3, 10)).select("id")
+    return A.nodes(spark, sf_dir).where(F.col("num") % A.EVERY == 0).select("id")
 
 
 @query("edge_collapse", f"{_G} SELECT a, b, round(weight, 6) AS weight, array_to_string(relations, ',') AS relations, round(confidence, 6) AS confidence FROM pairs")
@@ -59,23 +58,24 @@ def neighbours_by_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("edge_lookup", f"""{_G} SELECT q.query_id, e.source_id, e.target_id, e.relation_type, round(e.weight, 6) AS weight FROM edges e
-JOIN (SELECT vec_id AS query_id, 'v' || lpad(vec_id::VARCHAR, 8, '0') AS id FROM embeddings WHERE vec_id < {A.N_QUERIES}) q ON q.id = e.source_id OR q.id = e.target_id""")
+JOIN (SELECT vec_id AS query_id, 'v' || lpad(vec_id::VARCHAR, 8, '0') AS id FROM embeddings WHERE vec_id % {A.EVERY} = 0) q ON q.id = e.source_id OR q.id = e.target_id""")
 def edge_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = A.nodes(spark, sf_dir).where(F.col("num") < A.N_QUERIES).select(F.col("num").alias("query_id"), F.col("id").alias("qid"))
+    q = A.nodes(spark, sf_dir).where(F.col("num") % A.EVERY == 0).select(F.col("num").alias("query_id"), F.col("id").alias("qid"))
     e = A.edges(spark, sf_dir).withColumn("ends", F.array("source_id", "target_id")).withColumn("qid", F.explode(F.array_distinct("ends")))
     return e.join(q, "qid").select("query_id", "source_id", "target_id", "relation_type", F.round("weight", 6).alias("weight"))
 
 
-@query("khop_ego", f"""{_RG}, e AS (SELECT id AS seed, id, 0 AS hop FROM nodes WHERE id IN ({_SEEDS}) UNION SELECT e.seed, s.dst, e.hop + 1 FROM e JOIN sym s ON s.src = e.id WHERE e.hop < 2)
+@query("khop_ego", f"""{_RG}, e AS (SELECT id AS seed, id, 0 AS hop FROM nodes WHERE num % {A.EVERY} = 0 UNION SELECT e.seed, s.dst, e.hop + 1 FROM e JOIN sym s ON s.src = e.id WHERE e.hop < 2)
 SELECT seed, id, min(hop) AS hop FROM e GROUP BY ALL""")
 def khop_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego(_some(spark, sf_dir), _sym(spark, sf_dir), 2)
 
 
-@query("shortest_path_hops", f"""{_RG}, e AS (SELECT id AS seed, id, 0 AS hop FROM nodes WHERE id IN ({_SEEDS}) UNION SELECT e.seed, s.dst, e.hop + 1 FROM e JOIN sym s ON s.src = e.id WHERE e.hop < 4)
-SELECT seed, id, min(hop) AS hop FROM e GROUP BY ALL HAVING min(hop) > 0""")
+@query("shortest_path_hops", f"""{_RG}, e(seed, id, hop) USING KEY (seed, id) AS (SELECT id, id, 0 FROM nodes WHERE num % {A.EVERY} = 0
+  UNION SELECT e.seed, s.dst, min(e.hop) + 1 FROM e JOIN sym s ON s.src = e.id LEFT JOIN recurring.e o ON o.seed = e.seed AND o.id = s.dst WHERE o.hop IS NULL OR o.hop > e.hop + 1 GROUP BY ALL)
+SELECT seed, id, hop FROM e WHERE hop > 0""")
 def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hop_distance(_some(spark, sf_dir), _sym(spark, sf_dir), 4)
+    return graph.hop_distance(_some(spark, sf_dir), _sym(spark, sf_dir))
 
 
 _PATHS = """p AS (SELECT id AS seed, id, 0::DOUBLE AS cost, [id] AS path, 0 AS h FROM {seeds}
@@ -83,22 +83,19 @@ _PATHS = """p AS (SELECT id AS seed, id, 0::DOUBLE AS cost, [id] AS path, 0 AS h
 best AS (SELECT seed, id, arg_min(path, (cost, h, array_to_string(path, '>'))) AS path, min(cost) AS cost FROM p WHERE seed <> id GROUP BY ALL)"""
 
 
-@query("weighted_path", f"""{_RG}, {_PATHS.format(seeds=f'nodes WHERE id IN ({_SEEDS})')}
-SELECT seed, id, round(cost, 6) AS cost, array_to_string(path, '>') AS path FROM best""")
+@query("weighted_path", f"""{_RG}, e(seed, id, cost, h, path) USING KEY (seed, id) AS (SELECT id, id, 0::DOUBLE, 0, id FROM nodes WHERE num % {A.EVERY} = 0
+  UNION SELECT seed, id, n[1], n[2], n[3] FROM (SELECT e.seed, s.dst AS id, min((round(e.cost + 1 / greatest(s.weight, 1e-6), 9), e.h + 1, e.path || '>' || s.dst)) AS n FROM e JOIN sym s ON s.src = e.id GROUP BY ALL) x
+  LEFT JOIN recurring.e o USING (seed, id) WHERE o.cost IS NULL OR n < (o.cost, o.h, o.path))
+SELECT seed, id, round(cost, 6) AS cost, path FROM e WHERE seed <> id""")
 def weighted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.cheapest_paths(_some(spark, sf_dir), _sym(spark, sf_dir), 3)
+    p = graph.cheapest_paths(_some(spark, sf_dir), _sym(spark, sf_dir))
     return p.select("seed", "id", F.round("cost", 6).alias("cost"), F.array_join("path", ">").alias("path"))
 
 
-_RARE = "SELECT * FROM edges WHERE relation_type = 'rel1'"
-
-
-@query("connected_components", f"""{_RG}, rare AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM ({_RARE})),
-both_ AS (SELECT a, b FROM rare UNION SELECT b, a FROM rare), r AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, both_.b FROM r JOIN both_ ON both_.a = r.id)
+@query("connected_components", f"""{_RG}, r AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, sym.dst FROM r JOIN sym ON sym.src = r.id)
 SELECT id, min(root) AS component FROM r GROUP BY id""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = A.edges(spark, sf_dir).where("relation_type = 'rel1'")
-    return graph.components(A.nodes(spark, sf_dir).select("id"), graph.symmetric(graph.pairs(rare)))
+    return graph.components(A.nodes(spark, sf_dir).select("id"), _sym(spark, sf_dir))
 
 
 @query("tree_depth_rings", """
@@ -136,7 +133,7 @@ def rewiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rewire(A.edges(spark, sf_dir), seed=7)
 
 
-_HITS = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {A.N_QUERIES}),
+_HITS = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {A.EVERY} = 0),
 cos AS (SELECT query_id, id, round(list_dot_product(v, embedding) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding, embedding))), 6) AS score FROM q, nodes),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos QUALIFY rank <= 24)"""
 
@@ -209,7 +206,7 @@ def lif_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activation.spiking(_seeds(spark, sf_dir), A.nodes(spark, sf_dir), _sym(spark, sf_dir))[1]
 
 
-_QT = f"qt AS (SELECT vec_id AS query_id, 'topic ' || label || ' of group ' || vec_id % 7 AS query FROM embeddings WHERE vec_id < {A.N_QUERIES})"
+_QT = f"qt AS (SELECT vec_id AS query_id, 'topic ' || label || ' of group ' || vec_id % 7 AS query FROM embeddings WHERE vec_id % {A.EVERY} = 0)"
 _CANDS = f"""{_SEEDED}, {_ACT}, top_act AS (SELECT * FROM act_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY activation DESC, id) <= 16),
 {_PATHS.format(seeds='(SELECT DISTINCT id FROM seeds)')}, {_QT},
 qw AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{3,}}'))) AS w FROM qt),

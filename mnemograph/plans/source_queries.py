@@ -28,21 +28,21 @@ def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv_files(spark, path).select("text")
 
 
-@query("json_source", """WITH j AS (SELECT part.* FROM part) SELECT p_partkey::VARCHAR AS key, unnest(['p_partkey: ' || p_partkey, p_name, p_brand, 'p_size: ' || p_size]) AS text FROM j""")
+@query("json_source", """WITH j AS (SELECT item_id, text FROM benchmark) SELECT item_id::VARCHAR AS key, unnest(['item_id: ' || item_id, text, 'n: ' || length(text)]) AS text FROM j""")
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_size")).alias("text"))
-    return readers.json_rows(p).select(F.col("path").alias("key"), "text")
+    """Passages written as one JSON file each, and read through the reader."""
+    b = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.to_json(F.struct("item_id", "text", F.length("text").alias("n"))).alias("value"))
+    path = _folder(spark, "json")
+    b.write.partitionBy("key").text(path)
+    return readers.json_files(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "/key=([^/]*)/", 1).alias("key"), "text")
 
 
-@query("text_source", "SELECT md5(text) AS hash, count(*) AS files FROM documents WHERE length(text) > 0 GROUP BY 1")
+@query("text_source", "SELECT item_id::VARCHAR AS key, 1 AS page, text FROM benchmark")
 def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as files of one text each and read again; blocks of documents are folders by source."""
-    d = A.documents(spark, sf_dir).where(F.length("text") > 0).select("text", F.col("doc_id").cast("string").alias("file"))
+    """Passages written as one text file each, and read through the reader."""
     path = _folder(spark, "text")
-    # a line feed inside a text is kept as such: each text is one JSON string, decoded again after reading
-    d.select(F.to_json(F.struct("text")).alias("value")).write.text(path)
-    lines = spark.read.text(path)
-    return lines.select(F.from_json("value", "text string")["text"].alias("text")).select(F.md5(T.sanitize(F.col("text"))).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("files"))
+    A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("value")).write.partitionBy("key").text(path)
+    return readers.text_files(spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "/key=([^/]*)/", 1).alias("key"), "page", F.rtrim("text", F.lit("\n")).alias("text"))
 
 
 @query("self_question_set", f"""WITH {A.NODES} SELECT id AS query_id, concept AS question, raw_text AS answer FROM nodes WHERE length(raw_text) >= 12""")

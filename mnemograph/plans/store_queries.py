@@ -153,7 +153,7 @@ x AS (SELECT a.subject, a.id AS a, b.id AS b, a.value AS a_value, b.value AS b_v
 
 @query("proposition_conflicts", f"{_N}, {_FACTS} SELECT * FROM x")
 def proposition_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.conflicts(A.nodes(spark, sf_dir))
+    return V.conflicting_pairs(A.nodes(spark, sf_dir))
 
 
 @query("conflict_resolution", f"""{_N}, {_FACTS}, s AS (SELECT subject, a AS id FROM x UNION SELECT subject, b FROM x),
@@ -194,7 +194,7 @@ def stdp_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("source_id", "target_id", "relation_type", plasticity.bounded(new).alias("new_weight"), "change")
 
 
-@query("recall_mrr_eval", f"""{_N}, {_HITS}, g AS (SELECT q.vec_id AS query_id, n.id FROM embeddings q JOIN nodes n ON n.label = q.label WHERE q.vec_id < {A.N_QUERIES}), w AS (SELECT query_id, count(*) AS w FROM g GROUP BY 1),
+@query("recall_mrr_eval", f"""{_N}, {_HITS}, g AS (SELECT q.vec_id AS query_id, n.id FROM embeddings q JOIN nodes n ON n.label = q.label WHERE q.vec_id % {A.EVERY} = 0), w AS (SELECT query_id, count(*) AS w FROM g GROUP BY 1),
 h AS (SELECT hits.query_id, count(g.id) AS hits, min(rank) FILTER (g.id IS NOT NULL) AS first FROM hits LEFT JOIN g USING (query_id, id) WHERE rank <= 8 GROUP BY 1)
 SELECT query_id, round(hits / w, 6) AS recall, round(hits / 8, 6) AS precision, round(coalesce(1 / first, 0), 6) AS mrr FROM h JOIN w USING (query_id)""")
 def recall_mrr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,9 +246,19 @@ def paired_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diffs(spark, sf_dir)
 
 
-@query("paired_bootstrap")
+_DIFFS = """e AS (SELECT user_id, event_type, round(avg(value), 4) AS v FROM events GROUP BY ALL),
+d AS (SELECT a.event_type AS system, a.user_id AS query_id, round(a.v - b.v, 3) AS diff FROM e a JOIN e b USING (user_id) WHERE a.event_type <> 'view' AND b.event_type = 'view')"""
+
+
+@query("paired_bootstrap", f"""WITH {_DIFFS}, p AS (SELECT system, diff, row_number() OVER (PARTITION BY system ORDER BY query_id) - 1 AS place FROM d),
+s AS (SELECT system, count(*) AS n, avg(diff) AS mean FROM d GROUP BY 1),
+draws AS (SELECT p.system, r.round, ('0x' || substr(md5('42:' || r.round || ':' || p.place), 1, 8))::BIGINT % n AS place FROM p JOIN s USING (system), range(10000) AS r(round)),
+m AS (SELECT system, round, round(avg(diff), 9) AS m FROM draws JOIN p USING (system, place) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY m) AS i FROM m)
+SELECT system, any_value(n) AS n_pairs, round(any_value(mean), 5) AS mean_diff, round(max(m) FILTER (i = 251), 5) AS ci_low, round(max(m) FILTER (i = 9750), 5) AS ci_high,
+  greatest(2 * count(*) FILTER ((mean >= 0) = (m < 0)) / 10000, 0.0001)::DOUBLE AS p_value FROM k JOIN s USING (system) GROUP BY system""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.paired_bootstrap(_diffs(spark, sf_dir), ["system"], rounds=2000)
+    return evaluation.paired_bootstrap(_diffs(spark, sf_dir), ["system"])
 
 
 @query("wilcoxon_signed_rank", """WITH e AS (SELECT user_id, event_type, round(avg(value), 4) AS v FROM events GROUP BY ALL), d AS (SELECT a.event_type AS system, round(a.v - b.v, 3) AS diff FROM e a JOIN e b USING (user_id) WHERE a.event_type <> 'view' AND b.event_type = 'view'),

@@ -1,5 +1,7 @@
 """Operators on small fixtures with known results."""
 
+import hashlib
+import re
 import random
 from datetime import datetime, timedelta
 
@@ -45,6 +47,7 @@ def test_vectors(spark):
 
 def test_chunks():
     text = " ".join(f"Sentence number {i} ends here." for i in range(100))
+    assert ingest.chunk_bounds(np.array([50, 60, 70, 80, 30, 30]), 150, 65) == [(0, 2), (1, 3), (3, 6)]
     chunks = ingest.pack_sentences(text, text.replace(". ", ".\0").split("\0"), 200, 40)
     assert all(len(c) <= 240 for c in chunks) and chunks[0].startswith("Sentence number 0")
     assert ingest.pack_sentences("short", ["short"]) == ["short"] and ingest.pack_sentences("  ", []) == []
@@ -227,20 +230,54 @@ def test_evaluation(spark):
     assert [round(r["forgetting"], 6) for r in c] == [0, 0, 0.4] and [round(r["retention"], 6) for r in c] == [1, 1.6, 0.5]
     d = spark.createDataFrame([("s", i, x) for i, x in enumerate([0.1, 0.2, -0.05, 0.3, 0.15, 0.2, 0.1, 0.25])], "system string, query_id int, diff double")
     b = evaluation.paired_bootstrap(d, ["system"], rounds=500).first()
-    rng, x = random.Random(42), [0.1, 0.2, -0.05, 0.3, 0.15, 0.2, 0.1, 0.25]
-    boots = sorted(sum(x[rng.randrange(8)] for _ in range(8)) / 8 for _ in range(500))
+    x = [0.1, 0.2, -0.05, 0.3, 0.15, 0.2, 0.1, 0.25]
+    draw = lambda r, j: x[int(hashlib.md5(f"42:{r}:{j}".encode()).hexdigest()[:8], 16) % 8]
+    boots = sorted(sum(draw(r, j) for j in range(8)) / 8 for r in range(500))
     assert (b["ci_low"], b["ci_high"]) == (round(boots[12], 5), round(boots[486], 5)) and b["p_value"] < 0.05
     assert evaluation.paired_bootstrap(d.withColumn("diff", F.lit(0.0)), ["system"], 50).first()["p_value"] == 1
     w = evaluation.wilcoxon(d, ["system"]).first()
     assert w["statistic"] == 1 and w["p_value"] < 0.05
+    assert evaluation.wilcoxon(d.where("query_id in (0, 1, 3, 4, 5)"), ["system"]).first()["p_value"] == 1
     z = spark.createDataFrame([(0.5,), (1.96,)], "z double").select(evaluation.normal_tail(F.col("z"))).collect()
     assert z[0][0] == pytest.approx(evaluation.exact_tail(0.5), abs=1e-6) and z[1][0] == pytest.approx(evaluation.exact_tail(1.96), abs=1e-6)
 
 
-def test_compress_budget():
-    items = [{"id": i, "text": f"Fact {i} is about topic. Other words follow here. The answer is {i}.", "sentences": [f"Fact {i} is about topic.", "Other words follow here.", f"The answer is {i}."], "ring": 1, "sector": "s"} for i in range(20)]
-    text, ids = compression.pack("answer topic", [items[0], *items], 60)
-    assert len(text.split()) <= 60 and ids[0] == 0 and ids.count(0) == 1
+def test_compress_budget(spark):
+    """Against a plain greedy choice that counts the tokens of the whole context anew for each sentence."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["answer", "topic", "alpha", "Beta", "gamma", "é"])
+    rows = []
+    for q in range(12):
+        for k in range(rng.randint(1, 6)):
+            text = " ".join(" ".join(word() for _ in range(rng.randint(1, 8))) + rng.choice(".!?") for _ in range(rng.randint(0, 6)))
+            rows.append((q, "answer topic" if q % 3 else "", k + 1, f"i{k}", rows[-1][4] if rows and rng.random() < 0.1 else None if rng.random() < 0.1 else text, k % 3, rng.choice(["s", "two words"])))
+    df = spark.createDataFrame(rows, "query_id long, query string, rank int, id string, text string, ring int, sector string")
+
+    def plain(items, budget):
+        asked = set(re.findall(r"\w+", items[0][1]))
+        lines, ids, seen = [], [], set()
+        for _, _, _, i, text, ring, sector in items:
+            parts = [p for p in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if p]
+            if not parts or text[:2000] in seen:
+                continue
+            seen.add(text[:2000])
+            shown = set()
+            render = lambda on: f"[{len(lines) + 1}] (ring{ring} · {sector}) " + " ".join(parts[j] for j in sorted(on))  # noqa: B023, E731
+            for j in sorted(range(len(parts)), key=lambda j: (-len(asked & set(re.findall(r"\w+", parts[j].lower()))), j)):
+                if parts[j] not in {parts[x] for x in shown} and len("\n".join([*lines, render(shown | {j})]).split()) <= budget:
+                    shown.add(j)
+            if shown:
+                lines.append(render(shown))
+                ids.append(i)
+        return "\n".join(lines), ids
+
+    for budget in (4, 15, 40, 400):
+        got = {r["query_id"]: r for r in compression.compress(df, budget).collect()}
+        for q in range(12):
+            items = [r for r in rows if r[0] == q]
+            text, ids = plain(items, budget)
+            assert (got[q]["context"], got[q]["ids"], got[q]["n_tokens"]) == (text, ids, len(text.split()))
+            assert got[q]["n_raw_tokens"] == sum(len((r[4] or "").split()) for r in items)
 
 
 def test_affect():
@@ -270,3 +307,72 @@ def test_placement_all_strategies(spark):
     for strategy in ("embedding_clusters", "graph_centrality", "temporal", "hybrid", "unknown"):
         p = placement.place(n, graph.induced(e, n), strategy, A.now())
         assert p.count() == 60 and p.where("ring < 0 or ring > 4 or radial_distance < 0 or radial_distance > 1").count() == 0
+
+
+def test_entities_of_every_language(spark):
+    """Against the patterns in Python, whose word borders know every script."""
+    from mnemograph.plans import catalog
+
+    def plain(text):
+        found = [p.strip() for p in re.findall(r"\b([A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)*)\b", text)]
+        found = list(dict.fromkeys(p for p in found if len(p) > 2 and p.lower() not in T.STOP_WORDS))[:8]
+        low = [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9_-]{2,}", text)]
+        return "|".join(found or list(dict.fromkeys(w for w in low if len(w) >= 4 and w not in T.STOP_WORDS))[:3])
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["entities"] for r in catalog.queries()["entity_extract"](spark, folder).collect()}
+    assert got == {i: plain(t) for i, t in texts.items()}
+
+
+def test_decay_charges_each_interval_once(spark):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    node = spark.createDataFrame([("a", 0.8, 0.7, 0.5, 3, 2, "new", day(0))], "id string, importance double, confidence double, stability double, access_count int, records int, state string, updated_at timestamp")
+    once = dynamics.adaptive_decay(node, F.lit(day(30))).first()
+    again = dynamics.adaptive_decay(dynamics.adaptive_decay(node, F.lit(day(30))).withColumn("importance", F.col("new_importance")).drop("retention", "faded", "new_importance"), F.lit(day(30))).first()
+    assert once["retention"] < 1 and again["retention"] == 1 and again["new_importance"] == once["new_importance"]
+
+
+def test_query_blocks_give_the_same_answers(spark, monkeypatch):
+    from mnemograph.operators import lexical
+
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)], "id int, embedding array<double>")
+    asked = nodes.where("id % 3 = 0").selectExpr("id AS query_id", "embedding AS vector")
+    words = ["red", "green", "blue", "one", "two", "naïve"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(50)] + [(50, None)], "doc_id int, text string")
+    texts = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate(zip(words, words[1:]))], "query_id int, query string")
+    whole = [set(map(tuple, retrieval.vector_topk(nodes, asked, 5).collect())), set(map(tuple, lexical.bm25(docs, "doc_id", texts, 5).collect()))]
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 2)
+    parts = [set(map(tuple, retrieval.vector_topk(nodes, asked, 5).collect())), set(map(tuple, lexical.bm25(docs, "doc_id", texts, 5).collect()))]
+    assert whole == parts and len(whole[0]) == 100
+
+
+def test_paths_of_any_length(spark):
+    """Hops and costs against breadth-first search and Dijkstra's algorithm, on a long ring with a short cut."""
+    import heapq
+
+    rng = random.Random(2)
+    pairs = {(i, (i + 1) % 30): rng.choice([0.5, 1.0, 2.0]) for i in range(30)} | {(3, 17): 0.1}
+    edges = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", "r", w, 0.5) for (a, b), w in pairs.items()], EDGES)
+    sym = graph.symmetric(graph.pairs(edges))
+    near = {}
+    for (a, b), w in pairs.items():
+        near.setdefault(a, []).append((b, 1 / w))
+        near.setdefault(b, []).append((a, 1 / w))
+
+    def costs(unit):
+        best, heap = {}, [(0, 0)]
+        while heap:
+            c, n = heapq.heappop(heap)
+            if n not in best:
+                best[n] = c
+                for m, w in near[n]:
+                    heapq.heappush(heap, (c + (1 if unit else w), m))
+        return {f"n{n:02}": c for n, c in best.items() if n}
+
+    seed = spark.createDataFrame([("n00",)], "id string")
+    assert {r["id"]: r["hop"] for r in graph.hop_distance(seed, sym).collect()} == costs(True)
+    got = {r["id"]: r["cost"] for r in graph.cheapest_paths(seed, sym).collect()}
+    assert got == pytest.approx(costs(False))
