@@ -487,7 +487,8 @@ def ngram_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     named = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
     named = named.join(label.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("rows").alias("class_size"))
-    by_set = named.select("digest", "label").join(classes, "label")
+    # kept apart from the rows that it was counted from, so that a join by a label of many sets can be split
+    by_set = named.select("digest", "label").join(scratch.keep(classes, "counted"), "label")
     out = sets.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(by_set, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "text_hash", F.col("label").alias("class_key"))
     out = scratch.keep(out, "classes")
