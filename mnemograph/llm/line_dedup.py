@@ -169,7 +169,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least:
     # keys of many lines, counted with partial sums
     busy = scratch.keep(own.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > COMMON).select("key"), "busy")
     busy = F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy
-    rare = probe.join(own.join(busy, "key", "left_anti").select("ik", "key"), "key").where("pk <> ik").select("pk", "ik").distinct()
+    rare = probe.withColumnRenamed("slot", "at").join(own.join(busy, "key", "left_anti").select("ik", "key"), "key").where("pk <> ik").select("pk", "ik", "at").distinct()
     rare = scratch.keep(rare, "pairs")
     common = scratch.keep(own.join(busy, "key", "left_semi"), "common")
     asked = scratch.keep(probe.join(busy, "key", "left_semi"), "asked")
@@ -198,8 +198,12 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, edits: int = EDITS, least:
     outer = scratch.keep(outer, "outer")
     still = scratch.keep(inner.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON).select("key"), "still")
     still = F.broadcast(still) if still.count() <= BROADCAST_ROWS else still
+    # pairs by other keys have to agree in a part of the rest just as well
+    both = rare.join(a, "pk").join(b, "ik").withColumn("m", F.length("il")).withColumn("p", F.element_at(probes, F.col("at") + 1)).withColumn("g", F.element_at(segments, F.col("p.i") + 1))
+    rest = lambda line, shift, mine: rest_keys(F.col(line), F.lit(0), F.col("p.i"), F.col("g.start") + shift, F.col("g.size"), F.col("m"), mine, edits)
+    likely = both.where(F.arrays_overlap(rest("il", F.lit(0), True), rest("pl", F.col("p.shift"), False))).select("pk", "ik")
     pairs = outer.select("pk", "key").join(inner.join(still, "key", "left_anti").select("ik", "key"), "key").where("pk <> ik").select("pk", "ik")
-    cold = rare.union(pairs).distinct().join(a, "pk").join(b, "ik").where(F.abs(F.length("pl") - F.length("il")) <= edits)
+    cold = likely.union(pairs).distinct().join(a, "pk").join(b, "ik").where(F.abs(F.length("pl") - F.length("il")) <= edits)
     cold = cold.where(within_edits(F.col("pl"), F.col("il"), edits)).select(later)
     short_side, long_side = inner.join(still, "key", "left_semi").withColumnRenamed("key", "ikey"), outer.join(still, "key", "left_semi")
     # levenshtein gives -1 beyond its bound
