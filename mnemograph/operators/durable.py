@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, named by spark.checkpoint.dir; where unset (tests), a local one, which is then set."""
+    """The folder that all executors see, named by spark.checkpoint.dir; where unset in local mode (tests), a local one, which is then set."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-loops-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -66,9 +66,11 @@ def plan_tasks(members: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
 
 def strategy_sweep(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold: DataFrame, now: Column, strategies: tuple[str, ...], k: int = 8) -> DataFrame:
     """strategy, n, recall, precision, mrr of the full ranking after each placement."""
-    out = None
+    out, shared = None, retrieval.channels(nodes, edges, queries)
     for s in strategies:
-        runs = retrieval.retrieve(placement.place(nodes, edges, s, now), edges, queries, now, k=k)
+        placed = placement.place(nodes, edges, s, now)
+        scored = retrieval.components(retrieval.candidates(placed, edges, queries, shared=shared), placed, edges, queries, now)
+        runs = retrieval.rank_scored(scored, tuple(retrieval.WEIGHTS), k)
         row = evaluation.means(evaluation.ranking_metrics(runs, gold, k), ["recall", "precision", "mrr"], []).withColumn("strategy", F.lit(s))
         out = row if out is None else out.unionByName(row)
     return out

@@ -183,6 +183,10 @@ def angles(nodes: DataFrame, sector: str) -> DataFrame:
     return place.join(order, sector).select("id", (2 * np.pi * (F.col("s") + (F.col("i") - 0.5) / F.col("n")) / F.col("m")).alias("angle"))
 
 
+#: The strategies of ``place``.
+STRATEGIES = ("embedding_clusters", "graph_centrality", "hierarchy", "temporal", "hybrid")
+
+
 def place(nodes: DataFrame, edges: DataFrame, strategy: str, now: Column) -> DataFrame:
     """nodes with ring, sector, depth and radial_distance set by a strategy; unknown ones are hybrid.
 

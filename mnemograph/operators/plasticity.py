@@ -69,3 +69,10 @@ def spike_timing(edges: DataFrame, spikes: DataFrame, window: int = 1, rate: flo
     )
     kind = F.when(up, "ltp").when(F.col("ltd").isNotNull(), "ltd").otherwise("none")
     return e.crossJoin(F.broadcast(n)).select("source_id", "target_id", "weight", new.alias("new_weight"), kind.alias("change"))
+
+
+def set_weights(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """``edges`` with the weights of ``new`` (a, b, weight) on every record between a and b, in either direction; others stay."""
+    u = new.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("weight").alias("_w"))
+    hit = (F.least("source_id", "target_id") == F.least("_a", "_b")) & (F.greatest("source_id", "target_id") == F.greatest("_a", "_b"))
+    return edges.join(u, hit, "left").withColumn("weight", F.coalesce("_w", "weight")).drop("_a", "_b", "_w")

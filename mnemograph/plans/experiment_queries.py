@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import experiments, retrieval
+from ..operators import experiments, placement, retrieval
 from . import adapters as A
 from .catalog import query
 from .graph_queries import _CANDS, _RG, _components, _queries, _score_sql
@@ -48,7 +48,9 @@ def forgetting_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("strategy_sweep")
 def strategy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.strategy_sweep(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir), _gold(spark, sf_dir), A.now(), ("graph_centrality", "temporal"))
+    """All strategies; for the hierarchy, a node's parent is the one with an eighth of its number."""
+    parent = F.when(F.col("num") > 0, F.concat(F.lit("v"), F.lpad(F.floor(F.col("num") / 8).cast("string"), 8, "0")))
+    return experiments.strategy_sweep(A.nodes(spark, sf_dir).withColumn("parent_id", parent), A.edges(spark, sf_dir), _queries(spark, sf_dir), _gold(spark, sf_dir), A.now(), placement.STRATEGIES)
 
 
 @query("bm25_by_language", r"""
