@@ -376,3 +376,29 @@ def test_paths_of_any_length(spark):
     assert {r["id"]: r["hop"] for r in graph.hop_distance(seed, sym).collect()} == costs(True)
     got = {r["id"]: r["cost"] for r in graph.cheapest_paths(seed, sym).collect()}
     assert got == pytest.approx(costs(False))
+
+
+def test_samples_and_splits(spark):
+    from mnemograph.operators import benchmarks
+
+    rows = spark.createDataFrame([(i, f"g{i % 7}" if i % 10 else None) for i in range(70)], "id int, grp string")
+    key = lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest()
+    assert {r["id"] for r in benchmarks.sample(rows, "id", 9, 5).collect()} == set(sorted(range(70), key=key)[:9])
+    assert benchmarks.sample(rows, "id", 0).count() == 70
+    sides = {}
+    for r in benchmarks.grouped_split(rows, "grp").collect():
+        sides.setdefault(r["grp"], set()).add(r["side"])
+    assert sorted(next(iter(v)) for v in sides.values()) == ["holdout"] * 2 + ["train"] * 5 and all(len(v) == 1 for v in sides.values())
+
+
+def test_answer_quality_and_supersession(spark):
+    from mnemograph.operators import benchmarks
+
+    passages = spark.createDataFrame([(1, "The red fox ran"), (1, "a fox in the snow"), (2, None), (3, "concatenate red foxes")], "query_id int, text string")
+    answers = spark.createDataFrame([(1, "Red fox!"), (2, "snow"), (3, "red fox"), (4, "")], "query_id int, answer string")
+    got = {r["query_id"]: (r["coverage"], r["found"]) for r in benchmarks.answer_quality(passages, answers).collect()}
+    assert got == {1: (1.0, 1), 2: (0.0, 0), 3: (0.5, 0), 4: (0.0, 0)}
+    nodes = spark.createDataFrame([("a", 1), ("b", 4), ("c", 1)], "id string, memory_version int")
+    gone = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "unknown")], "id string, by string")
+    out = benchmarks.supersede(nodes, gone, F.lit(datetime(2024, 1, 1))).collect()
+    assert [(r["id"], r["superseded_by"], r["memory_version"], r["state"]) for r in out] == [("a", "b", 2, "consolidated")]
