@@ -20,6 +20,13 @@ RELATIONS = (
     ("released_in", r"([A-Za-z][\w\s-]{2,40}?)\s+(?:released|published|introduced)\s+(?:in|on)\s+([0-9]{4})"),
 )
 
+# Patterns of marks (and what takes their place), salient words, capitalised phrases, sentence ends and statements.
+MARKDOWN = ((r"```[\w-]*\n?", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[#*_>`]{1,3}", ""))
+SALIENT = r"([A-Za-z][A-Za-z0-9_-]{2,})"
+CAPITALISED = r"\b([A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)*)\b"
+SENTENCE_END = r"(?<=[.!?])\s+"
+PROPOSITION = r"(?is)^(.+?)\s+(?:is|was|are|=|:)\s+(.+)$"
+
 
 def sanitize(x: Column) -> Column:
     """One kind of line end, no control characters but tab and line feed."""
@@ -33,9 +40,9 @@ def squeeze(x: Column) -> Column:
 
 def strip_markdown(x: Column) -> Column:
     """Without code fences, link targets and runs of up to three marks."""
-    x = F.regexp_replace(x, r"```[\w-]*\n?", "")
-    x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    return F.regexp_replace(x, r"[#*_>`]{1,3}", "")
+    for pattern, put in MARKDOWN:
+        x = F.regexp_replace(x, pattern, put)
+    return x
 
 
 def html_text(x: Column, most: int = 100_000) -> Column:
@@ -58,7 +65,7 @@ def unicode_words(x: Column) -> Column:
 
 def salient_words(x: Column) -> Column:
     """Lower-case words of letters, digits, _ and -, of three characters or more, that begin with a letter."""
-    return F.transform(F.regexp_extract_all(x, F.lit(r"([A-Za-z][A-Za-z0-9_-]{2,})"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(x, F.lit(SALIENT), F.lit(1)), F.lower)
 
 
 def pieces(x: Column) -> Column:
@@ -68,7 +75,7 @@ def pieces(x: Column) -> Column:
 
 def sentences(x: Column) -> Column:
     """Trimmed sentences, cut where white space follows . ! or ?"""
-    return F.filter(F.transform(F.split(F.trim(x), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(x), SENTENCE_END), F.trim), lambda s: s != "")
 
 
 def concepts(x: Column, most: int = 12) -> Column:
@@ -78,7 +85,7 @@ def concepts(x: Column, most: int = 12) -> Column:
 
 def capitalised(x: Column) -> Column:
     """Phrases of capitalised words, without stop words and those under three characters."""
-    found = F.regexp_extract_all(x, F.lit(r"\b([A-Z][a-zA-Z0-9]*(?:\s+[A-Z][a-zA-Z0-9]*)*)\b"), F.lit(1))
+    found = F.regexp_extract_all(x, F.lit(CAPITALISED), F.lit(1))
     return F.filter(F.transform(found, F.trim), lambda p: (F.length(p) > 2) & ~F.lower(p).isin(STOP_WORDS))
 
 
@@ -111,9 +118,6 @@ def lead(x: Column, n: int = 2) -> Column:
     return F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, n), " ")).otherwise(F.substring(x, 1, 200))
 
 
-PROPOSITION = r"(?is)^(.+?)\s+(?:is|was|are|=|:)\s+(.+)$"
-
-
 def proposition(x: Column) -> Column:
     """(subject, value), lower-case and trimmed, of "subject is value"; null where the text is none."""
     x = F.trim(x)
@@ -192,9 +196,9 @@ def evidence_rank(kind: Column) -> Column:
 
 # Digits of romanised consonants; longer spellings are read first, all else is 0.
 DIGITS = {
-    "chh": 7, "jh": 9, "kh": 2, "gh": 4, "Th": 2, "Dh": 4, "th": 7, "dh": 9, "ph": 2, "bh": 4, "ch": 7, "sh": 5, "~n": 0, "~N": 5,
-    "k": 1, "g": 3, "G": 5, "c": 6, "j": 8, "T": 1, "D": 3, "N": 5, "t": 6, "d": 8, "n": 0, "p": 1, "b": 3, "m": 5,
-    "y": 1, "r": 2, "l": 3, "v": 4, "z": 5, "S": 6, "s": 7, "h": 8, "x": 0,
+    "chh": "7", "jh": "9", "kh": "2", "gh": "4", "Th": "2", "Dh": "4", "th": "7", "dh": "9", "ph": "2", "bh": "4", "ch": "7", "sh": "5", "~n": "0", "~N": "5",
+    "k": "1", "g": "3", "G": "5", "c": "6", "j": "8", "T": "1", "D": "3", "N": "5", "t": "6", "d": "8", "n": "0", "p": "1", "b": "3", "m": "5",
+    "y": "1", "r": "2", "l": "3", "v": "4", "z": "5", "S": "6", "s": "7", "h": "8", "x": "0",
 }
 
 
@@ -202,7 +206,7 @@ def syllable_digits(x: Column) -> Column:
     """One digit for each consonant spelling of a text, the longest first; white space is skipped, others give 0."""
     spellings = sorted(DIGITS, key=lambda s: -len(s))
     found = F.regexp_extract_all(F.trim(x), F.lit("(" + "|".join(spellings) + r"|(?s:\S))"), F.lit(1))
-    table = F.create_map(*[y for k, v in DIGITS.items() for y in (F.lit(k), F.lit(str(v)))])
+    table = F.create_map(*[y for k, v in DIGITS.items() for y in (F.lit(k), F.lit(v))])
     digits = F.transform(found, lambda s: F.coalesce(F.try_element_at(table, s), F.try_element_at(table, F.lower(s)), F.lit("0")))
     return F.when(F.size(digits) > 0, F.array_join(digits, "")).otherwise(F.lit("0"))
 
