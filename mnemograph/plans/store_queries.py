@@ -261,11 +261,12 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired_bootstrap(_diffs(spark, sf_dir), ["system"])
 
 
-@query("wilcoxon_signed_rank", """WITH e AS (SELECT user_id, event_type, round(avg(value), 4) AS v FROM events GROUP BY ALL), d AS (SELECT a.event_type AS system, round(a.v - b.v, 3) AS diff FROM e a JOIN e b USING (user_id) WHERE a.event_type <> 'view' AND b.event_type = 'view'),
-r AS (SELECT *, rank() OVER (PARTITION BY system ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY system, abs(diff)) - 1) / 2 AS r FROM d WHERE diff <> 0)
-SELECT system, count(*) AS n_pairs, least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0))::DOUBLE AS statistic FROM r GROUP BY 1""")
+@query("wilcoxon_signed_rank", f"""WITH {_DIFFS}, r AS (SELECT *, rank() OVER (PARTITION BY system ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY system, abs(diff)) - 1) / 2 AS r, count(*) OVER (PARTITION BY system, abs(diff)) AS t FROM d WHERE diff <> 0),
+s AS (SELECT system, count(*) AS n, least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0))::DOUBLE AS w, sum(t * t - 1)::DOUBLE AS tied FROM r GROUP BY 1),
+z AS (SELECT *, abs((w - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tied / 48)) AS z FROM s), u AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS u FROM z)
+SELECT system, n AS n_pairs, w AS statistic, CASE WHEN n < 6 THEN 1.0 ELSE round(2 * exp(-z * z / 2) / sqrt(2 * pi()) * (0.319381530::DOUBLE * u - 0.356563782::DOUBLE * pow(u, 2) + 1.781477937::DOUBLE * pow(u, 3) - 1.821255978::DOUBLE * pow(u, 4) + 1.330274429::DOUBLE * pow(u, 5)), 6) END AS p_value FROM u""")
 def wilcoxon_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.wilcoxon(_diffs(spark, sf_dir), ["system"]).drop("p_value")
+    return evaluation.wilcoxon(_diffs(spark, sf_dir), ["system"])
 
 
 @query("jaccard_matrix", """WITH u AS (SELECT event_type AS system, user_id % 10 AS query_id, list(DISTINCT user_id) AS ids FROM events GROUP BY ALL)
