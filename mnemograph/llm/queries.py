@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cdc_dedup, collocations, jpeg_media, line_dedup, mixing, ngram_join, packing, quality, repeats, token_store, toxicity
+from . import cdc_dedup, collocations, hard_negatives, jpeg_media, line_dedup, mixing, ngram_join, packing, pii, quality, repeats, token_store, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1,
@@ -15,11 +15,14 @@ QUERIES = {
     "op8_gear_chunks": cdc_dedup.op8,
     "op9_line_dedup": line_dedup.op9,
     "op10_repeated_strings": repeats.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_personal_data": pii.op12,
     "op13_collocations": collocations.op13,
 }
 
 SQL: dict[str, str] = {
     "op4_quality_rules": quality.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
     "op13_collocations": collocations.SQL,
 }
