@@ -3,13 +3,14 @@ r"""Phrase collocations (operator 13): phrases of two to five words that stand t
 Texts are lower-cased (A-Z), split at ``[.,;:!?\x0A-\x0D]`` into pieces and those into words ``[^\x20\x09]+``. Counts are
 of all texts of a language, occurrences may overlap, and none crosses a piece.
 
-1. A first pass counts words and pairs of words, in each task before anything is shuffled. A word is a 64-bit hash here; a
-   second hash is counted along, and should two words of a language share the first, the pass is run anew with another seed.
-2. Only suffixes that begin with two frequent pairs can begin a frequent phrase of three words or more. A bit filter of the
-   frequent pairs, of at most 2^``FILTER_BITS`` bits whatever their number, goes to the tasks of a second pass; what it
-   lets through by mistake is counted and found infrequent later. Each task joins equal suffixes, cut at five words or at
+1. A first pass counts words, a second one pairs of frequent words, in each task before anything is shuffled. A word is a
+   64-bit hash of its language and letters; a second hash is counted along, and should two words share the first, the pass
+   is run anew with another seed.
+2. Only suffixes that begin with two frequent pairs can begin a frequent phrase of three words or more. Bit filters of
+   frequent words and pairs, of at most 2^``FILTER_BITS`` bits whatever their number, go to the tasks of the next pass; what
+   they let through by mistake is counted and found infrequent later. Each task joins equal suffixes, cut at five words or at
    the first infrequent pair, into one with a weight.
-3. Suffixes are routed by language and leading words, so that all of a phrase meet. In a task, pointers to them are sorted
+3. Suffixes are routed by their leading words, so that all of a phrase meet. In a task, pointers to them are sorted
    by multikey three-way quicksort: a pivot word parts them into smaller, equal and larger; the weight of the equal part is
    the count of the phrase so far, and goes on to the next word; parts lighter than the least count are abandoned.
    Leading pairs with more than ``GROUP_ROWS`` different suffixes are routed by a third word too; triples with more than
@@ -23,7 +24,7 @@ clash with nothing.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from .shared import Scratch, table
 LEAST, LONGEST, BEST = 100, 5, 2000
 FILTER_BITS, PROBES = 26, 3
 #: Different suffixes of a leading pair, or triple, beyond which it is split; rows that a task gathers before it joins equal ones.
-GROUP_ROWS, FLUSH = 250_000, 3_000_000
+GROUP_ROWS, FLUSH = 250_000, 1_000_000
 
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
@@ -48,9 +49,12 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """Words of a block of texts: their spans, hashes, languages, and whether each is followed by one of its own piece."""
+    """Words of a block of texts: their spans, hashes, languages, and whether each is followed by one of its own piece.
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, langs: np.ndarray, seed: int):
+    langs: a number for each text; keys: a hash for each number.
+    """
+
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, langs: np.ndarray, keys: np.ndarray, seed: int):
         self.raw = _LOWER[raw]
         breaks = _BREAK[raw]
         inside = ~(breaks | _BLANK[raw])
@@ -65,10 +69,13 @@ class Pieces:
         self.joined = np.zeros(len(self.starts), bool)
         if len(self.starts):
             self.joined[:-1] = piece[1:] == piece[:-1]
-        plain = B.span_hashes(self.raw, self.starts, self.ends)
-        self.hash = B.mix(plain ^ B.mix(np.array([seed + 1], np.uint64)))
-        self.check = B.mix(plain * _ODD + np.uint64(seed + 11)) ^ second_hashes(self.raw, self.starts, self.ends)
         self.lang = np.repeat(langs, np.diff(np.searchsorted(self.starts, offs)))
+        self.plain = B.span_hashes(self.raw, self.starts, self.ends)
+        # 0 stands for no word
+        self.hash = np.maximum(B.mix(self.plain ^ B.mix(keys + np.uint64(seed))[self.lang]), np.uint64(1))
+
+    def checks(self) -> np.ndarray:
+        return self.plain ^ B.mix(second_hashes(self.raw, self.starts, self.ends))
 
 
 def second_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -77,8 +84,8 @@ def second_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return np.zeros(0, np.uint64)
     sizes = ends - starts
     longest = int(sizes.max())
-    if longest * len(starts) > 64 * int(sizes.sum()) or longest > 4096:
-        # few very long words among short ones: span by span would pad too much, so the long ones go alone
+    if longest > 256:
+        # a round for each byte of the longest: long ones go alone
         out = np.empty(len(starts), np.uint64)
         long = sizes > 256
         out[~long] = second_hashes(raw, starts[~long], ends[~long])
@@ -95,17 +102,14 @@ def second_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
-def _lang_hash(names: list[str]) -> np.ndarray:
-    return B.mix(np.array([zlib.crc32(x.encode()) | len(x) << 32 for x in names], np.uint64))
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], names: dict[str, int], seed: int) -> Iterator[Pieces]:
     """Blocks of texts; ``names`` gets a number for each language."""
     for batch in batches:
         for b in B.blocks(batch):
             raw, offs = B.text_bytes(b.column("text"))
             langs = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.int32)
-            yield Pieces(raw, offs, langs, seed)
+            keys = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=bytes([seed])).digest(), "little") for x in names], np.uint64)
+            yield Pieces(raw, offs, langs, keys, seed)
 
 
 def _joined(columns: list[np.ndarray], weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -148,98 +152,115 @@ def _langs(at: np.ndarray, names: dict[str, int]) -> pa.Array:
     return pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), pa.array(list(names), pa.string())).cast(pa.string())
 
 
-def _count(seed: int):
+def _words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, h1, h2, check, n: words (h2 is 0) and pairs."""
+        """lang, h, check, n of words."""
         names: dict[str, int] = {}
-        words, pairs = _Gathered(FLUSH), _Gathered(FLUSH)
+        gathered = _Gathered(FLUSH)
 
-        def rows(g: _Gathered, pair: bool) -> Iterator[pa.RecordBatch]:
-            columns, n = g.take()
-            for a in range(0, len(n), 200_000):
-                lang, x, y = (c[a : a + 200_000] for c in columns)
-                zero = pa.array(np.zeros(len(x), np.int64))
-                yield pa.RecordBatch.from_arrays([_langs(lang, names), _signed(x), _signed(y) if pair else zero, zero if pair else _signed(y), pa.array(n[a : a + 200_000])], ["lang", "h1", "h2", "check", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            columns, n = gathered.take()
+            for a in range(0, len(n), 100_000):
+                lang, h, check = (c[a : a + 100_000] for c in columns)
+                yield pa.RecordBatch.from_arrays([_langs(lang, names), _signed(h), _signed(check), pa.array(n[a : a + 100_000])], ["lang", "h", "check", "n"])
 
         for p in _blocks(batches, names, seed):
-            if words.add([p.lang, p.hash, p.check], np.ones(len(p.hash), np.int64)):
-                yield from rows(words, False)
-            i = np.flatnonzero(p.joined)
-            if pairs.add([p.lang[i], p.hash[i], p.hash[i + 1]], np.ones(len(i), np.int64)):
-                yield from rows(pairs, True)
-        yield from rows(words, False)
-        yield from rows(pairs, True)
+            if gathered.add([p.lang, p.hash, p.checks()], np.ones(len(p.hash), np.int64)):
+                yield from rows()
+        yield from rows()
 
     return run
 
 
-def _pair_key(lang_hash: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return B.mix(lang_hash ^ B.mix(x * _ODD + y))
-
-
 def _bits(power: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bits of the filter that each pair sets."""
+        """The bits of a filter that each key sets."""
         for b in batches:
-            lang = _lang_hash(b.column("lang").to_pylist())
-            key = _pair_key(lang, *(b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2")))
+            key = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             at = np.concatenate([B.mix(key + np.uint64(j)) & np.uint64((1 << power) - 1) for j in range(PROBES)])
             yield pa.RecordBatch.from_arrays([_signed(np.unique(at))], ["bit"])
 
     return run
 
 
-def _filter(frequent: DataFrame) -> np.ndarray:
-    """A bit filter of pairs (lang, h1, h2): at least 16 bits for each, at most 2^FILTER_BITS in all."""
-    pairs = frequent.count()
-    power = min(FILTER_BITS, max(10, (16 * max(1, pairs)).bit_length()))
-    bits = frequent.select("lang", "h1", "h2").mapInArrow(_bits(power), "bit long")
-    words = bits.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("x")).toArrow()
-    out = np.zeros(1 << (power - 3), np.uint8)
-    out[words.column("at").to_numpy()] = words.column("x").to_numpy().astype(np.uint8)
-    return out
-
+class Filter:
+    """A bit filter of keys: at least 16 bits for each, at most 2^FILTER_BITS in all."""
 
-def _suffixes(seed: int, bits: np.ndarray):
-    power = len(bits).bit_length() + 2
+    def __init__(self, keys: DataFrame):
+        self.power = min(FILTER_BITS, max(10, (16 * max(1, keys.count())).bit_length()))
+        bits = keys.mapInArrow(_bits(self.power), "bit long")
+        # at most 2^FILTER_BITS / 8 rows
+        set_ = bits.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit & 7 as int))")).alias("x")).toArrow()
+        self.bits = np.zeros(1 << (self.power - 3), np.uint8)
+        self.bits[set_.column("at").to_numpy()] = set_.column("x").to_numpy().astype(np.uint8)
 
-    def passes(key: np.ndarray) -> np.ndarray:
+    def passes(self, key: np.ndarray) -> np.ndarray:
         found = np.arange(len(key))
         for j in range(PROBES):
-            at = B.mix(key[found] + np.uint64(j)) & np.uint64((1 << power) - 1)
-            found = found[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            at = B.mix(key[found] + np.uint64(j)) & np.uint64((1 << self.power) - 1)
+            found = found[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(key), bool)
         out[found] = True
         return out
 
+
+def _pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return B.mix(x * _ODD + y)
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([_signed(_pair_key(*(b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2"))))], ["key"])
+
+
+def _pairs(seed: int, words: Filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, w1 to w5, n, word: suffixes of three words or more (0 where they end early); for words of pairs, w1 and word alone."""
-        names: dict[str, int] = {}
-        gathered, told = _Gathered(FLUSH // 2), np.zeros(0, np.uint64)
-        columns_ = ["lang", *(f"w{i}" for i in range(1, LONGEST + 1)), "n", "word"]
+        """h1, h2, n of pairs whose words pass."""
+        gathered = _Gathered(FLUSH)
 
         def rows() -> Iterator[pa.RecordBatch]:
             columns, n = gathered.take()
             for a in range(0, len(n), 100_000):
-                lang, *w = (c[a : a + 100_000] for c in columns)
-                yield pa.RecordBatch.from_arrays([_langs(lang, names), *map(_signed, w), pa.array(n[a : a + 100_000]), pa.nulls(len(lang), pa.binary())], columns_)
+                yield pa.RecordBatch.from_arrays([*(_signed(c[a : a + 100_000]) for c in columns), pa.array(n[a : a + 100_000])], ["h1", "h2", "n"])
 
-        for p in _blocks(batches, names, seed):
+        for p in _blocks(batches, {}, seed):
+            good = words.passes(p.hash)
+            i = np.flatnonzero(p.joined[:-1] & good[:-1] & good[1:])
+            if gathered.add([p.hash[i], p.hash[i + 1]], np.ones(len(i), np.int64)):
+                yield from rows()
+        yield from rows()
+
+    return run
+
+
+_W = [f"w{i}" for i in range(1, LONGEST + 1)]
+
+
+def _suffixes(seed: int, pairs: Filter):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """w1 to w5, n, word: suffixes of three words or more (0 where they end early); for words of pairs, w1 and word alone."""
+        gathered, told = _Gathered(FLUSH // 2), np.zeros(0, np.uint64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            w, n = gathered.take()
+            for a in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([*(_signed(c[a : a + 100_000]) for c in w), pa.array(n[a : a + 100_000]), pa.nulls(len(n[a : a + 100_000]), pa.binary())], [*_W, "n", "word"])
+
+        for p in _blocks(batches, {}, seed):
             i = np.flatnonzero(p.joined)
             good = np.zeros(len(p.hash) + LONGEST, bool)
-            good[i] = passes(_pair_key(_lang_hash(list(names))[p.lang[i]], p.hash[i], p.hash[i + 1])) if len(i) else False
-            # texts of the words of these pairs, once a task
+            good[i] = pairs.passes(_pair_key(p.hash[i], p.hash[i + 1])) if len(i) else False
+            # letters of the words of these pairs, once a task
             used = np.flatnonzero(good[: len(p.hash)])
             used = np.union1d(used, used + 1)
-            tag = B.mix(p.hash[used] ^ _lang_hash(list(names))[p.lang[used]]) if len(used) else np.zeros(0, np.uint64)
-            tag, one = np.unique(tag, return_index=True)
+            tag, one = np.unique(p.hash[used], return_index=True)
             fresh = used[one[~np.isin(tag, told)]]
             told = np.union1d(told, tag)
             if len(fresh):
                 sizes = p.ends[fresh] - p.starts[fresh]
                 text = B.binary_column(p.raw[B.ragged(p.starts[fresh], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
                 none = pa.array(np.zeros(len(fresh), np.int64))
-                yield pa.RecordBatch.from_arrays([_langs(p.lang[fresh], names), _signed(p.hash[fresh]), *[none] * LONGEST, text], columns_)
+                yield pa.RecordBatch.from_arrays([_signed(p.hash[fresh]), *[none] * LONGEST, text], [*_W, "n", "word"])
             at = np.flatnonzero(good[:-1] & good[1:])
             live, hashes = np.ones(len(at), bool), np.concatenate([p.hash, np.zeros(LONGEST, np.uint64)])
             w = []
@@ -247,7 +268,7 @@ def _suffixes(seed: int, bits: np.ndarray):
                 if d:
                     live = live & good[at + d - 1]
                 w.append(np.where(live, hashes[at + d], np.uint64(0)))
-            if gathered.add([p.lang[at], *w], np.ones(len(at), np.int64)):
+            if gathered.add(w, np.ones(len(at), np.int64)):
                 yield from rows()
         yield from rows()
 
@@ -280,63 +301,59 @@ def frequent_prefixes(keys: list[np.ndarray], weight: np.ndarray, least: int) ->
 
 def _sort(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """lang, p, a of the frequent phrases of three words or more among the suffixes of a task."""
-        names: dict[str, int] = {}
-        parts = []
-        for b in batches:
-            langs = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.uint64)
-            parts.append([langs + np.uint64(1), *(b.column(f"w{i}").to_numpy(zero_copy_only=False).view(np.uint64) for i in range(1, LONGEST + 1)), b.column("n").to_numpy(zero_copy_only=False)])
+        """p, a of the frequent phrases of three words or more among the suffixes of a task."""
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in [*_W, "n"]] for b in batches if b.num_rows]
         if not parts:
             return
         *keys, weight = (np.concatenate(c) for c in zip(*parts))
-        found = [x for x in frequent_prefixes(keys, weight, least) if x[1] >= 4]
+        found = [x for x in frequent_prefixes([k.view(np.uint64) for k in keys], weight, least) if x[1] >= 3]
         if found:
             row, size, total = (np.array(x, np.int64) for x in zip(*found))
-            flat = np.stack([k[row] for k in keys[1:]], 1).view(np.int64)
-            offs = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
-            phrase = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[np.arange(LONGEST)[None] < (size - 1)[:, None]]))
-            yield pa.RecordBatch.from_arrays([_langs(keys[0][row].astype(np.int64) - 1, names), phrase, pa.array(total)], ["lang", "p", "a"])
+            flat = np.stack([k[row] for k in keys], 1)
+            offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            phrase = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[np.arange(LONGEST)[None] < size[:, None]]))
+            yield pa.RecordBatch.from_arrays([phrase, pa.array(total)], ["p", "a"])
 
     return run
 
 
 def _long_phrases(suffixes: DataFrame, least: int) -> DataFrame:
-    """lang, p, a of the frequent phrases of three words or more, from weighted suffixes."""
-    names = ["lang", *(f"w{i}" for i in range(1, LONGEST + 1)), "n"]
+    """p, a of the frequent phrases of three words or more, from weighted suffixes."""
     parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), suffixes.count() // (2 * GROUP_ROWS))
-    sort = lambda df, *by: df.select(*names).repartition(parts, *by).mapInArrow(_sort(least), "lang string, p array<long>, a long")
-    pair, triple = ["lang", "w1", "w2"], ["lang", "w1", "w2", "w3"]
+    sort = lambda df, *by: df.select(*_W, "n").repartition(parts, *by).mapInArrow(_sort(least), "p array<long>, a long")
+    pair, triple = _W[:2], _W[:3]
     crowded = suffixes.groupBy(*pair).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_ROWS).select(*pair)
     if crowded.isEmpty():
         return sort(suffixes, *pair)
     some = suffixes.join(crowded, pair, "left_anti")
     rest = suffixes.join(crowded, pair, "left_semi")
     full = rest.groupBy(*triple).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > GROUP_ROWS).select(*triple)
-    each = rest.join(full, triple, "left_semi").select("lang", F.explode(F.array(*[F.when(F.col(f"w{i}") != 0, F.array(*[F.col(f"w{j}") for j in range(1, i + 1)])) for i in range(3, LONGEST + 1)])).alias("p"), "n")
-    summed = each.where("p is not null").groupBy("lang", "p").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    prefixes = F.array(*[F.when(F.col(_W[i - 1]) != 0, F.array(*_W[:i])) for i in range(3, LONGEST + 1)])
+    each = rest.join(full, triple, "left_semi").select(F.explode(prefixes).alias("p"), "n")
+    summed = each.where("p is not null").groupBy("p").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return sort(some, *pair).unionByName(sort(rest.join(full, triple, "left_anti"), *triple)).unionByName(summed)
 
 
 def counted(docs: DataFrame, scratch: Scratch, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frequent phrases of one to five words (lang, p as hashes, a), totals (lang, n), words (lang, h, word)."""
+    """Frequent phrases of one to five words (lang, p as hashes, a), totals (lang, n), letters of words (h, word)."""
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for seed in range(16):
-        seen = text.mapInArrow(_count(seed), "lang string, h1 long, h2 long, check long, n long").groupBy("lang", "h1", "h2")
-        seen = seen.agg(F.sum("n").alias("a"), (F.min("check") != F.max("check")).alias("clash"))
-        seen = scratch.keep(seen.where((F.col("h2") == 0) | (F.col("a") >= least) | F.col("clash")), "counts")
-        if seen.where("clash").isEmpty():
+        seen = text.mapInArrow(_words(seed), "lang string, h long, check long, n long").groupBy("lang", "h")
+        seen = scratch.keep(seen.agg(F.sum("n").alias("a"), F.min("check").alias("c0"), F.max("check").alias("c1")), "words")
+        if seen.where("c0 <> c1").isEmpty() and seen.groupBy("h").agg(F.count(F.lit(1)).alias("langs")).where("langs > 1").isEmpty():
             break
         scratch.drop(seen)
     else:
         raise RuntimeError("hashes of words clash under every seed")
-    totals = seen.where("h2 = 0").groupBy("lang").agg(F.sum("a").alias("n"))
-    pairs = seen.where((F.col("h2") != 0) & (F.col("a") >= least))
-    found = scratch.keep(text.mapInArrow(_suffixes(seed, _filter(pairs)), f"lang string, {', '.join(f'w{i} long' for i in range(1, LONGEST + 1))}, n long, word binary"), "suffixes")
-    words = found.where("word is not null").select("lang", F.col("w1").alias("h"), F.col("word").cast("string").alias("word")).distinct()
-    ones = seen.where((F.col("h2") == 0) & (F.col("a") >= least)).select("lang", F.array("h1").alias("p"), "a")
-    twos = pairs.select("lang", F.array("h1", "h2").alias("p"), "a")
-    phrases = scratch.keep(ones.unionByName(twos).unionByName(_long_phrases(found.where("word is null"), least)), "phrases")
-    return phrases, totals, words
+    totals, frequent = seen.groupBy("lang").agg(F.sum("a").alias("n")), seen.where(F.col("a") >= least)
+    met = text.mapInArrow(_pairs(seed, Filter(frequent.select(F.col("h").alias("key")))), "h1 long, h2 long, n long")
+    pairs = scratch.keep(met.repartition("h1", "h2").groupBy("h1", "h2").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
+    found = text.mapInArrow(_suffixes(seed, Filter(pairs.select("h1", "h2").mapInArrow(_pair_keys, "key long"))), f"{', '.join(f'{w} long' for w in _W)}, n long, word binary")
+    found = scratch.keep(found, "suffixes")
+    letters = found.where("word is not null").select(F.col("w1").alias("h"), F.col("word").cast("string").alias("word")).distinct()
+    ones, twos = frequent.select(F.array("h").alias("p"), "a"), pairs.select(F.array("h1", "h2").alias("p"), "a")
+    phrases = ones.unionByName(twos).unionByName(_long_phrases(found.where("word is null"), least)).withColumn("h", F.col("p")[0])
+    return scratch.keep(phrases.join(frequent.select("h", "lang"), "h").select("lang", "p", "a"), "phrases"), totals, letters
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -360,7 +377,7 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST) -> DataF
     scratch = Scratch(docs.sparkSession, "collocations")
     phrases, totals, words = counted(docs, scratch, least)
     spelled = scratch.keep(scored(phrases, totals), "scored")
-    word = spelled.select("lang", "p", F.posexplode("p").alias("i", "h")).join(words, ["lang", "h"])
+    word = spelled.select("lang", "p", F.posexplode("p").alias("i", "h")).join(words, "h")
     texts = word.groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = spelled.join(texts, ["lang", "p"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
