@@ -163,6 +163,7 @@ def _search(anchors: _Rows, windows: tuple[np.ndarray, np.ndarray, np.ndarray] |
     """Streams rows past all anchors; yields (anchor, slot, score, id) of the best.
 
     windows: None for positives; else the anchor of each slot and its lowest and highest score, slots of an anchor together.
+    stats: instead, one row with the numbers of pairs met (slot), tested row by row (score) and scored (id).
     """
     dims, refs, n = anchors.x.shape[1], anchors.angles.shape[1], len(anchors.ids)
 
