@@ -79,25 +79,25 @@ def hop_distance(seeds: DataFrame, sym: DataFrame, most: int | None = None) -> D
 def cheapest_paths(seeds: DataFrame, sym: DataFrame, hops: int | None = None) -> DataFrame:
     """seed, id, cost, path: least-cost paths, of any length or of at most ``hops`` edges; an edge costs 1 / weight.
 
-    Ties go to fewer hops, then to the path that sorts first. Each round keeps one path for each (seed, node) and goes on
+    Costs are added up in whole millionths, so that sums depend on no order or engine. Ties go to fewer hops, then to the path that sorts first. Each round keeps one path for each (seed, node) and goes on
     from those that changed; without a bound, rounds end when none does.
     """
-    step = sym.select(F.col("src").alias("at"), F.col("dst").alias("id"), (1.0 / F.greatest("weight", F.lit(1e-6))).alias("c"))
+    step = sym.select(F.col("src").alias("at"), F.col("dst").alias("id"), F.floor(1e6 / F.greatest("weight", F.lit(1e-6)) + 0.5).alias("c"))
     if hops is None:
         step = cut(step)
-    best = seeds.select(F.col("id").alias("seed"), "id", F.lit(0.0).alias("cost"), F.array("id").alias("path"))
+    best = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).cast("long").alias("cost"), F.array("id").alias("path"))
     front, turn = best, 0
     while hops is None or turn < hops:
         turn += 1
         moved = front.select("seed", F.col("id").alias("at"), "cost", "path").join(step, "at").where(~F.array_contains("path", F.col("id")))
-        moved = moved.select("seed", "id", F.round(F.col("cost") + F.col("c"), 9).alias("cost"), F.array_append("path", F.col("id")).alias("path"))
+        moved = moved.select("seed", "id", (F.col("cost") + F.col("c")).alias("cost"), F.array_append("path", F.col("id")).alias("path"))
         order = F.struct("cost", F.size("path"), F.array_join("path", ">"))
         both = best.withColumn("new", F.lit(False)).unionByName(moved.withColumn("new", F.lit(True)))
         chosen = cut(both.groupBy("seed", "id").agg(F.min_by(F.struct("cost", "path", "new"), order).alias("p")).select("seed", "id", "p.*"))
         best, front = chosen.drop("new"), chosen.where("new").drop("new")
         if hops is None and front.isEmpty():
             break
-    return best.where("seed <> id")
+    return best.where("seed <> id").withColumn("cost", F.col("cost") / 1e6)
 
 
 def components(nodes: DataFrame, sym: DataFrame, most_rounds: int = 50) -> DataFrame:

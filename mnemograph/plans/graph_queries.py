@@ -78,18 +78,18 @@ def shortest_path_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hop_distance(_some(spark, sf_dir), _sym(spark, sf_dir))
 
 
-_PATHS = """p AS (SELECT id AS seed, id, 0::DOUBLE AS cost, [id] AS path, 0 AS h FROM {seeds}
-  UNION ALL SELECT p.seed, s.dst, round(p.cost + 1 / greatest(s.weight, 1e-6), 9), list_append(p.path, s.dst), p.h + 1 FROM p JOIN sym s ON s.src = p.id WHERE p.h < 3 AND NOT list_contains(p.path, s.dst)),
+_PATHS = """p AS (SELECT id AS seed, id, 0::BIGINT AS cost, [id] AS path, 0 AS h FROM {seeds}
+  UNION ALL SELECT p.seed, s.dst, p.cost + floor(1e6 / greatest(s.weight, 1e-6) + 0.5)::BIGINT, list_append(p.path, s.dst), p.h + 1 FROM p JOIN sym s ON s.src = p.id WHERE p.h < 3 AND NOT list_contains(p.path, s.dst)),
 best AS (SELECT seed, id, arg_min(path, (cost, h, array_to_string(path, '>'))) AS path, min(cost) AS cost FROM p WHERE seed <> id GROUP BY ALL)"""
 
 
-@query("weighted_path", f"""{_RG}, e(seed, id, cost, h, path) USING KEY (seed, id) AS (SELECT id, id, 0::DOUBLE, 0, id FROM nodes WHERE num % {A.EVERY} = 0
-  UNION SELECT seed, id, n[1], n[2], n[3] FROM (SELECT e.seed, s.dst AS id, min((round(e.cost + 1 / greatest(s.weight, 1e-6), 9), e.h + 1, e.path || '>' || s.dst)) AS n FROM e JOIN sym s ON s.src = e.id GROUP BY ALL) x
+@query("weighted_path", f"""{_RG}, e(seed, id, cost, h, path) USING KEY (seed, id) AS (SELECT id, id, 0::BIGINT, 0, id FROM nodes WHERE num % {A.EVERY} = 0
+  UNION SELECT seed, id, n[1], n[2], n[3] FROM (SELECT e.seed, s.dst AS id, min((e.cost + floor(1e6 / greatest(s.weight, 1e-6) + 0.5)::BIGINT, e.h + 1, e.path || '>' || s.dst)) AS n FROM e JOIN sym s ON s.src = e.id GROUP BY ALL) x
   LEFT JOIN recurring.e o USING (seed, id) WHERE o.cost IS NULL OR n < (o.cost, o.h, o.path))
-SELECT seed, id, round(cost, 6) AS cost, path FROM e WHERE seed <> id""")
+SELECT seed, id, cost / 1e6::DOUBLE AS cost, path FROM e WHERE seed <> id""")
 def weighted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = graph.cheapest_paths(_some(spark, sf_dir), _sym(spark, sf_dir))
-    return p.select("seed", "id", F.round("cost", 6).alias("cost"), F.array_join("path", ">").alias("path"))
+    return p.select("seed", "id", "cost", F.array_join("path", ">").alias("path"))
 
 
 @query("connected_components", f"""{_RG}, r AS (SELECT id AS root, id FROM nodes UNION SELECT r.root, sym.dst FROM r JOIN sym ON sym.src = r.id)
