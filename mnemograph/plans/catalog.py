@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-from . import benchmark_queries, dynamics_queries, experiment_queries, graph_queries, source_queries, store_queries, text_queries  # noqa: E402, F401
+from . import benchmark_queries, dynamics_queries, experiment_queries, graph_queries, source_queries, store_queries, text_queries, world_queries  # noqa: E402, F401

@@ -1,0 +1,115 @@
+"""Stored worlds: the vector index, manifests, histories, ageing and ladders, against plain versions."""
+
+import numpy as np
+import pytest
+
+from mnemograph.operators import retrieval, vector_index
+from mnemograph.operators.topk import RunningTop
+from mnemograph.sources.manifest import Conflict, Manifest
+
+VECTORS = "id string, embedding array<double>"
+
+
+def clustered(n, seed, spread=0.15, cells=12, dims=16):
+    rng = np.random.default_rng(seed)
+    centre = np.random.default_rng(99).standard_normal((cells, dims))
+    return (centre[rng.integers(0, cells, n)] + spread * rng.standard_normal((n, dims))).tolist()
+
+
+def plain_top(rows, queries, k):
+    out = set()
+    for q, v in queries:
+        score = lambda x: round(float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x))), 6)
+        for rank, (s, i) in enumerate(sorted((-score(x), i) for i, x in rows.items())[:k]):
+            out.add((q, i, round(-s, 6), rank + 1))
+    return out
+
+
+def test_index_after_a_mix_of_operations(spark, tmp_path):
+    index = vector_index.VectorIndex(spark, f"file://{tmp_path}/index", 16)
+    queries = list(enumerate(clustered(9, 5)))
+    asked = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    rows: dict[str, list[float]] = {}
+
+    def check(k=6):
+        got = {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in index.search(asked, k).collect()}
+        assert got == plain_top(rows, queries, k) and index.size() == len(rows)
+
+    check()
+    first = {f"n{i:04}": v for i, v in enumerate(clustered(1500, 1))}
+    rows.update(first)
+    index.rebuild(spark.createDataFrame(list(first.items()), VECTORS), cells=30)
+    check()
+    all_, begin, more = index.cells_read
+    assert all_ > 8 and begin + more < all_
+    gone = [i for i in rows if int(i[1:]) % 3 == 0]
+    index.delete(spark.createDataFrame([(i,) for i in gone] + [("nobody",)], "id string"))
+    for i in gone:
+        del rows[i]
+    check()
+    new = {f"n{i:04}": v for i, v in enumerate(clustered(300, 2), 1400)} | {"n0000": queries[0][1], "n0003": queries[0][1]}
+    index.upsert(spark.createDataFrame(list(new.items()), VECTORS))
+    rows.update(new)
+    check()
+    index.delete(spark.createDataFrame([("n0000",)], "id string"))
+    del rows["n0000"]
+    check(k=2000)
+    before = index.manifest.current()[0]
+    index.compact()
+    check()
+    assert index.manifest.current()[1]["segments"] == [] and index.live(before).count() == len(rows)
+    index.rebuild(spark.createDataFrame([("a", [0.0] * 16), ("b", [1.0] * 16)], VECTORS))
+    rows = {"b": [1.0] * 16}
+    assert {r["id"] for r in index.search(asked, 1).collect()} <= {"a", "b"}
+    with pytest.raises(ValueError):
+        index.upsert(spark.createDataFrame([("x", [1.0])], VECTORS))
+
+
+def test_index_with_crowded_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "FILE_ROWS", 40)
+    monkeypatch.setattr(vector_index, "BLOCK_QUERIES", 2)
+    index = vector_index.VectorIndex(spark, f"file://{tmp_path}/index", 16)
+    rows = {f"n{i:04}": v for i, v in enumerate(clustered(300, 3, cells=2) + [[1.0] * 16] * 200)}
+    index.rebuild(spark.createDataFrame(list(rows.items()), VECTORS), cells=4)
+    queries = [*enumerate(clustered(4, 6)), (9, [1.0] * 16)]
+    got = {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in index.search(spark.createDataFrame(queries, "query_id long, vector array<double>"), 5).collect()}
+    assert got == plain_top(rows, queries, 5)
+
+
+def test_running_top_keeps_little(monkeypatch):
+    monkeypatch.setattr("mnemograph.operators.topk.GATHERED", 50)
+    rng = np.random.default_rng(0)
+    best, everything = RunningTop(3, 4), []
+    for i in range(40):
+        ids, scores = np.array([f"i{i:02}{j:02}" for j in range(25)], object), rng.integers(0, 30, (3, 25)).astype(float)
+        best.add(np.arange(3), ids, scores)
+        everything += [(q, -scores[q, j], ids[j]) for q in range(3) for j in range(25)]
+        assert best.rows <= 50 + 75
+    got = [tuple(x) for x in best.shrink()[["q", "score", "id"]].itertuples(index=False)]
+    assert got == [(q, -s, i) for k in range(3) for q, s, i in sorted(x for x in everything if x[0] == k)[:4]]
+
+
+def test_blocks_of_queries_agree(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"n{i:03}", v) for i, v in enumerate(clustered(200, 4))], VECTORS)
+    asked = spark.createDataFrame(list(enumerate(clustered(7, 8))), "query_id long, vector array<double>")
+    one = {tuple(r) for r in retrieval.vector_topk(nodes, asked, 5).collect()}
+    monkeypatch.setattr(retrieval, "BLOCK_QUERIES", 2)
+    assert {tuple(r) for r in retrieval.vector_topk(nodes, asked, 5).collect()} == one and len(one) == 35
+
+
+def test_lost_race_leaves_the_old_version(spark, tmp_path):
+    a, b = (Manifest(spark, f"file://{tmp_path}/table") for _ in "ab")
+    assert a.current() == (0, {})
+    a.commit(0, {"rows": 1})
+    version, says = b.current()
+    a.commit(1, {"rows": 2})
+    with pytest.raises(Conflict):
+        b.commit(version, says | {"rows": 9})
+    assert b.current() == (2, {"rows": 2}) and b.at(1) == {"rows": 1} and a.versions() == [1, 2]
+
+    def step(says):
+        if says["rows"] == 2:
+            a.commit(2, {"rows": 5})
+        return {"rows": says["rows"] + 1}
+
+    assert b.change(step) == 4 and a.current() == (4, {"rows": 6})
