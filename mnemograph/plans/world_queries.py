@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vector_index
+from ..operators import history, vector_index
 from ..operators.durable import shared_folder
 from . import adapters as A
 from .catalog import query
@@ -40,3 +40,86 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_index_rows", f"""WITH {A.NODES} SELECT id, round(CASE WHEN {_TURNED} THEN embedding[-1] ELSE embedding[1] END, 6) AS first FROM nodes WHERE NOT ({_LOST})""")
 def vector_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).live().select("id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+# What each type of event does to the node of its user.
+_ACTS = {"signup": "create", "view": "merge", "click": "update", "error": "invalidate", "purchase": "restore"}
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = A.table(spark, sf_dir, "events"), F.col("event_id")
+    act = F.coalesce(*[F.when(F.col("event_type") == k, F.when(i % 4 == 0, "archive").otherwise(v) if v == "restore" else F.lit(v)) for k, v in _ACTS.items()])
+    brings = act.isin("create", "merge") | (i % 3 == 0)
+    rows = e.select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.col("ts").alias("at"), i.alias("seq"), act.alias("action"), F.when(brings, F.concat(F.lit("e"), i)).alias("raw_text"),
+        F.when(i % 2 == 0, F.concat(F.lit("s"), i % 9)).alias("summary"), F.when(brings, F.array(F.concat(F.lit("c"), i % 7))).alias("source_ids"),
+        F.when(i % 5 != 0, i * 37 % 100 / 100).alias("importance"), F.when(i % 6 != 0, i * 29 % 100 / 100).alias("confidence"), F.concat(F.lit("r"), i % 4).alias("reason"),
+    )
+    return history.log_of(rows)
+
+
+_LOG = f"""log AS (SELECT 'u' || user_id AS id, ts AS tm, event_id AS i, CASE event_type {" ".join(f"WHEN '{k}' THEN " + (f"CASE WHEN event_id % 4 = 0 THEN 'archive' ELSE '{v}' END" if v == "restore" else f"'{v}'") for k, v in _ACTS.items())} END AS act FROM events),
+rows_ AS (SELECT *, CASE WHEN act IN ('create', 'merge') OR i % 3 = 0 THEN 'e' || i END AS raw_text, CASE WHEN i % 2 = 0 THEN 's' || i % 9 END AS summary, CASE WHEN act IN ('create', 'merge') OR i % 3 = 0 THEN 'c' || i % 7 END AS src,
+  CASE WHEN i % 5 <> 0 THEN (i * 37 % 100)::DOUBLE / 100 END AS importance, CASE WHEN i % 6 <> 0 THEN (i * 29 % 100)::DOUBLE / 100 END AS confidence FROM log)"""
+
+_AT = "2024-01-16 12:00:00"
+
+
+@query("node_history_as_of", f"""WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tm, i) AS k FROM rows_ WHERE tm <= TIMESTAMP '{_AT}'),
+b AS (SELECT id, max(k) FILTER (act = 'create') AS born, min(k) FILTER (act = 'create') AS first, max(k) FILTER (act = 'create' OR act = 'update' AND raw_text IS NOT NULL) AS kt, max(k) FILTER (act = 'create' OR act = 'update' AND importance IS NOT NULL) AS ki,
+  max(k) FILTER (act = 'create' OR act = 'update' AND confidence IS NOT NULL) AS kc, max(k) FILTER (act IN ('archive', 'restore', 'create')) AS ka, max(k) FILTER (act IN ('invalidate', 'restore', 'create')) AS ke,
+  max(k) FILTER (act = 'create' OR act IN ('update', 'merge') AND summary IS NOT NULL) AS ks FROM r GROUP BY 1),
+l AS (SELECT r.id, max(r.k) FILTER (r.act = 'invalidate' AND r.k > kc) AS low FROM r JOIN b USING (id) GROUP BY 1)
+SELECT id, (max(k) - min(first) + 1)::BIGINT AS version, trim(string_agg(raw_text, chr(10) ORDER BY k) FILTER (k >= kt AND act IN ('create', 'update', 'merge') AND (k = kt OR act = 'merge')), chr(10)) AS raw_text, max(summary) FILTER (k = ks) AS summary,
+  array_to_string(list_sort(list_distinct(list(src) FILTER (k >= kt AND (k = kt OR act = 'merge') AND src IS NOT NULL))), ',') AS sources,
+  coalesce(max(importance) FILTER (k >= ki AND (k = ki OR act = 'merge')), 0) AS importance,
+  CASE WHEN min(low) IS NULL THEN coalesce(max(confidence) FILTER (k >= kc AND (k = kc OR act = 'merge')), 0)
+    ELSE greatest(least(0.2::DOUBLE, coalesce(max(confidence) FILTER (k >= kc AND k < low AND (k = kc OR act = 'merge')), 0)), coalesce(max(confidence) FILTER (k > low AND act = 'merge'), 0)) END AS confidence,
+  bool_or(k = ka AND act = 'archive') AS archived, max(tm) FILTER (k = ke AND act = 'invalidate') AS ended_at
+FROM r JOIN b USING (id) LEFT JOIN l USING (id) WHERE born IS NOT NULL AND k >= first GROUP BY id""")
+def node_history_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's node as it was in the middle of the month."""
+    then = history.as_of(history.history(_log(spark, sf_dir)), F.lit(_AT).cast("timestamp"))
+    return then.select("id", "version", "raw_text", "summary", F.array_join("source_ids", ",").alias("sources"), "importance", "confidence", "archived", "ended_at")
+
+
+@query("node_history_changes", f"""WITH {_LOG}, r AS (SELECT *, sum((act = 'create')::INT) OVER w AS life, sum((act = 'create' OR act = 'update' AND importance IS NOT NULL)::INT) OVER w AS era FROM rows_ WINDOW w AS (PARTITION BY id ORDER BY tm, i)),
+s AS (SELECT id, tm, i, act, coalesce(max(CASE WHEN act IN ('create', 'update', 'merge') THEN importance END) OVER (PARTITION BY id, era ORDER BY tm, i), 0) AS importance FROM r WHERE life > 0)
+SELECT id, row_number() OVER v AS version, act AS action, tm AS valid_from, lead(tm) OVER v AS valid_to, lag(importance) OVER v AS before, importance AS after FROM s WINDOW v AS (PARTITION BY id ORDER BY tm, i)""")
+def node_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of every node, with the importance before and after it."""
+    h = history.history(_log(spark, sf_dir))
+    return h.select("id", "version", "action", "valid_from", "valid_to", F.col("before.importance").alias("before"), F.col("importance").alias("after"))
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for every second node: the same, or another one of its subject."""
+    n, i = A.nodes(spark, sf_dir).where("num % 2 = 1"), F.col("num")
+    return n.select(F.concat(F.lit("new-"), "id").alias("id"), F.col("id").alias("target"), F.concat(F.lit("topic "), i % 50, F.lit(" is "), (i + i % 3) % 7).alias("raw_text"), F.col("summary"),
+                    F.array(F.concat(F.lit("c"), i % 7)).alias("source_ids"), (i * 41 % 97 / 97).alias("importance"), (i * 31 % 89 / 89).alias("confidence"))
+
+
+_MERGE = f"""WITH {A.NODES}, n AS (SELECT *, num % 3 <> 0 AS clash, (num * 41 % 97)::DOUBLE / 97 AS imp, (num * 31 % 89)::DOUBLE / 89 AS conf,
+  0.2::DOUBLE * confidence + 0.15::DOUBLE * greatest(0, 1 - date_diff('second', updated_at, TIMESTAMP '{A.NOW}') / (86400.0 * 30))::DOUBLE AS was, 0.2::DOUBLE * (num * 31 % 89)::DOUBLE / 89 + 0.15::DOUBLE AS would FROM nodes WHERE num % 2 = 1)"""
+
+
+@query("merge_plan", f"""{_MERGE}
+SELECT CASE WHEN clash THEN 'new-' || id ELSE id END AS id, CASE WHEN clash THEN 'create' ELSE 'merge' END AS action, round(imp, 6) AS importance, NULL::VARCHAR AS reason FROM n
+UNION ALL SELECT id, 'supersede', NULL, 'superseded_by:new-' || id FROM n WHERE clash AND would - was > 1e-9""")
+def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, _ = history.plan_merges(A.nodes(spark, sf_dir), _incoming(spark, sf_dir), A.now())
+    return log.select("id", "action", F.round("importance", 6).alias("importance"), "reason")
+
+
+@query("split_history", f"""WITH {A.NODES}, n AS (SELECT * FROM nodes WHERE num % 9 = 0)
+SELECT id, 2::BIGINT AS version, 'split' AS action, raw_text, 'two topics' AS reason FROM n UNION ALL SELECT id, 1, 'create', raw_text, NULL FROM nodes
+UNION ALL SELECT id || '-' || k, 1, 'create', CASE k WHEN 1 THEN concept ELSE summary END, NULL FROM n, range(1, 3) r(k)""")
+def split_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of nodes of which every ninth is split in two, as history."""
+    nodes = A.nodes(spark, sf_dir)
+    log = history.log_of(nodes.select("id", "raw_text", "summary", "importance", "confidence").withColumns({"action": F.lit("create"), "at": F.lit("2024-01-01").cast("timestamp")}))
+    some = nodes.where("num % 9 = 0")
+    parts = some.select(F.col("id").alias("whole"), F.lit("two topics").alias("reason"), "importance", "confidence", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("raw_text")) for k, c in ((1, "concept"), (2, "summary"))])).alias("p"))
+    parts = parts.select("whole", "reason", "importance", "confidence", F.concat_ws("-", "whole", F.col("p.k").cast("string")).alias("id"), "p.raw_text")
+    more, _ = history.plan_splits(nodes, parts, A.now())
+    return history.history(log.unionByName(more)).select("id", "version", "action", "raw_text", "reason")

@@ -1,9 +1,13 @@
 """Stored worlds: the vector index, manifests, histories, ageing and ladders, against plain versions."""
 
+import datetime
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mnemograph.operators import retrieval, vector_index
+from mnemograph.operators import history, retrieval, vector_index
 from mnemograph.operators.topk import RunningTop
 from mnemograph.sources.manifest import Conflict, Manifest
 
@@ -113,3 +117,82 @@ def test_lost_race_leaves_the_old_version(spark, tmp_path):
         return {"rows": says["rows"] + 1}
 
     assert b.change(step) == 4 and a.current() == (4, {"rows": 6})
+
+
+def plain_history(rows):
+    """Each action applied to the node before it, one after the other."""
+    nodes, out = {}, []
+    for r in sorted(rows, key=lambda r: (r["id"], r["at"], r["seq"])):
+        old, act = nodes.get(r["id"]), r["action"]
+        if act not in history.ACTIONS or (old is None and act != "create"):
+            continue
+        n = dict(old or {})
+        if act == "create":
+            n = {"raw_text": r["raw_text"] or "", "summary": r["summary"], "source_ids": sorted(set(r["source_ids"] or [])), "importance": r["importance"] or 0.0, "confidence": r["confidence"] or 0.0, "archived": False, "ended_at": None, "reason": None}
+        if act == "update":
+            n |= {c: r[c] for c in ("raw_text", "summary", "importance", "confidence") if r[c] is not None}
+            if r["source_ids"] is not None:
+                n["source_ids"] = sorted(set(r["source_ids"]))
+        if act == "merge":
+            n["raw_text"] = "\n".join(x for x in (n["raw_text"].strip(), (r["raw_text"] or "").strip()) if x)
+            n["summary"] = r["summary"] if r["summary"] is not None else n["summary"]
+            n["source_ids"] = sorted(set(n["source_ids"]) | set(r["source_ids"] or []))
+            n |= {c: max(n[c], r[c] or 0.0) for c in ("importance", "confidence")}
+        if act in ("invalidate", "supersede"):
+            n["ended_at"] = r["at"]
+        if act == "invalidate":
+            n["confidence"] = min(n["confidence"], 0.2)
+        if act in ("invalidate", "supersede", "split"):
+            n["reason"] = r["reason"]
+        if act in ("archive", "restore"):
+            n["archived"] = act == "archive"
+        if act == "restore":
+            n |= {"ended_at": None, "reason": None}
+        out.append((r["id"], act, r["at"], old and dict(old), n))
+        nodes[r["id"]] = n
+    return out
+
+
+def random_log(n=700):
+    rng = random.Random(6)
+    maybe = lambda x: x if rng.random() < 0.6 else None
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(n):
+        act = rng.choice([*history.ACTIONS, "merge", "merge", "invalidate", "unknown"]) if i > 40 else rng.choice(["create", "merge"])
+        text = maybe(rng.choice([" a", "b ", "", f"t{i}"]))
+        rows.append({"id": f"n{rng.choice([0, 0, 0, *range(1, 25)])}", "at": start + datetime.timedelta(hours=i // 3), "seq": i, "action": act, "raw_text": text, "summary": maybe(f"s{i}"), "source_ids": maybe([f"c{rng.randint(0, 5)}", "c1"]), "importance": maybe(rng.randint(0, 9) / 10), "confidence": maybe(rng.randint(0, 9) / 10), "reason": maybe(f"r{i}")})
+    return rows
+
+
+LOG = "id string, at timestamp, seq long, action string, raw_text string, summary string, source_ids array<string>, importance double, confidence double, reason string"
+
+
+def test_history_equals_a_fold(spark):
+    rows = random_log()
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], LOG).repartition(5)
+    got = sorted((r.asDict(True) for r in history.history(df).collect()), key=lambda r: (r["id"], r["version"]))
+    want = plain_history(rows)
+    assert len(got) == len(want) > 300
+    for g, (i, act, at, before, after) in zip(got, want):
+        assert (g["id"], g["action"], g["valid_from"]) == (i, act, at)
+        assert {c: g[c] for c in history.IMAGE} == after, (g, after)
+        assert (g["before"] is None) == (before is None)
+    for a, b in zip(got, got[1:]):
+        same = a["id"] == b["id"]
+        assert a["valid_to"] == (b["valid_from"] if same else None) and (not same or b["before"] == {c: a[c] for c in history.IMAGE})
+    then = datetime.datetime(2024, 1, 5)
+    states = {i: after for i, _, at, _, after in want if at <= then}
+    seen = {r["id"]: r for r in history.as_of(history.history(df), F.lit(then)).collect()}
+    assert seen.keys() == states.keys() and all(seen[i]["importance"] == s["importance"] for i, s in states.items())
+    assert history.history(df.limit(0)).count() == 0
+
+
+def test_conflicting_merges_stay_apart(spark):
+    now = F.lit(datetime.datetime(2024, 2, 1))
+    nodes = spark.createDataFrame([("a", "The sky is blue", 0.9, datetime.datetime(2023, 1, 1)), ("b", "Grass is green", 0.9, datetime.datetime(2024, 2, 1)), ("c", "No statement", 0.1, datetime.datetime(2024, 1, 1))], "id string, raw_text string, confidence double, updated_at timestamp")
+    rows = [("x", "a", "The sky is grey", 0.95), ("y", "b", "Grass is brown", 0.1), ("z", "c", "More words", 0.5), ("w", "a", "The sky is blue", 0.5), ("q", "nobody", "Snow is white", 1.0)]
+    incoming = spark.createDataFrame([(i, t, x, "s", ["c1"], 0.5, c) for i, t, x, c in rows], "id string, target string, raw_text string, summary string, source_ids array<string>, importance double, confidence double")
+    log, edges = history.plan_merges(nodes, incoming, now)
+    assert {(r["id"], r["action"], r["reason"]) for r in log.collect()} == {("x", "create", None), ("a", "supersede", "superseded_by:x"), ("y", "create", None), ("c", "merge", None), ("a", "merge", None)}
+    assert {(r["source_id"], r["target_id"], r["relation_type"]) for r in edges.collect()} == {("a", "x", "contradicts"), ("b", "y", "contradicts")}
