@@ -18,12 +18,13 @@ def shares(sym: DataFrame, scale: float = 1.0) -> DataFrame:
     return e.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("dst"))).drop("w")
 
 
-def continuous(seeds: DataFrame, nodes: DataFrame, sym: DataFrame, hops: int = HOPS, decay: float = DECAY, semantic: float = SEED_WEIGHT, worth: float = WORTH_WEIGHT) -> DataFrame:
-    """query_id, id, activation above ``FLOOR``; seeds: query_id, id, seed_score.
+def continuous(seeds: DataFrame, nodes: DataFrame | None, sym: DataFrame, hops: int = HOPS, decay: float = DECAY, semantic: float = SEED_WEIGHT, worth: float = WORTH_WEIGHT) -> DataFrame:
+    """query_id, id, activation above ``FLOOR``; seeds: query_id, id, seed_score, and importance if ``nodes`` is None.
 
     In each hop a node takes the larger of its own value times ``decay`` and the mean of its neighbours times the rest.
     """
-    a = seeds.join(nodes.select("id", "importance"), "id").select("query_id", "id", (semantic * F.col("seed_score") + worth * F.col("importance")).alias("activation"))
+    known = seeds if nodes is None else seeds.join(nodes.select("id", "importance"), "id")
+    a = known.select("query_id", "id", (semantic * F.col("seed_score") + worth * F.col("importance")).alias("activation"))
     a = a.groupBy("query_id", "id").agg(F.max("activation").alias("activation"))
     part = shares(sym)
     for _ in range(hops):

@@ -35,11 +35,11 @@ def cluster_kernel(nodes: DataFrame, queries: DataFrame, group: str, most: int =
 
 def constellation_runs(cands: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, arms: dict[str, tuple[int, bool] | None], group: str, k: int = 8) -> DataFrame:
     """system, query_id, id, score, rank: the full ranker under each arm, a (clusters, amplitudes) kernel or None for off."""
-    out = None
+    out, on = None, retrieval.ground(nodes, edges, queries)
     for name, arm in arms.items():
         kernel = None if arm is None else cluster_kernel(nodes, queries, group, *arm)
         weights = retrieval.WEIGHTS | ({} if arm is None else {"constellation": CONSTELLATION})
-        scored = retrieval.components(cands, nodes, edges, queries, now, kernel=kernel)
+        scored = retrieval.components(cands, nodes, edges, queries, now, kernel=kernel, on=on)
         scored = scored.withColumn("score", F.round(retrieval.weighted(tuple(weights), weights), 9))
         run = retrieval.top(scored, [F.col("score").desc(), F.col("id")], k).select(F.lit(name).alias("system"), "query_id", "id", "score", "rank")
         out = run if out is None else out.unionByName(run)

@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -64,16 +64,27 @@ def plan_tasks(members: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     return owner.withColumnRenamed("owner", "task"), when.select("question", "task", F.greatest("step", "task").alias("step"))
 
 
+def placed_runs(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, strategies: tuple[str, ...], k: int = 8) -> DataFrame:
+    """strategy, query_id, id, rank of the full ranking after each placement.
+
+    Candidates are scored once, with each node in the innermost ring that a strategy gives it; a strategy then takes its
+    own ring and distance, and of the candidates that only share words with a query those that it puts into inner rings.
+    """
+    parts = [placement.place(nodes, edges, s, now).select(F.lit(s).alias("strategy"), "id", F.col("ring").alias("own"), F.col("radial_distance").alias("far")) for s in strategies]
+    spots = cut(reduce(DataFrame.unionByName, parts))
+    inner = nodes.drop("ring").join(spots.groupBy("id").agg(F.min("own").alias("ring")), "id")
+    scored = retrieval.scored_candidates(inner, edges, queries, now)
+    each = scored.join(spots, "id").where((F.col("channel") != 3) | (F.col("own") <= 1))
+    each = each.withColumns({"structural": retrieval.structural(F.col("own")), "radial": retrieval.nearness(F.col("far"))})
+    score = F.round(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9)
+    w = Window.partitionBy("strategy", "query_id").orderBy(F.col("score").desc(), "id")
+    return each.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("strategy", "query_id", "id", "rank")
+
+
 def strategy_sweep(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold: DataFrame, now: Column, strategies: tuple[str, ...], k: int = 8) -> DataFrame:
     """strategy, n, recall, precision, mrr of the full ranking after each placement."""
-    out, shared = None, retrieval.channels(nodes, edges, queries)
-    for s in strategies:
-        placed = placement.place(nodes, edges, s, now)
-        scored = retrieval.components(retrieval.candidates(placed, edges, queries, shared=shared), placed, edges, queries, now)
-        runs = retrieval.rank_scored(scored, tuple(retrieval.WEIGHTS), k)
-        row = evaluation.means(evaluation.ranking_metrics(runs, gold, k), ["recall", "precision", "mrr"], []).withColumn("strategy", F.lit(s))
-        out = row if out is None else out.unionByName(row)
-    return out
+    runs = placed_runs(nodes, edges, queries, now, strategies, k)
+    return evaluation.means(evaluation.ranking_metrics(runs, gold, k, ["strategy"]), ["recall", "precision", "mrr"], ["strategy"])
 
 
 def by_language(docs: DataFrame, queries: DataFrame, key: str, k: int = 8) -> DataFrame:

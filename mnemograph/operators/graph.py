@@ -33,9 +33,12 @@ def symmetric(pair: DataFrame) -> DataFrame:
     return pair.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight", "confidence").unionByName(pair.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight", "confidence"))
 
 
-def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, degree (distinct neighbours), centrality (degree over the number of other nodes; 1 for a single node)."""
-    d = symmetric(pairs(edges)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+def degree(nodes: DataFrame, edges: DataFrame, sym: DataFrame | None = None) -> DataFrame:
+    """id, degree (distinct neighbours), centrality (degree over the number of other nodes; 1 for a single node).
+
+    sym: the symmetric graph of ``edges``, where it is there already.
+    """
+    d = (symmetric(pairs(edges)) if sym is None else sym).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     out = nodes.select("id").join(d, "id", "left").crossJoin(F.broadcast(n)).withColumn("degree", F.coalesce("degree", F.lit(0)))
     return out.select("id", "degree", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(F.lit(1.0)).alias("centrality"))

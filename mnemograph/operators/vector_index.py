@@ -172,7 +172,8 @@ class VectorIndex:
                         x = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
                         best.add(who[cell], part["id"].to_numpy(), np.round(q[who[cell]] @ x.T, DIGITS))
                 found = best.shrink()
-                yield pd.DataFrame({"query_id": ids[found["q"].to_numpy(dtype=np.int64)], "id": found["id"].to_numpy(dtype=object), "score": found["score"].to_numpy(dtype=np.float64)})
+                if len(found):
+                    yield pd.DataFrame({"query_id": ids[found["q"].to_numpy(dtype=np.int64)], "id": found["id"].to_numpy(dtype=object), "score": found["score"].to_numpy(dtype=np.float64)})
 
             return rows.select("id", "embedding", "cell").mapInPandas(run, shape)
 

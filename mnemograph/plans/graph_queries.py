@@ -238,7 +238,7 @@ def _queries(spark, sf_dir):
 
 def _components(spark, sf_dir):
     n, e, q = A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir)
-    return retrieval.components(retrieval.candidates(n, e, q), n, e, q, A.now())
+    return retrieval.scored_candidates(n, e, q, A.now())
 
 
 @query("component_scores", f"""{_RG}, {_CANDS} SELECT query_id, id, array_to_string(path, '>') AS path, channel, round(semantic, 6) AS semantic, round(structural, 6)::DOUBLE AS structural,

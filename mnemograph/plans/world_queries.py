@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, vector_index
+from ..operators import graph, history, lab, placement, vector_index, worlds
+from ..operators import retrieval
 from ..operators.durable import shared_folder
 from . import adapters as A
 from .catalog import query
+from .graph_queries import _CANDS, _queries, _score_sql
 
 # Rows that the index begins with, gets later, loses, and gets a new vector for, by number.
 _BEGIN, _LATER, _LOST, _TURNED = "num % 5 <> 0", "num % 5 = 0", "num % 7 = 3", "num % 11 = 4 and num % 7 <> 3"
@@ -123,3 +125,79 @@ def split_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = parts.select("whole", "reason", "importance", "confidence", F.concat_ws("-", "whole", F.col("p.k").cast("string")).alias("id"), "p.raw_text")
     more, _ = history.plan_splits(nodes, parts, A.now())
     return history.history(log.unionByName(more)).select("id", "version", "action", "raw_text", "reason")
+
+
+_AGE = f"greatest(0, epoch_us(TIMESTAMP '{A.NOW}') - epoch_us(updated_at)) / 86400e6::DOUBLE"
+_LEFT = f"exp(-{_AGE} / (21.0::DOUBLE / ln(2::DOUBLE) * (1 + 0.5::DOUBLE * least(coalesce(records, 0) / 8.0::DOUBLE, 1) * confidence)))"
+# the nodes as an arm of the study has them
+_OLDER = f"""{A.NODES.replace("nodes AS (", "young AS (", 1)}, {A.EDGES.replace("FROM nodes", "FROM young").replace("JOIN nodes", "JOIN young")}, {A.PAIRS},
+gold AS (SELECT num AS query_id, dst AS id FROM young JOIN sym ON src = id WHERE num % {A.EVERY} = 0),
+old AS (SELECT id FROM young WHERE md5('42:' || id) < '{int(0.8 * 16**8):08x}'), used AS (SELECT DISTINCT id FROM gold SEMI JOIN old USING (id) WHERE md5('43:' || id) < '{16**8 // 2:08x}'),
+inc AS (SELECT id, count(*) AS records FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY 1),
+elder AS (SELECT young.* REPLACE (CASE WHEN old.id IS NOT NULL THEN TIMESTAMP '{A.NOW}' - INTERVAL 60 DAY ELSE updated_at END AS updated_at), records, used.id IS NOT NULL AS used FROM young LEFT JOIN old USING (id) LEFT JOIN used USING (id) LEFT JOIN inc USING (id)),
+fading AS (SELECT *, {_LEFT} AS r FROM elder)"""
+_ARM = {
+    "before": "nodes AS (SELECT * FROM young)",
+    "after": f"""nodes AS (SELECT * EXCLUDE (r, records, used) REPLACE (
+  CASE WHEN used THEN round(least(0.98::DOUBLE, importance + 0.06::DOUBLE * (1.2::DOUBLE - importance)), 4) WHEN r < 0.999 THEN round(greatest(importance * r, importance * 0.15::DOUBLE, 0.05), 4) ELSE importance END AS importance,
+  CASE WHEN used THEN TIMESTAMP '{A.NOW}' WHEN r < 0.999 THEN updated_at ELSE (SELECT y.updated_at FROM young y WHERE y.id = fading.id) END AS updated_at) FROM fading)""",
+}
+_RANKED = {
+    n: f"""SELECT query_id, count(*) FILTER (hit) AS hits, min(rank) FILTER (hit) AS first FROM (WITH RECURSIVE {_OLDER}, {arm}, {_CANDS},
+  sc AS (SELECT query_id, id, round({_score_sql(tuple(retrieval.WEIGHTS))}, 9) AS score FROM comp)
+  SELECT sc.query_id, sc.id, row_number() OVER (PARTITION BY sc.query_id ORDER BY score DESC, sc.id) AS rank, gold.id IS NOT NULL AS hit FROM sc LEFT JOIN gold ON gold.query_id = sc.query_id AND gold.id = sc.id) WHERE rank <= 8 GROUP BY 1"""
+    for n, arm in _ARM.items()
+}
+
+
+def _near_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, id: what a query is to find are the neighbours of the node that it asks with."""
+    own = A.nodes(spark, sf_dir).where(F.col("num") % A.EVERY == 0).select(F.col("num").alias("query_id"), F.col("id").alias("src"))
+    return own.join(graph.symmetric(graph.pairs(A.edges(spark, sf_dir))), "src").select("query_id", F.col("dst").alias("id"))
+
+
+@query("ageing_study", f"""WITH a AS ({_RANKED["before"]}), b AS ({_RANKED["after"]}), {_OLDER},
+w AS (SELECT query_id, count(*) AS w, CASE WHEN bool_or(used.id IS NOT NULL) THEN 'aged_replayed' WHEN bool_or(old.id IS NOT NULL) THEN 'aged_faded' ELSE 'recent' END AS cohort FROM gold LEFT JOIN old USING (id) LEFT JOIN used USING (id) GROUP BY 1),
+m AS (SELECT cohort, coalesce(1 / a.first, 0) AS m0, coalesce(1 / b.first, 0) AS m1, a.hits / w AS r0, b.hits / w AS r1 FROM w JOIN a USING (query_id) JOIN b USING (query_id))
+SELECT cohort, count(*) AS n, round(avg(m0), 6) AS mrr_before, round(avg(m1), 6) AS mrr_after, round(avg(r0), 6) AS recall_before, round(avg(r1), 6) AS recall_after, round(avg(m1 - m0), 6) AS mrr_change, round(avg(r1 - r0), 6) AS recall_change FROM m GROUP BY 1""")
+def ageing_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worlds.ageing(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir), _near_gold(spark, sf_dir), A.now())
+
+
+# The shares of a world that rungs hold.
+_SHARES = [0.05, 0.15, 0.4, 1.0]
+
+
+@query("ladder_rungs", f"""WITH {A.NODES}, {A.EDGES}, {A.PAIRS}, s AS (SELECT unnest({_SHARES}::DOUBLE[]) AS share),
+k AS (SELECT share, id FROM nodes, s WHERE share >= 1 OR md5('42:' || num // 10) < lpad(to_hex(floor(share * 4294967296)::BIGINT), 8, '0')),
+h AS (SELECT k.share, dst AS id FROM k JOIN sym ON src = k.id GROUP BY ALL HAVING count(*) >= 2), m AS (SELECT * FROM k UNION SELECT * FROM h),
+e AS (SELECT a.share, count(*) AS edges FROM edges JOIN m a ON a.id = source_id JOIN m b ON b.id = target_id AND b.share = a.share GROUP BY 1)
+SELECT share, count(*) AS nodes, coalesce(any_value(edges), 0) AS edges FROM m LEFT JOIN e USING (share) GROUP BY 1""")
+def ladder_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large the nested parts of the world are; ten nodes are a group."""
+    nodes = A.nodes(spark, sf_dir).withColumn("batch", F.floor(F.col("num") / 10))
+    members, wires = worlds.rungs(nodes, A.edges(spark, sf_dir), "batch", _SHARES)
+    counted = wires.groupBy("share").agg(F.count(F.lit(1)).alias("edges"))
+    return members.groupBy("share").agg(F.count(F.lit(1)).alias("nodes")).join(counted, "share", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+
+
+@query("scale_ladder")
+def scale_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All strategies over nested parts of the world; questions are its nodes of three neighbours and more, every tenth of them."""
+    parent = F.when(F.col("num") > 0, F.concat(F.lit("v"), F.lpad(F.floor(F.col("num") / 8).cast("string"), 8, "0")))
+    nodes = A.nodes(spark, sf_dir).withColumns({"parent_id": parent, "batch": F.floor(F.col("num") / 10)})
+    asked = nodes.where("num % 10 = 0").select(F.col("num").alias("query_id"), "id", F.col("embedding").alias("vector"), F.col("concept").alias("query"))
+    return worlds.ladder(nodes, A.edges(spark, sf_dir), asked, A.now(), "batch", _SHARES, placement.STRATEGIES, least_degree=3)
+
+
+#: Tasks of the lab; a node's task, and a query's, comes from its label.
+_TASKS = 3
+
+
+@query("forgetting_variants")
+def forgetting_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All variants of the lab over tasks that are learned one after the other."""
+    nodes = A.nodes(spark, sf_dir).withColumn("task", F.col("label") % _TASKS)
+    queries = _queries(spark, sf_dir).withColumn("task", F.col("query_label") % _TASKS).drop("query_label")
+    rows, _ = lab.run(nodes, A.edges(spark, sf_dir), queries, _near_gold(spark, sf_dir), A.now(), _TASKS)
+    return rows

@@ -1,16 +1,20 @@
 """Stored worlds: the vector index, manifests, histories, ageing and ladders, against plain versions."""
 
 import datetime
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.operators import history, retrieval, vector_index
+from mnemograph.operators import dynamics, experiments, history, lab, placement, retrieval, vector_index, worlds
 from mnemograph.operators.topk import RunningTop
+from mnemograph.plans import adapters as A
+from mnemograph.plans import catalog
 from mnemograph.sources.manifest import Conflict, Manifest
 
+SMALL = "/root/testdata/sf0.001"
 VECTORS = "id string, embedding array<double>"
 
 
@@ -196,3 +200,142 @@ def test_conflicting_merges_stay_apart(spark):
     log, edges = history.plan_merges(nodes, incoming, now)
     assert {(r["id"], r["action"], r["reason"]) for r in log.collect()} == {("x", "create", None), ("a", "supersede", "superseded_by:x"), ("y", "create", None), ("c", "merge", None), ("a", "merge", None)}
     assert {(r["source_id"], r["target_id"], r["relation_type"]) for r in edges.collect()} == {("a", "x", "contradicts"), ("b", "y", "contradicts")}
+
+
+def test_overlays(spark):
+    base = spark.createDataFrame([(f"n{i}", float(i), i % 3) for i in range(6)], "id string, importance double, ring int")
+    low = spark.createDataFrame([("n1", 9.0), ("n2", 8.0), ("none", 1.0)], "id string, importance double")
+    high = spark.createDataFrame([("n2", None), ("n3", 7.0)], "id string, importance double")
+    got = {r["id"]: (r["importance"], r["ring"]) for r in worlds.overlaid(base, worlds.stacked(low, high)).collect()}
+    assert got == {"n0": (0.0, 0), "n1": (9.0, 1), "n2": (None, 2), "n3": (7.0, 0), "n4": (4.0, 1), "n5": (5.0, 2)}
+
+
+def test_rungs_are_nested(spark):
+    nodes = spark.createDataFrame([(f"n{i:03}", i // 5) for i in range(400)], "id string, batch int")
+    got = {}
+    for r in worlds.nested_sample(nodes, "batch", [0.4, 0.05, 1.0, 0.15]).collect():
+        got.setdefault(r["share"], set()).add(r["id"])
+    rung = [got.get(s, set()) for s in (0.05, 0.15, 0.4, 1.0)]
+    assert all(a < b for a, b in zip(rung, rung[1:])) and len(rung[3]) == 400 and 0.25 < len(rung[2]) / 400 < 0.55
+    assert all({f"n{5 * (int(i[1:]) // 5) + j:03}" for j in range(5)} <= r for r in rung for i in r)
+    sym = spark.createDataFrame([("n000", "x"), ("n001", "x"), ("n002", "y"), ("n000", "n001")], "src string, dst string")
+    kept = spark.createDataFrame([(1.0, "n000"), (1.0, "n001"), (1.0, "n002")], "share double, id string")
+    assert {r["id"] for r in worlds.with_hubs(kept, sym).collect()} == {"n000", "n001", "n002", "x"}
+
+
+def test_ladder_has_a_row_for_each_rung_and_strategy(spark):
+    nodes, some = A.nodes(spark, SMALL).withColumn("batch", F.floor(F.col("num") / 10)), ("temporal", "graph_centrality")
+    asked = nodes.where("num % 10 = 0").select(F.col("num").alias("query_id"), "id", F.col("embedding").alias("vector"), F.col("concept").alias("query"))
+    rows = worlds.ladder(nodes, A.edges(spark, SMALL), asked, A.now(), "batch", [0.4, 1.0], some, least_degree=3).collect()
+    assert {(r["share"], r["strategy"]) for r in rows} == {(x, s) for x in (0.4, 1.0) for s in some}
+    assert all(0 <= r["mrr"] <= 1 and 0 <= r["recall"] <= 1 and r["n"] > 0 for r in rows)
+    sizes = {r["share"]: r["nodes"] for r in catalog.queries()["ladder_rungs"](spark, SMALL).collect()}
+    assert all(sizes[r["share"]] == r["nodes"] for r in rows) and sorted(sizes.values()) == [sizes[s] for s in sorted(sizes)]
+    assert worlds.ladder(nodes, A.edges(spark, SMALL), asked.limit(0), A.now(), "batch", [0.4], some).count() == 0
+
+
+def test_strategies_share_candidates(spark):
+    """One scoring for all strategies gives what each strategy's own full ranking gives."""
+    from mnemograph.plans.graph_queries import _queries
+
+    n, e, q = A.nodes(spark, SMALL), A.edges(spark, SMALL), _queries(spark, SMALL)
+    some = ("temporal", "graph_centrality")
+    got = {(r["strategy"], r["query_id"], r["rank"], r["id"]) for r in experiments.placed_runs(n, e, q, A.now(), some).collect()}
+    want = {(s, r["query_id"], r["rank"], r["id"]) for s in some for r in retrieval.retrieve(placement.place(n, e, s, A.now()), e, q, A.now()).collect()}
+    assert got == want
+
+
+def lab_nodes(spark):
+    now = datetime.datetime(2024, 2, 1)
+    rng = random.Random(12)
+    rows = [(f"n{i:02}", i % 3, rng.randint(0, 9) / 10, rng.randint(0, 4), rng.randint(0, 9) / 10, rng.randint(0, 12), rng.randint(0, 3), now - datetime.timedelta(days=rng.randint(0, 90)), rng.randint(0, 9) / 10, rng.randint(0, 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, task int, importance double, ring int, stability double, access_count long, failures long, updated_at timestamp, confidence double, records long")
+    return now, rows, df
+
+
+def plain_strength(imp, stab, acc, conf, rec):
+    p = dynamics.PARAMETERS
+    one = lambda x: min(max(x, 0), 1)
+    score = p["score_access"] * min(acc / 10, 1) + p["score_importance"] * one(imp) + p["score_confidence"] * conf + p["score_degree"] * min(rec / 8, 1) + p["score_stability"] * one(stab)
+    rank = 3 if acc >= 10 and score >= 0.72 else 2 if acc >= 5 and score >= 0.6 else 1 if acc >= 2 or score >= 0.45 else 0
+    use = min(math.log1p(acc) / math.log1p(8), 1)
+    return rank, min(max(1 + 0.35 * rank + 1.2 * one(stab) + 0.6 * (one(imp) - 0.5) + 0.8 * use + 0.1 * min(rec / 8, 1), 0.25), 8)
+
+
+def test_lab_mechanisms_equal_a_plain_version(spark):
+    now, rows, df = lab_nodes(spark)
+    worlds_ = ["still", "decay/0.0/all", "replay/0.0/all", "decay+replay/0.1/all"]
+    state = lab.first_state(df, worlds_)
+    got = {(r["world"], r["id"]): r for r in lab.asleep(state, df, F.lit(now), dynamics.PARAMETERS | {"replay_size": 7}).collect()}
+    assert len(got) == 4 * 60
+    for world in worlds_:
+        changed, urgent = {}, []
+        for i, _, imp, _, stab, acc, fail, at, conf, rec in rows:
+            rank, strong = plain_strength(imp, stab, acc, conf, rec)
+            left = lambda days: min(math.exp(-days * math.log(2) / (21 * strong)), 1)
+            days = (now - at).days
+            if "decay" in world and left(days) < 0.999:
+                imp = round(max(imp * left(days), imp * 0.15, 0.05) + 1e-12, 4)
+            _, strong = rank, plain_strength(imp, stab, acc, conf, rec)[1]
+            risk = (1 - left(days)) * imp
+            need = 0.35 * risk + 0.2 * min(acc / 8, 1) + 0.15 * stab + 0.1 * min(rec / 8, 1) + 0.1 * min(fail / 3, 1) + 0.1 * rank / 3
+            urgent.append((-round(min(max(need, 0), 1), 6), i))
+            changed[i] = [imp, stab, at]
+        for _, i in sorted(urgent)[:7] if "replay" in world else ():
+            imp, stab, _ = changed[i]
+            changed[i] = [round(min(0.98, imp + 0.06 * (1.2 - imp)) + 1e-12, 4), min(stab + 0.12, 1), now]
+        for i, (imp, stab, at) in changed.items():
+            r = got[world, i]
+            # a state is told before its own decay, its strength after it
+            assert (r["importance"], r["stability"]) == pytest.approx((imp, stab), abs=2e-4) and r["updated_at"] == at, (world, i, r)
+            assert (r["last_decay_at"] == now) == ("decay" in world)
+
+
+def test_uses_add_up_as_one_after_the_other(spark):
+    now, rows, df = lab_nodes(spark)
+    state = lab.first_state(df, ["decay/0.0/all"])
+    counts = [(i, n % 4, n % 3) for n, i in enumerate(r[0] for r in rows)]
+    uses = spark.createDataFrame([("decay/0.0/all", *c) for c in counts], "world string, id string, wins long, losses long")
+    got = {r["id"]: r for r in lab.used(state, df, uses, F.lit(now)).collect()}
+    for (i, wins, losses), (_, _, imp, _, stab, acc, fail, _, conf, rec) in zip(counts, rows):
+        for _ in range(wins):
+            acc, stab = acc + 1, min(stab + 0.12 * (0.3 * imp + 0.25 * conf + 0.15 * min(rec / 8, 1) + 0.1 * min(acc / 10 + 0.1, 1)), 1)
+        for _ in range(losses):
+            stab = max(stab - 0.12, 0)
+        assert got[i]["stability"] == pytest.approx(stab) and (got[i]["access_count"], got[i]["failures"]) == (acc, fail + losses), i
+
+
+def test_lab_carries_states_and_still_variants_rank_as_ever(spark):
+    from mnemograph.plans.graph_queries import _queries
+    from mnemograph.plans.world_queries import _near_gold
+
+    nodes = A.nodes(spark, SMALL).withColumn("task", F.col("label") % 2)
+    queries = _queries(spark, SMALL).withColumn("task", F.col("query_label") % 2).drop("query_label")
+    edges, gold = A.edges(spark, SMALL), _near_gold(spark, SMALL)
+    some = {v: lab.VARIANTS[v] for v in ("A_vector_rag", "B_mira", "K_biomira_homeostasis")}
+    rows, states = lab.run(nodes, edges, queries, gold, A.now(), 2, some)
+    table = {(r["variant"], r["step"], r["task"]): r for r in rows.collect()}
+    assert {k[0] for k in table} == some.keys() and {(s, t) for _, s, t in table} <= {(0, 0), (1, 0), (1, 1)}
+    for variant, runs in (("A_vector_rag", retrieval.vector_topk(nodes, queries, 8)), ("B_mira", retrieval.retrieve(nodes, edges, queries, A.now()))):
+        per = retrieval_means(runs, gold, queries)
+        assert {t: round(m, 6) for t, m in per.items()} == {t: table[variant, 1, t]["mrr"] for t in per}
+    last = {(r["step"], r["world"], r["id"]): r for r in states.collect()}
+    still, moving = ("still", some["K_biomira_homeostasis"].world)
+    base = {r["id"]: r["importance"] for r in nodes.select("id", "importance").collect()}
+    assert all(r["importance"] == base[i] and r["last_decay_at"] is None for (_, w, i), r in last.items() if w == still)
+    first = {i: r for (s, w, i), r in last.items() if w == moving and s == 0}
+    then = {i: r for (s, w, i), r in last.items() if w == moving and s == 1}
+    assert first.keys() < then.keys() and any(then[i]["importance"] < r["importance"] for i, r in first.items()) and any(r["access_count"] for r in first.values())
+
+
+def retrieval_means(runs, gold, queries):
+    want, task, ranks = {}, {r["query_id"]: r["task"] for r in queries.select("query_id", "task").collect()}, {}
+    for r in gold.collect():
+        want.setdefault(r["query_id"], set()).add(r["id"])
+    for r in runs.collect():
+        if r["id"] in want.get(r["query_id"], ()):
+            ranks[r["query_id"]] = min(ranks.get(r["query_id"], 99), r["rank"])
+    out = {}
+    for q, t in task.items():
+        out.setdefault(t, []).append(1 / ranks[q] if q in ranks else 0.0)
+    return {t: sum(x) / len(x) for t, x in out.items()}
