@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -147,6 +148,89 @@ def name_sectors(nodes: DataFrame, group: str) -> DataFrame:
     return nodes.select(group).distinct().join(named, group, "left").withColumn("name", F.coalesce("name", F.concat(F.lit("sector_"), F.col(group))))
 
 
+#: Hubs whose vectors go to tasks at once.
+HUB_BLOCK = 16_384
+
+
+def hub_similarity(nodes: DataFrame, hubs: DataFrame) -> DataFrame:
+    """id, nearest: each node's largest inner product with another node of ``hubs`` (id, embedding); none where there is no other.
+
+    Hubs go to tasks in blocks, each block one matrix product a batch.
+    """
+    kind, blocks = nodes.schema["id"].dataType.simpleString(), max(1, -(-hubs.count() // HUB_BLOCK))
+    out = None
+    for i in range(blocks):
+        held = hubs.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).where("embedding is not null").select("id", "embedding").toPandas()
+        if not len(held):
+            continue
+        names, x = held["id"].to_numpy(object), np.stack(held["embedding"].to_numpy()).astype(np.float64)
+
+        def run(batches: Iterator[pd.DataFrame], names=names, x=x) -> Iterator[pd.DataFrame]:
+            place = {n: j for j, n in enumerate(names)}
+            for b in batches:
+                if len(b):
+                    s = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ x.T
+                    own = np.array([place.get(n, -1) for n in b["id"]])
+                    s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
+                    best = s.max(1)
+                    good = np.isfinite(best)
+                    if good.any():
+                        yield pd.DataFrame({"id": b["id"].to_numpy(object)[good], "nearest": np.round(best[good], 9)})
+
+        part = cut(nodes.where("embedding is not null").select("id", "embedding").mapInPandas(run, f"id {kind}, nearest double"))
+        out = part if out is None else out.unionByName(part)
+    return nodes.sparkSession.createDataFrame([], f"id {kind}, nearest double") if out is None else out.groupBy("id").agg(F.max("nearest").alias("nearest"))
+
+
+def tree_rings(nodes: DataFrame, rings: int = 5) -> DataFrame:
+    """id, ring: down parent_id from all roots at once: a root is 0 if it is a concept or an entity, else 1, and a child one more, the last ring at most.
+
+    Nodes that no root leads to have the ring two beyond their depth (0 where it is unknown), the last at most. A level is
+    a round; each node is met once, as it has one parent.
+    """
+    last, known = F.lit(rings - 1), "depth" in nodes.columns
+    front = nodes.where("parent_id is null").select("id", F.when(F.col("memory_type").isin("concept", "entity"), 0).otherwise(1).alias("ring"))
+    tree, parts = cut(nodes.select("id", "parent_id").where("parent_id is not null")), [cut(front)]
+    while True:
+        front = cut(tree.join(parts[-1].select(F.col("id").alias("parent_id"), "ring"), "parent_id").select("id", F.least(F.col("ring") + 1, last).alias("ring")))
+        if front.isEmpty():
+            break
+        parts.append(front)
+    met = reduce(DataFrame.unionByName, parts)
+    rest = nodes.join(met, "id", "left_anti").select("id", F.least(last, (F.coalesce("depth", F.lit(0)) if known else F.lit(0)) + 2).cast("int").alias("ring"))
+    return met.unionByName(rest)
+
+
+# Weights of the four distances of ``build``.
+BUILD = {"semantic": 0.4, "hierarchy": 0.25, "graph": 0.2, "age": 0.15}
+
+
+def build(nodes: DataFrame, edges: DataFrame, now: Column, rings: int = 5, days: float = 30.0) -> DataFrame:
+    """id, ring, sector, radial_distance by the other builder: rings down the tree, clusters as sectors, distance from hubs.
+
+    Hubs are the nodes of rings 0 and 1; a node's distance from them is 1 less its largest similarity to another hub
+    (without any, the length of its vector, or 1). Depth counts ring 0 as the last one, as the builder always has. With
+    fewer than six vectors there is one sector, "general", and nodes without a vector are in it.
+    """
+    placed = cut(nodes.drop("ring").join(tree_rings(nodes, rings), "id"))
+    near = hub_similarity(placed, placed.where("ring <= 1").select("id", "embedding"))
+    n = placed.where("embedding is not null").count()
+    general = F.lit("general")
+    if n >= 6:
+        clusters, _ = lloyd(placed, int(max(2, min(8, n**0.5))))
+        named = clusters.join(placed.select("id", "concept"), "id")
+        sectors = named.select("id", "cluster").join(name_sectors(named, "cluster"), "cluster").select("id", F.col("name").alias("found"))
+    else:
+        sectors = placed.select("id", general.alias("found")).limit(0)
+    d = placed.drop("sector").join(near, "id", "left").join(sectors, "id", "left").join(graph.degree(nodes, edges).select("id", "centrality"), "id")
+    alone = F.when(F.col("embedding").isNotNull(), N.norm(F.col("embedding"))).otherwise(1.0)
+    semantic = F.coalesce(1 - F.col("nearest"), alone)
+    depth = F.when(F.col("ring") == 0, rings - 1).otherwise(F.col("ring")) / float(max(1, rings - 1))
+    age = F.least(F.lit(1.0), N.age_days(F.col("created_at") if "created_at" in nodes.columns else F.col("updated_at"), now) / days)
+    total = BUILD["semantic"] * semantic + BUILD["hierarchy"] * depth + BUILD["graph"] * (1 - F.least(F.lit(1.0), 5 * F.col("centrality"))) + BUILD["age"] * age
+    return d.select("id", "ring", F.coalesce("found", general).alias("sector"), F.round(total / sum(BUILD.values()), 4).alias("radial_distance"))
+
+
 def membership(nodes: DataFrame, centroids: DataFrame, k: int = 3, floor: float = 0.0) -> DataFrame:
     """id, cid, w: each node's k nearest centroids (cid, centroid) by cosine above ``floor``; weights add up to 1.
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, history, lab, placement, vector_index, worlds
-from ..operators import retrieval
-from ..operators.durable import shared_folder
+from ..operators import answers, evaluation, graph, history, lab, placement, retrieval, vector_index, worlds
+from ..operators.durable import cut, shared_folder
+from ..sources import questions, results
 from . import adapters as A
 from .catalog import query
-from .graph_queries import _CANDS, _queries, _score_sql
+from .graph_queries import _CANDS, _HITS, _queries, _score_sql
+from .store_queries import _corpus
 
 # Rows that the index begins with, gets later, loses, and gets a new vector for, by number.
 _BEGIN, _LATER, _LOST, _TURNED = "num % 5 <> 0", "num % 5 = 0", "num % 7 = 3", "num % 11 = 4 and num % 7 <> 3"
@@ -201,3 +203,74 @@ def forgetting_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _queries(spark, sf_dir).withColumn("task", F.col("query_label") % _TASKS).drop("query_label")
     rows, _ = lab.run(nodes, A.edges(spark, sf_dir), queries, _near_gold(spark, sf_dir), A.now(), _TASKS)
     return rows
+
+
+@query("answers_widened", f"""WITH RECURSIVE {A.NODES}, {A.EDGES}, {A.PAIRS}, {_CANDS}, sc AS (SELECT query_id, id, round({_score_sql(tuple(retrieval.WEIGHTS))}, 9) AS score FROM comp),
+rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 32),
+t AS (SELECT rk.*, CASE WHEN num % 13 = 0 THEN raw_text END AS t FROM rk JOIN nodes USING (id)),
+w AS (SELECT query_id, CASE WHEN count(*) FILTER (t IS NOT NULL AND rank <= 8) > 0 OR count(t) = 0 THEN 8 ELSE 32 END AS looked FROM t GROUP BY 1),
+d AS (SELECT t.*, looked, row_number() OVER (PARTITION BY query_id, t ORDER BY rank) AS again FROM t JOIN w USING (query_id) WHERE rank <= looked)
+SELECT query_id, CASE WHEN count(t) > 0 THEN 'extractive' ELSE 'no_evidence' END AS mode, any_value(looked) AS looked, count(*) AS n_retrieved, coalesce(string_agg(id, ',' ORDER BY rank) FILTER (t IS NOT NULL AND again = 1), '') AS evidence FROM d GROUP BY 1""")
+def answers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of thirteen nodes one has a text, so most questions need the wider look."""
+    n, e, q = A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir)
+    scored = retrieval.scored_candidates(n, e, q, A.now()).withColumn("score", F.round(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
+    texts = n.select("id", F.when(F.col("num") % 13 == 0, F.col("raw_text")).alias("text"), "ring", "sector")
+    return answers.assemble(scored, texts, q).select("query_id", "mode", "looked", "n_retrieved", F.array_join("evidence", ",").alias("evidence"))
+
+
+def _question_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """The documents as question sets of the four published shapes: kind -> folder."""
+    d, i = _corpus(spark, sf_dir)[0].select("document_id", "title"), F.col("document_id")
+    record = {
+        "custom": F.struct("question", "answer", F.array(F.concat(F.lit("x"), i)).alias("supporting_ids")),
+        "hotpotqa": F.struct("question", "answer", F.struct(F.array("title").alias("title"), F.array(F.lit(0)).alias("sent")).alias("supporting_facts")),
+        "2wiki": F.struct("question", "answer", F.array(F.array(F.upper("title"), F.lit("0")), F.array(F.concat(F.lit("doc-"), i + 4, F.lit(".txt")), F.lit("1"))).alias("supporting_facts")),
+        "musique": F.struct("question", "answer", F.array(F.struct(F.col("title"), F.lit(True).alias("is_supporting")), F.struct(F.concat(F.lit("doc-"), i + 4, F.lit(".txt")).alias("title"), F.lit(False).alias("is_supporting"))).alias("supporting_paragraphs")),
+    }
+    root, out = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}", {}
+    asked = d.withColumns({"question": F.concat(F.lit("q"), i), "answer": F.concat(F.lit("a"), i), "part": F.floor(i / 256)})
+    for k, kind in enumerate(questions.KINDS):
+        rows = asked.where(i % 4 == k).groupBy("part").agg(F.collect_list(record[kind]).alias("data"))
+        text = F.to_json(F.struct("data")) if kind == "musique" else F.to_json("data")
+        out[kind] = f"{root}/{kind}"
+        rows.select("part", text.alias("value")).write.partitionBy("part").text(out[kind])
+    return out
+
+
+@query("resolve_questions", """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS seq, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+n AS (SELECT doc_id, 'n' || doc_id || '#' || seq AS id FROM l WHERE length(t) > 0 AND seq % 2 = 0),
+k AS (SELECT doc_id, doc_id AS of FROM documents WHERE doc_id % 4 > 0 UNION ALL SELECT doc_id, doc_id + 4 FROM documents WHERE doc_id % 4 = 2),
+r AS (SELECT k.doc_id, count(n.id) AS n, min(n.id) AS first FROM k LEFT JOIN n ON n.doc_id = k.of GROUP BY 1)
+SELECT ['custom','hotpotqa','2wiki','musique'][d.doc_id % 4 + 1] AS kind, 'q' || d.doc_id AS question, CASE WHEN d.doc_id % 4 = 0 THEN 1 ELSE coalesce(n, 0) END AS n_ids, CASE WHEN d.doc_id % 4 = 0 THEN 'x' || d.doc_id ELSE first END AS first FROM documents d LEFT JOIN r USING (doc_id)""")
+def resolve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question sets of all shapes, read from files, with the nodes of the documents that they name."""
+    d, c, n, _ = _corpus(spark, sf_dir)
+    titled = d.select("document_id", F.concat(F.lit("Set: "), "title").alias("title"), F.concat(F.lit("files/doc-"), "document_id", F.lit(".txt")).alias("source_path"))
+    index = cut(questions.title_index(titled, c, n))
+    parts = [questions.resolve(questions.read_questions(spark, path, kind), index).withColumn("kind", F.lit(kind)) for kind, path in _question_files(spark, sf_dir).items()]
+    return reduce(DataFrame.unionByName, parts).select("kind", "question", F.size("supporting_ids").cast("long").alias("n_ids"), F.array_min("supporting_ids").alias("first"))
+
+
+@query("tree_builder", f"""WITH RECURSIVE {A.NODES}, {A.EDGES}, {A.PAIRS}, p AS (SELECT *, CASE WHEN num >= 3 AND num % 40 <> 39 THEN 'v' || lpad((num // 8)::VARCHAR, 8, '0') END AS parent FROM nodes),
+r AS (SELECT id, CASE WHEN memory_type IN ('concept', 'entity') THEN 0 ELSE 1 END AS ring FROM p WHERE parent IS NULL UNION ALL SELECT p.id, least(r.ring + 1, 4) FROM p JOIN r ON p.parent = r.id),
+n AS (SELECT p.id, r.ring, embedding, updated_at, num FROM p JOIN r USING (id)), h AS (SELECT id, embedding AS e FROM n WHERE ring <= 1),
+s AS (SELECT n.id, max(round(list_dot_product(embedding, e), 9)) AS near FROM n JOIN h ON h.id <> n.id GROUP BY 1), d AS (SELECT src AS id, count(*)::DOUBLE / ((SELECT count(*) FROM nodes) - 1) AS c FROM sym GROUP BY 1)
+SELECT id, ring, round(0.4::DOUBLE * (1 - near) + 0.25::DOUBLE * CASE ring WHEN 0 THEN 4 ELSE ring END / 4 + 0.2::DOUBLE * (1 - least(1, 5 * coalesce(c, 0))) + 0.15::DOUBLE * least(1, {_AGE} / 30), 4) AS radial_distance FROM n JOIN s USING (id) LEFT JOIN d USING (id)""")
+def tree_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other builder over a tree in which some branches hang from nothing."""
+    up = F.when((F.col("num") >= 3) & (F.col("num") % 40 != 39), F.concat(F.lit("v"), F.lpad(F.floor(F.col("num") / 8).cast("string"), 8, "0")))
+    return placement.build(A.nodes(spark, sf_dir).withColumn("parent_id", up), A.edges(spark, sf_dir), A.now()).select("id", "ring", "radial_distance")
+
+
+@query("stored_results", f"""WITH {A.NODES}, {A.EDGES}, {A.PAIRS}, {_HITS}, gold AS (SELECT num AS query_id, dst AS id FROM nodes JOIN sym ON src = id WHERE num % {A.EVERY} = 0), w AS (SELECT query_id, count(*) AS w FROM gold GROUP BY 1),
+runs AS (SELECT 'vector_' || k AS system, query_id, id, rank, k FROM hits, (VALUES (4), (8), (16)) v(k) WHERE rank <= k),
+m AS (SELECT system, query_id, k, count(gold.id) AS hits, min(rank) FILTER (gold.id IS NOT NULL) AS first FROM runs LEFT JOIN gold USING (query_id, id) GROUP BY ALL)
+SELECT system, count(*) AS n, round(avg(coalesce(hits / w, 0)), 4) AS recall, round(avg(coalesce(1 / first, 0)), 4) AS mrr, count(*) AS n_scored_recall, count(*) AS n_scored_mrr FROM m LEFT JOIN w USING (query_id) GROUP BY 1""")
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs merged one by one into stored results, one of them twice."""
+    n, q, gold = A.nodes(spark, sf_dir), A.vector_queries(spark, sf_dir), _near_gold(spark, sf_dir)
+    hits, kept = cut(retrieval.vector_topk(n, q, 16)), results.Results(spark, f"{shared_folder(spark)}/results-{uuid.uuid4().hex}")
+    for k, name in ((4, 4), (4, 8), (16, 16), (8, 8)):
+        kept.merge(f"vector_{name}", evaluation.ranking_metrics(hits, gold, k))
+    return kept.table(["recall", "mrr"])
