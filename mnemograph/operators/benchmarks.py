@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import evaluation, placement, retrieval
+from .durable import cut
+from .order import numbered
 
 #: Weight of the constellation component where it is on.
 CONSTELLATION = 0.08
@@ -77,9 +79,10 @@ def grouped_split(rows: DataFrame, group: str, share: float = 0.25, seed: int =
     Groups are counted and ranked, rows only join them; those without a group are left out.
     """
     groups = rows.where(F.col(group).isNotNull()).select(group).distinct()
-    n = groups.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * share)).alias("n"))
-    ordered = groups.withColumn("i", F.row_number().over(Window.orderBy(draw(F.col(group), seed), group))).crossJoin(F.broadcast(n))
-    return rows.join(ordered.select(group, F.when(F.col("i") <= F.col("n"), "holdout").otherwise("train").alias("side")), group)
+    ordered = cut(numbered(groups.withColumn("_draw", draw(F.col(group), seed)), ["_draw", group]))
+    n = ordered.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * share)).alias("n"))
+    ordered = ordered.crossJoin(F.broadcast(n))
+    return rows.join(ordered.select(group, F.when(F.col("i") < F.col("n"), "holdout").otherwise("train").alias("side")), group)
 
 
 def training_pairs(scored: DataFrame, own: DataFrame, sym: DataFrame) -> DataFrame:

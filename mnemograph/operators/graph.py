@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import cut
+from .order import numbered
 
 
 def collapse(edges: DataFrame) -> DataFrame:
@@ -134,14 +135,35 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(keep.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(keep.select(F.col("id").alias("target_id")), "target_id", "left_semi")
 
 
+def _wired(nodes: DataFrame, ahead) -> DataFrame:
+    """source_id, target_id of the pairs that ``ahead`` (i and n -> array of other places, null for none) makes of nodes in id order, each once."""
+    at = cut(numbered(nodes.select("id"), ["id"]))
+    n = at.agg(F.count(F.lit(1)).alias("n"))
+    out = at.crossJoin(F.broadcast(n)).withColumn("j", F.explode(ahead(F.col("i"), F.col("n")))).where("j is not null and i <> j")
+    near = out.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    return near.join(at.select(F.col("id").alias("source_id"), "i"), "i").join(at.select(F.col("id").alias("target_id"), F.col("i").alias("j")), "j").select("source_id", "target_id")
+
+
 def ring_lattice(nodes: DataFrame, reach: int = 2) -> DataFrame:
     """source_id, target_id: each node and the next ``reach`` in id order, the last ones and the first closing the ring."""
-    order = Window.orderBy("id")
-    numbered = nodes.select("id", (F.row_number().over(order) - 1).alias("i"))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    ahead = numbered.crossJoin(F.broadcast(n)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
+    at = cut(numbered(nodes.select("id"), ["id"]))
+    n = at.agg(F.count(F.lit(1)).alias("n"))
+    ahead = at.crossJoin(F.broadcast(n)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(reach))))
     ahead = ahead.select(F.col("id").alias("source_id"), F.pmod(F.col("i") + F.col("step"), F.col("n")).alias("j"))
-    return ahead.join(numbered.select(F.col("id").alias("target_id"), F.col("i").alias("j")), "j").select("source_id", "target_id")
+    return ahead.join(at.select(F.col("id").alias("target_id"), F.col("i").alias("j")), "j").select("source_id", "target_id")
+
+
+def hub_circulant(nodes: DataFrame) -> DataFrame:
+    """source_id, target_id, each pair once: every node with the next two and the one half a ring ahead, and the first with every fourth."""
+    half = lambda n: F.greatest(F.lit(1), F.floor(n / 2))
+    return _wired(nodes, lambda i, n: F.array((i + 1) % n, (i + 2) % n, (i + half(n)) % n, F.when(i % 4 == 1, F.lit(0).cast("long"))))
+
+
+def square_lattice(nodes: DataFrame) -> DataFrame:
+    """source_id, target_id, each pair once: nodes in rows of equal length, as many rows as the root of their number, joined right and down."""
+    columns = lambda n: F.ceil(n / F.greatest(F.lit(1), F.floor(F.sqrt(n.cast("double")))))
+    right = lambda i, n: F.when(((i % columns(n)) + 1 < columns(n)) & (i + 1 < n), i + 1)
+    return _wired(nodes, lambda i, n: F.array(right(i, n), F.when(i + columns(n) < n, i + columns(n))))
 
 
 def rewire(edges: DataFrame, seed: int, swaps_per_edge: int = 4) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .durable import cut
+from .topk import RunningTop
 
 K1, B = 1.5, 0.75
 #: Queries of a block, and most terms that are filtered by before rows leave the JVM.
@@ -29,8 +30,9 @@ def bm25(docs: DataFrame, key: str, queries: DataFrame, k: int = 8, k1: float =
 
     Queries go in blocks of about ``BLOCK_QUERIES``, whose terms travel with the code. The corpus is cut into words once:
     what it holds of the asked terms, and each document's length, goes to the shared folder, and frequencies, mean length
-    and scores come from there. A batch of documents meets the query terms as a product of two sparse matrices and sends
-    on its k best for each query, so that neither postings nor pairs of documents and queries are shuffled.
+    and scores come from there. A batch of documents meets the query terms as a product of two sparse matrices; a task
+    keeps the k best of each query over all its batches, so that neither postings nor pairs of documents and queries are
+    shuffled, and what is sent on does not grow with the documents.
     """
     n_blocks = -(-queries.count() // BLOCK_QUERIES)
     if n_blocks <= 1:
@@ -68,9 +70,10 @@ def _block_bm25(docs: DataFrame, key: str, queries: DataFrame, k: int, k1: float
     query, weight = triples[:, 1], np.log(1 + (n - df + 0.5) / (df + 0.5))[triples[:, 0]] * triples[:, 2]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = RunningTop(len(ids), k)
         for whole in batches:
             for at in range(0, len(whole), 500):
-                part = whole.iloc[at : at + 500].sort_values(key, ignore_index=True)
+                part = whole.iloc[at : at + 500]
                 sizes = np.array([len(t) for t in part["term"]])
                 row = np.repeat(np.arange(len(part)), sizes)
                 term, tf = (np.concatenate([np.zeros(0), *part[c]]) for c in ("term", "tf"))
@@ -80,10 +83,10 @@ def _block_bm25(docs: DataFrame, key: str, queries: DataFrame, k: int, k1: float
                 spot = np.repeat(starts[term] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
                 cell = np.repeat(row, each) * len(ids) + query[spot]
                 got = np.round(np.bincount(cell, np.repeat(x, each) * weight[spot], len(part) * len(ids)).reshape(len(part), len(ids)), 4)
-                best = np.argsort(-got, axis=0, kind="stable")[:k]
-                q, d = np.tile(np.arange(len(ids)), len(best)), best.ravel()
-                some = got[d, q] > 0
-                yield pd.DataFrame({"query_id": [ids[i] for i in q[some]], key: part[key].to_numpy()[d[some]], "score": got[d[some], q[some]]})
+                best.add(np.arange(len(ids)), part[key].to_numpy(), np.where(got > 0, got, -np.inf).T)
+        found = best.shrink()
+        if len(found):
+            yield pd.DataFrame({"query_id": [ids[int(i)] for i in found["q"]], key: found["id"].to_numpy(), "score": found["score"].to_numpy(dtype=np.float64)})
 
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double"
     return top(kept.mapInPandas(score, kinds), "query_id", [F.col("score").desc(), F.col(key)], k)

@@ -14,6 +14,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from . import graph
 from .durable import cut
+from .order import numbered
 
 RINGS = 5
 #: Weights of semantic distance, depth, lack of centrality and age.
@@ -24,14 +25,11 @@ MOST_CENTROIDS = 1024
 def ranked_bands(nodes: DataFrame, order: list[Column], bands: int = RINGS) -> DataFrame:
     """id, ring: even bands over a global order; ring = floor(bands * place / n).
 
-    Places come from counts by value, so that no task holds all nodes: only distinct values meet in one window, and ties
-    inside a value are ranked by id within it.
+    Ties go by id. Places come from ``numbered``, so no task holds all nodes, however few or many values there are.
     """
-    keyed = nodes.select("id", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("key"))
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    start = groups.select("key", F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    inside = F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1
-    return keyed.withColumn("i", inside).join(start, "key").select("id", F.floor(F.lit(bands) * (F.col("start") + F.col("i")) / F.col("total")).cast("int").alias("ring"))
+    at = cut(numbered(nodes.select("id", *[c.alias(f"k{i}") for i, c in enumerate(order)]), [*(f"k{i}" for i in range(len(order))), "id"]))
+    total = at.agg(F.count(F.lit(1)).alias("total"))
+    return at.crossJoin(F.broadcast(total)).select("id", F.floor(F.lit(bands) * F.col("i") / F.col("total")).cast("int").alias("ring"))
 
 
 def by_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,39 +57,101 @@ def by_hierarchy(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def lloyd(nodes: DataFrame, k: int, rounds: int = 8) -> tuple[DataFrame, np.ndarray]:
-    """(id, cluster), centroids: k-means that is the same on each run.
+def _far(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of x and c, by norms and one product; rounded, so that ties do not depend on it."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)[None], 0).round(9)
 
-    The first centroids are the k nodes with the smallest ids; each round assigns in batches and adds up partial sums, so
-    that the driver gets k vectors a round.
+
+def _first_seeds(data: DataFrame, k: int) -> np.ndarray:
+    return np.array([r["embedding"] for r in data.orderBy("id").limit(k).select("embedding").collect()], np.float64)
+
+
+def oversampled_seeds(data: DataFrame, k: int, seed: int = 7, rounds: int = 4) -> np.ndarray:
+    """k seeds by k-means||: in each round rows are drawn in proportion to their distance from the seeds so far, about 2 k of
+    them; the drawn ones, weighted by the rows nearest to them, are then reduced to k by the same rule on the driver.
+
+    Draws are by hash, so runs agree. The driver gets about 2 k rows a round.
     """
-    first = nodes.where("embedding is not null").orderBy("id").limit(k).select("embedding").collect()
-    centres = np.array([r["embedding"] for r in first], np.float64)
-    data = nodes.where("embedding is not null").select("id", "embedding")
-    for _ in range(rounds):
+    centres = _first_seeds(data, 1)
+    if not len(centres):
+        return centres
 
-        def sums(batches: Iterator[pd.DataFrame], c=centres) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                near = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1).round(9), axis=1)
+    def cost(batches: Iterator[pd.DataFrame], c: np.ndarray) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"].to_numpy(object), "embedding": b["embedding"].to_numpy(), "d": _far(np.stack(b["embedding"].to_numpy()).astype(np.float64), c).min(1)})
+
+    for r in range(rounds):
+        c = centres
+        far = cut(data.mapInPandas(lambda it, c=c: cost(it, c), "id string, embedding array<double>, d double"))
+        total = far.agg(F.sum("d")).first()[0] or 0.0
+        if total <= 0:
+            break
+        lot = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(1 << 30)) / float(1 << 30)
+        more = far.where(lot < F.least(F.lit(1.0), 2.0 * k * F.col("d") / total)).orderBy("id").select("embedding").collect()
+        if more:
+            centres = np.unique(np.concatenate([centres, np.array([x["embedding"] for x in more], np.float64)]), axis=0)
+    if len(centres) <= k:
+        return centres
+    weight = np.zeros(len(centres))
+    for r in _sums(data, [centres]).groupBy("cluster").agg(F.sum("n").alias("n")).collect():
+        weight[r["cluster"]] = r["n"]
+    rng, picked = np.random.default_rng(seed), [int(weight.argmax())]
+    while len(picked) < k:
+        chance = weight * _far(centres, centres[picked]).min(1)
+        picked.append(int(rng.choice(len(centres), p=chance / chance.sum())) if chance.sum() > 0 else next(i for i in range(len(centres)) if i not in picked))
+    return centres[picked]
+
+
+def _sums(data: DataFrame, starts: list[np.ndarray]) -> DataFrame:
+    """start, cluster, n, total (summed vectors), cost of the rows nearest to each centre, from each batch and for each set of centres."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            for s, c in enumerate(starts):
+                far = _far(x, c)
+                near, least = far.argmin(1), far.min(1)
                 for j in np.unique(near):
-                    yield pd.DataFrame({"cluster": [int(j)], "n": [int((near == j).sum())], "total": [x[near == j].sum(0)]})
-
-        parts = data.mapInPandas(sums, "cluster int, n long, total array<double>").select("cluster", "n", F.posexplode("total").alias("i", "v"))
-        got = parts.groupBy("cluster", "i").agg((F.sum("v") / F.sum("n")).alias("v")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c")).collect()
-        moved = centres.copy()
-        for r in got:
-            moved[r["cluster"]] = r["c"]
-        if np.allclose(moved, centres, atol=1e-9):
+                    yield pd.DataFrame({"start": [s], "cluster": [int(j)], "n": [int((near == j).sum())], "total": [x[near == j].sum(0)], "cost": [float(least[near == j].sum())]})
+
+    return data.mapInPandas(sums, "start int, cluster int, n long, total array<double>, cost double")
+
+
+def kmeans(nodes: DataFrame, k: int, seeds: list[np.ndarray], rounds: int = 8) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """(id, cluster), centroids and the cost of each start: Lloyd's rounds from several sets of seeds at once, of which the cheapest stays.
+
+    Each round is one pass for all starts; partial sums are added up, so the driver gets k vectors a start. Costs are those
+    of the centroids that are returned; of equal ones the first start stays.
+    """
+    data, starts = nodes.where("embedding is not null").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), list(seeds)
+    cost = [0.0] * len(starts)
+    for r in range(rounds + 1):
+        parts = _sums(data, starts).select("start", "cluster", "n", "cost", F.posexplode("total").alias("i", "v"))
+        means = parts.groupBy("start", "cluster", "i").agg((F.sum("v") / F.sum("n")).alias("v"), F.sum("cost").alias("cost"))
+        got = means.groupBy("start", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("c"), F.max("cost").alias("cost")).collect()
+        cost, moved = [sum(x["cost"] for x in got if x["start"] == s) for s in range(len(starts))], [c.copy() for c in starts]
+        for x in got:
+            moved[x["start"]][x["cluster"]] = x["c"]
+        if r == rounds or all(np.allclose(a, b, atol=1e-9) for a, b in zip(moved, starts)):
             break
-        centres = moved
+        starts = moved
+    best = starts[int(np.argmin(np.round(cost, 9)))] if starts else np.zeros((0, 0))
 
-    def assign(batches: Iterator[pd.DataFrame], c=centres) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            yield pd.DataFrame({"id": b["id"], "cluster": np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1).round(9), axis=1).astype("int32")})
+            if len(b):
+                yield pd.DataFrame({"id": b["id"].to_numpy(object), "cluster": _far(np.stack(b["embedding"].to_numpy()).astype(np.float64), best).argmin(1).astype("int32")})
+
+    return data.mapInPandas(assign, "id string, cluster int"), best, cost
+
 
-    return data.mapInPandas(assign, "id string, cluster int"), centres
+def clusters(nodes: DataFrame, k: int, starts: int = 3, rounds: int = 8) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """``kmeans`` from the k smallest ids, and from ``starts`` - 1 draws of k-means||; so never dearer than the first alone."""
+    data = cut(nodes.where("embedding is not null").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")))
+    return kmeans(data, k, [_first_seeds(data, k), *(oversampled_seeds(data, k, seed) for seed in range(1, starts))], rounds)
 
 
 def centroid(nodes: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -217,8 +277,8 @@ def build(nodes: DataFrame, edges: DataFrame, now: Column, rings: int = 5, days:
     n = placed.where("embedding is not null").count()
     general = F.lit("general")
     if n >= 6:
-        clusters, _ = lloyd(placed, int(max(2, min(8, n**0.5))))
-        named = clusters.join(placed.select("id", "concept"), "id")
+        found, _, _ = clusters(placed, int(max(2, min(8, n**0.5))))
+        named = found.join(placed.select("id", "concept"), "id")
         sectors = named.select("id", "cluster").join(name_sectors(named, "cluster"), "cluster").select("id", F.col("name").alias("found"))
     else:
         sectors = placed.select("id", general.alias("found")).limit(0)
@@ -274,7 +334,7 @@ STRATEGIES = ("embedding_clusters", "graph_centrality", "hierarchy", "temporal",
 def place(nodes: DataFrame, edges: DataFrame, strategy: str, now: Column) -> DataFrame:
     """nodes with ring, sector, depth and radial_distance set by a strategy; unknown ones are hybrid.
 
-    Clusters are those of ``lloyd``, named by their words.
+    Clusters are those of ``clusters``, named by their words.
     """
     if strategy == "graph_centrality":
         spot = by_centrality(nodes, edges)
@@ -284,8 +344,8 @@ def place(nodes: DataFrame, edges: DataFrame, strategy: str, now: Column) -> Dat
         spot = by_hierarchy(nodes.withColumn("label", F.col("concept")))
     else:
         n = nodes.count()
-        clusters, _ = lloyd(nodes, int(max(2, min(8, n**0.5))))
-        named = clusters.join(nodes.select("id", "concept"), "id")
+        found, _, _ = clusters(nodes, int(max(2, min(8, n**0.5))))
+        named = found.join(nodes.select("id", "concept"), "id")
         sectors = named.select("id", "cluster").join(name_sectors(named, "cluster"), "cluster").select("id", F.col("name").alias("sector"))
         rings = distance_rings(nodes).select("id", "ring") if strategy == "embedding_clusters" else hybrid(nodes, edges)
         spot = rings.join(sectors, "id", "left")

@@ -19,14 +19,14 @@ class RunningTop:
         self.k, self.floor, self.parts, self.rows = k, np.full(n, -np.inf), [], 0
 
     def add(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        """scores: one row for each of ``queries`` (numbers below n), one column for each of ``ids``."""
+        """scores: one row for each of ``queries`` (numbers below n), one column for each of ``ids``; -inf is no score."""
         if not scores.size:
             return
         least = self.floor[queries]
         if scores.shape[1] > self.k:
             least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
         # equal scores stay until ids decide
-        row, column = np.nonzero(scores >= least[:, None])
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         self.parts.append(pd.DataFrame({"q": queries[row], "id": ids[column], "score": scores[row, column]}))
         self.rows += len(row)
         if self.rows > GATHERED:

@@ -123,7 +123,7 @@ def born_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placement.lloyd(A.nodes(spark, sf_dir), 8)[0]
+    return placement.clusters(A.nodes(spark, sf_dir), 8)[0]
 
 
 @query("place_embedding_clusters")

@@ -128,6 +128,21 @@ def ring_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ring_lattice(A.nodes(spark, sf_dir).select("id"))
 
 
+_PLACED = f"WITH {A.NODES}, o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM nodes)"
+
+
+@query("hub_circulant", f"""{_PLACED}, p AS (SELECT i, unnest([(i + 1) % n, (i + 2) % n, (i + greatest(1, n // 2)) % n, CASE WHEN i % 4 = 1 THEN 0 END]) AS j FROM o)
+SELECT DISTINCT a.id AS source_id, b.id AS target_id FROM p JOIN o a ON a.i = least(p.i, j) JOIN o b ON b.i = greatest(p.i, j) WHERE p.i <> j""")
+def hub_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hub_circulant(A.nodes(spark, sf_dir).select("id"))
+
+
+@query("square_lattice", f"""{_PLACED}, c AS (SELECT i, n, ceil(n / floor(sqrt(n)))::BIGINT AS w FROM o), p AS (SELECT i, i + 1 AS j FROM c WHERE i % w + 1 < w AND i + 1 < n UNION ALL SELECT i, i + w FROM c WHERE i + w < n)
+SELECT a.id AS source_id, b.id AS target_id FROM p JOIN o a ON a.i = p.i JOIN o b ON b.i = j""")
+def square_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.square_lattice(A.nodes(spark, sf_dir).select("id"))
+
+
 @query("degree_preserving_rewiring")
 def rewiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rewire(A.edges(spark, sf_dir), seed=7)
