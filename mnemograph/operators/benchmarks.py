@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import evaluation, placement, retrieval
+from . import evaluation, lexical, placement, retrieval
 from .durable import cut
 from .order import numbered
 
@@ -28,6 +31,51 @@ def run_systems(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Col
     return flat.unionByName(walk).unionByName(retrieval.ablate(nodes, edges, queries, now, k=k).select(cols))
 
 
+def rankers(nodes: DataFrame, edges: DataFrame, queries: DataFrame, now: Column, text: Column, tree: DataFrame, k: int = 8) -> dict[str, Callable[[], DataFrame]]:
+    """system -> its runs (query_id, id, rank): full, flat_vector, graph_rag, bm25 over each node's ``text``, hierarchical over ``tree``.
+
+    tree: id, parent_id, ring, label; queries: query_id, vector, query.
+    """
+    texts = nodes.select("id", text.alias("text"))
+    cols = ["query_id", "id", "rank"]
+    return {
+        "full": lambda: retrieval.retrieve(nodes, edges, queries, now, k=k).select(cols),
+        "flat_vector": lambda: retrieval.vector_topk(nodes, queries, k).select(cols),
+        "graph_rag": lambda: retrieval.graph_rag(nodes, edges, queries, k).select(cols),
+        "bm25": lambda: lexical.bm25(texts, "id", queries.select("query_id", "query"), k).select(cols),
+        "hierarchical": lambda: retrieval.hierarchical_rag(tree, queries.select("query_id", "query"), k).select(cols),
+    }
+
+
+def benchmark(systems: dict[str, Callable[[], DataFrame]], gold: DataFrame, queries: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(system, query_id, recall, precision, mrr), (system, questions, seconds, questions_per_s).
+
+    Each system's runs are written before the next one starts, which is what is timed. Questions for which a system finds
+    nothing count 0.
+    """
+    n, rows, speed = queries.count(), None, []
+    for name, run in systems.items():
+        began = time.perf_counter()
+        found = cut(run())
+        took = time.perf_counter() - began
+        speed.append((name, n, round(took, 3), round(n / took, 3)))
+        per = queries.select("query_id").join(evaluation.ranking_metrics(found, gold, k), "query_id", "left")
+        per = per.select(F.lit(name).alias("system"), "query_id", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in METRICS])
+        rows = per if rows is None else rows.unionByName(per)
+    return rows, queries.sparkSession.createDataFrame(speed, "system string, questions long, seconds double, questions_per_s double")
+
+
+def over_seeds(rows: DataFrame, seeds: list[int], share: float = 0.5, by: tuple[str, ...] = ("system",)) -> DataFrame:
+    """by, seeds, and of each metric the mean over seeds and their population deviation (_dev): each seed draws a share of the questions.
+
+    A seed that draws none of a group's questions does not count for it.
+    """
+    each = F.explode(F.array(*[F.when(drawn(F.col("query_id"), s, share), F.lit(s)) for s in seeds])).alias("seed")
+    one = rows.select(*by, *METRICS, each).where("seed is not null").groupBy(*by, "seed").agg(*[F.avg(m).alias(m) for m in METRICS])
+    out = [f(m).alias(n) for m in METRICS for f, n in ((lambda c: F.round(F.avg(c), 6), m), (lambda c: F.round(F.stddev_pop(c), 6), f"{m}_dev"))]
+    return one.groupBy(*by).agg(F.count(F.lit(1)).alias("seeds"), *out)
+
+
 def cluster_kernel(nodes: DataFrame, queries: DataFrame, group: str, most: int = 3, amplitudes: bool = False) -> DataFrame:
     """query_id, id, kernel: what each query shares with each node of their ``most`` nearest centroids of ``group``."""
     centroids = placement.centroid(nodes, [group]).withColumnRenamed(group, "cid")
@@ -68,6 +116,11 @@ def draw(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def drawn(key: Column, seed: int, share: float) -> Column:
+    """Whether a seed draws a row: a share of all, the same rows in every run and engine."""
+    return draw(key, seed) < f"{min(int(share * 16**8), 16**8 - 1):08x}"
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, drawn by seed and key; all of them where n is 0 or there are no more."""
     return rows.orderBy(draw(F.col(key), seed), key).limit(n) if n > 0 else rows

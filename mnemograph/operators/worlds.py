@@ -28,14 +28,9 @@ def stacked(lower: DataFrame, upper: DataFrame) -> DataFrame:
     return lower.join(upper.select("id"), "id", "left_anti").unionByName(upper)
 
 
-def share_drawn(key: Column, seed: int, share: float) -> Column:
-    """Whether a seed draws a row: a share of all, the same rows in every run and engine."""
-    return benchmarks.draw(key, seed) < f"{min(int(share * 16**8), 16**8 - 1):08x}"
-
-
 def aged(nodes: DataFrame, now: Column, share: float = 0.8, days: int = 60, seed: int = 42) -> DataFrame:
     """Overlay (id, updated_at): a drawn share of the nodes has not been changed for some days."""
-    return nodes.where(share_drawn(F.col("id"), seed, share)).select("id", (now - F.make_dt_interval(F.lit(days))).alias("updated_at"))
+    return nodes.where(benchmarks.drawn(F.col("id"), seed, share)).select("id", (now - F.make_dt_interval(F.lit(days))).alias("updated_at"))
 
 
 def ageing(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold: DataFrame, now: Column, share: float = 0.8, days: int = 60, half_life: float = 21.0, replayed: float = 0.5, seed: int = 42, k: int = 8) -> DataFrame:
@@ -48,7 +43,7 @@ def ageing(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold: DataFra
     on = retrieval.ground(nodes, edges, queries)
     records = graph.incidence(edges)
     old = cut(aged(nodes, now, share, days, seed))
-    wanted = cut(gold.select("id").distinct().join(old.select("id"), "id", "left_semi").where(share_drawn(F.col("id"), seed + 1, replayed)))
+    wanted = cut(gold.select("id").distinct().join(old.select("id"), "id", "left_semi").where(benchmarks.drawn(F.col("id"), seed + 1, replayed)))
     world = overlaid(nodes, old)
     used = world.join(wanted, "id", "left_semi").select("id", dynamics.lifted(F.col("importance")).alias("importance"), now.alias("updated_at"))
     rest = world.join(wanted, "id", "left_anti").join(records, "id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
@@ -73,7 +68,7 @@ def nested_sample(nodes: DataFrame, group: str, shares: list[float], seed: int =
 
     Groups have one priority each and a rung takes all below its own bound, so no rung is drawn anew.
     """
-    each = F.explode(F.array(*[F.when(F.lit(s >= 1.0) | share_drawn(F.col(group), seed, s), F.lit(float(s))) for s in sorted(shares)])).alias("share")
+    each = F.explode(F.array(*[F.when(F.lit(s >= 1.0) | benchmarks.drawn(F.col(group), seed, s), F.lit(float(s))) for s in sorted(shares)])).alias("share")
     return nodes.select("id", group, each).where("share is not null").select("share", "id")
 
 

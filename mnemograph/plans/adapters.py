@@ -49,6 +49,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"access_count": F.coalesce("access_count", F.lit(0)).cast("long"), "failures": F.coalesce("failures", F.lit(0)).cast("long"), "stability": F.col("num") * 13 % 83 / 83})
 
 
+def replicated(nodes: DataFrame, most: int) -> DataFrame:
+    """As many nodes as ``most`` allows: whole copies of ``nodes`` with numbers of their own and vectors turned a little."""
+    n = nodes.count()
+    copies = max(1, most // max(1, n))
+    each = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("num", F.col("num") + F.col("copy") * n)
+    turned = F.transform("embedding", lambda x, i: x + F.when(F.col("copy") > 0, 0.05 * F.sin((F.col("num") * 31 + i * 7).cast("double"))).otherwise(0.0))
+    return each.withColumns({"id": F.concat(F.lit("v"), F.lpad(F.col("num").cast("string"), 8, "0")), "embedding": turned}).drop("copy")
+
+
 NODES = f"""
 act AS (SELECT user_id % {USERS} AS usr, count(*) FILTER (event_type <> 'error') AS access_count,
   count(*) FILTER (event_type = 'error') AS failures, max(ts) AS last_accessed FROM events GROUP BY 1),
@@ -64,8 +73,12 @@ nodes AS (SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS id, vec_id AS num, labe
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_of(nodes(spark, sf_dir))
+
+
+def edges_of(nodes: DataFrame) -> DataFrame:
     """source_id, target_id, relation_type, weight, confidence: neighbours within a class, and some across."""
-    n = nodes(spark, sf_dir).select("id", "num", "label")
+    n = nodes.select("id", "num", "label")
     along = n.select(F.col("id").alias("source_id"), F.lead("id").over(Window.partitionBy("label").orderBy("num")).alias("target_id"), "num").where("target_id is not null")
     along = along.select("source_id", "target_id", F.lit("next").alias("relation_type"), (0.2 + F.col("num") % 10 / 10).alias("weight"), (0.5 + F.col("num") % 5 / 10).alias("confidence"))
     size = n.agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answers, evaluation, graph, history, lab, placement, retrieval, vector_index, worlds
+from ..operators import answers, benchmarks, evaluation, graph, history, lab, placement, retrieval, vector_index, worlds
 from ..operators.durable import cut, shared_folder
 from ..sources import questions, results
 from . import adapters as A
@@ -274,3 +274,35 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, name in ((4, 4), (4, 8), (16, 16), (8, 8)):
         kept.merge(f"vector_{name}", evaluation.ranking_metrics(hits, gold, k))
     return kept.table(["recall", "mrr"])
+
+
+def _node_tree(nodes: DataFrame) -> DataFrame:
+    parent = F.when(F.col("num") >= 5, F.concat(F.lit("v"), F.lpad(F.floor(F.col("num") / 5).cast("string"), 8, "0")))
+    return nodes.select("id", parent.alias("parent_id"), F.when(F.col("num") < 5, 0).when(F.col("num") < 25, 1).otherwise(2).alias("ring"), F.col("concept").alias("label"))
+
+
+_TREE_RUN = """tree AS (SELECT id, CASE WHEN num >= 5 THEN 'v' || lpad((num // 5)::VARCHAR, 8, '0') END AS p, concept AS label, CASE WHEN num < 5 THEN 0 WHEN num < 25 THEN 1 ELSE 2 END AS ring FROM nodes),
+tw AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]{3,}'))) AS w FROM tree WHERE ring <= 1), th AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, id) AS r FROM tq JOIN tw USING (w) GROUP BY query_id, id QUALIFY r <= 3),
+tk AS (SELECT id, p AS up, row_number() OVER (PARTITION BY p ORDER BY id) AS p FROM tree WHERE p IS NOT NULL), tf AS (SELECT query_id, tk.id, r, p, 0 AS g FROM th JOIN tk ON tk.up = th.id WHERE p <= 8),
+ts AS (SELECT query_id, id, r, p, g FROM tf UNION ALL SELECT tf.query_id, tk.id, tf.r, tf.p, tk.p FROM tf JOIN tk ON tk.up = tf.id WHERE tk.p <= 2), tm AS (SELECT query_id, id, min((r, p, g)) AS spot FROM ts GROUP BY ALL)"""
+_BM25_RUN = r"""bd AS (SELECT id, lower(concat_ws(' ', concept, summary, raw_text)) AS t FROM nodes), bp AS (SELECT id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) AS term FROM bd), btf AS (SELECT id, term, count(*) AS tf FROM bp GROUP BY ALL),
+bl AS (SELECT id, sum(tf) AS dl FROM btf GROUP BY 1), bg AS (SELECT count(*) AS n, avg(dl) AS av FROM bl), bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY 1), bq AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+')) AS term FROM qt),
+bs AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 4) AS score FROM (SELECT query_id, term FROM bq) JOIN btf USING (term) JOIN bdf USING (term) JOIN bl USING (id), bg GROUP BY ALL)"""
+_SEEDS = [1, 2, 3]
+
+
+@query("systems_over_seeds", f"""WITH {A.NODES}, {A.EDGES}, {A.PAIRS}, {_HITS}, qt AS (SELECT vec_id AS query_id, 'topic ' || label || ' of group ' || vec_id % 7 AS query FROM embeddings WHERE vec_id % {A.EVERY} = 0),
+tq AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{3,}}'))) AS w FROM qt), {_TREE_RUN}, {_BM25_RUN}, h AS (SELECT * FROM hits WHERE rank <= 8), d AS (SELECT src AS id, count(*) AS degree FROM sym GROUP BY 1),
+n AS (SELECT DISTINCT query_id, dst AS id FROM h JOIN sym ON src = h.id WHERE rank <= 3), u AS (SELECT query_id, id, score FROM h UNION ALL SELECT n.query_id, n.id, 0.5 * least(1.0, degree / 5.0) FROM n JOIN d USING (id) ANTI JOIN h ON h.query_id = n.query_id AND h.id = n.id),
+runs AS (SELECT 'flat_vector' AS system, query_id, id, rank FROM h UNION ALL SELECT 'graph_rag', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM u
+  UNION ALL SELECT 'bm25', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM bs UNION ALL SELECT 'hierarchical', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) FROM tm),
+gold AS (SELECT num AS query_id, dst AS id FROM nodes JOIN sym ON src = id WHERE num % {A.EVERY} = 0), w AS (SELECT query_id, count(*) AS w FROM gold GROUP BY 1),
+m AS (SELECT s.system, qt.query_id, count(gold.id) AS hits, min(rank) FILTER (gold.id IS NOT NULL) AS first FROM (SELECT DISTINCT system FROM runs) s CROSS JOIN qt LEFT JOIN runs r ON r.system = s.system AND r.query_id = qt.query_id AND rank <= 8 LEFT JOIN gold ON gold.query_id = r.query_id AND gold.id = r.id GROUP BY ALL),
+o AS (SELECT system, seed, avg(coalesce(hits / w, 0)) AS recall, avg(hits / 8) AS precision, avg(coalesce(1 / first, 0)) AS mrr FROM m LEFT JOIN w USING (query_id), (SELECT unnest({_SEEDS}) AS seed) WHERE md5(seed || ':' || query_id) < '80000000' GROUP BY ALL)
+SELECT system, count(*) AS seeds, {", ".join(f"round(avg({x}), 6) AS {x}, round(stddev_pop({x}), 6) AS {x}_dev" for x in benchmarks.METRICS)} FROM o GROUP BY 1""")
+def systems_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rankers beside each other, over drawn halves of the questions."""
+    n, q = A.nodes(spark, sf_dir), _queries(spark, sf_dir)
+    systems = benchmarks.rankers(n, A.edges(spark, sf_dir), q, A.now(), F.concat_ws(" ", "concept", "summary", "raw_text"), _node_tree(n))
+    rows, _ = benchmarks.benchmark({s: r for s, r in systems.items() if s != "full"}, _near_gold(spark, sf_dir), q)
+    return benchmarks.over_seeds(rows, _SEEDS)

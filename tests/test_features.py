@@ -158,3 +158,19 @@ def test_clusters_are_never_dearer_than_the_first_seeds(spark, seed):
     assert len(own) == 160 and all(far[int(i[1:]), c] <= far[int(i[1:])].min() + 1e-8 for i, c in own.items())
     assert min(cost) <= cost[0] and far.min(1).sum() == pytest.approx(min(cost), abs=1e-6)
     assert placement.clusters(df, 6)[2] == cost
+
+
+def test_benchmark_counts_every_question_and_times_systems(spark):
+    queries = spark.createDataFrame([(q, [1.0], "x") for q in range(20)], "query_id long, vector array<double>, query string")
+    gold = spark.createDataFrame([(q, f"n{q % 4}") for q in range(20)] + [(0, "n9")], "query_id long, id string")
+    run = spark.createDataFrame([(q, f"n{i}", i + 1) for q in range(15) for i in range(4)], "query_id long, id string, rank long")
+    rows, speed = benchmarks.benchmark({"a": lambda: run, "b": lambda: run.where("query_id < 0")}, gold, queries)
+    got = {(r["system"], r["query_id"]): r["mrr"] for r in rows.collect()}
+    assert got == {("a", q): 1 / (q % 4 + 1) if q < 15 else 0.0 for q in range(20)} | {("b", q): 0.0 for q in range(20)}
+    assert {(r["system"], r["questions"]) for r in speed.collect()} == {("a", 20), ("b", 20)} and all(r["questions_per_s"] > 0 for r in speed.collect())
+    import hashlib
+
+    own = lambda s: [got["a", q] for q in range(20) if hashlib.md5(f"{s}:{q}".encode()).hexdigest() < "80000000"]
+    means = [sum(x) / len(x) for x in map(own, (1, 2, 3)) if x]
+    r = benchmarks.over_seeds(rows, [1, 2, 3]).where("system = 'a'").first()
+    assert r["seeds"] == len(means) and r["mrr"] == pytest.approx(np.mean(means), abs=1e-6) and r["mrr_dev"] == pytest.approx(np.std(means), abs=1e-6)
