@@ -92,9 +92,25 @@ def by_language(docs: DataFrame, queries: DataFrame, key: str, k: int = 8) -> Da
 
     Each language has an index of its own (its frequencies and mean length); documents without a language are one too.
     """
-    worlds = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    runs = [lexical.bm25(docs.where(F.col("lang").eqNullSafe(F.lit(w))).drop("lang"), key, queries, k).withColumn("lang", F.lit(w).cast("string")) for w in worlds]
-    return reduce(DataFrame.unionByName, runs).select("lang", "query_id", key, "score", "rank")
+    return lexical.bm25(docs, key, queries, k, by="lang").select("lang", "query_id", key, "score", "rank")
+
+
+def language_runs(nodes: DataFrame, edges: DataFrame, queries: DataFrame, text: Column, k: int = 8) -> DataFrame:
+    """system, lang, query_id, id, rank: the vector, graph and lexical rankers, each query among the nodes of its own language.
+
+    nodes: with lang; queries: query_id, lang, vector, query. No ranker is run once a language: vectors of other languages
+    have no score, edges between languages fall out, and the lexical ranker holds an index for each.
+    """
+    of = nodes.select("id", F.coalesce("lang", F.lit("")).alias("own"))
+    end = lambda c: of.select(F.col("id").alias(f"{c}_id"), F.col("own").alias(c))
+    within = edges.join(end("source"), "source_id").join(end("target"), "target_id").where("source = target").drop("source", "target")
+    mine = queries.select("query_id", "lang")
+    cols = ["query_id", "id", "rank"]
+    words = lexical.bm25(nodes.select("id", text.alias("text"), "lang"), "id", queries.select("query_id", "query"), k, by="lang")
+    words = words.join(mine.withColumnRenamed("lang", "asked"), "query_id").where(F.col("lang").eqNullSafe(F.col("asked")))
+    runs = {"flat_vector": retrieval.vector_topk(nodes, queries, k, by="lang"), "graph_rag": retrieval.graph_rag(nodes, within, queries, k, by="lang"), "bm25": words}
+    parts = [r.select(F.lit(s).alias("system"), *cols) for s, r in runs.items()]
+    return reduce(DataFrame.unionByName, parts).join(mine, "query_id").select("system", "lang", *cols)
 
 
 def learned_weights(scored: DataFrame, gold: DataFrame, rounds: int = 20, rate: float = 0.5) -> dict[str, float]:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answers, benchmarks, evaluation, graph, history, lab, placement, retrieval, vector_index, worlds
+from ..operators import answers, benchmarks, evaluation, experiments, graph, history, lab, placement, retrieval, vector_index, worlds
 from ..operators.durable import cut, shared_folder
 from ..sources import questions, results
 from . import adapters as A
@@ -306,3 +306,28 @@ def systems_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     systems = benchmarks.rankers(n, A.edges(spark, sf_dir), q, A.now(), F.concat_ws(" ", "concept", "summary", "raw_text"), _node_tree(n))
     rows, _ = benchmarks.benchmark({s: r for s, r in systems.items() if s != "full"}, _near_gold(spark, sf_dir), q)
     return benchmarks.over_seeds(rows, _SEEDS)
+
+
+@query("systems_by_language", f"""WITH {A.NODES}, {A.EDGES}, nl AS (SELECT n.*, lang FROM nodes n LEFT JOIN documents ON doc_id = num), {_BM25_RUN.split("bs AS")[0].rstrip().rstrip(",").replace("FROM nodes)", "FROM nl)").split("bl AS")[0].rstrip().rstrip(",")},
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, lang, lower('topic ' || label || ' of group ' || vec_id % 7) AS t FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % {A.EVERY} = 0),
+bl AS (SELECT nl.id, lang, coalesce(sum(tf), 0) AS dl FROM nl LEFT JOIN btf USING (id) GROUP BY ALL), bg AS (SELECT lang, count(*) AS n, avg(dl) AS av FROM bl GROUP BY 1), bdf AS (SELECT lang, term, count(*) AS df FROM btf JOIN nl USING (id) GROUP BY ALL),
+bs AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av))), 4) AS score FROM (SELECT query_id, lang AS ql, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS term FROM q) JOIN btf USING (term) JOIN bl USING (id)
+  JOIN bdf ON bdf.term = btf.term AND bdf.lang IS NOT DISTINCT FROM bl.lang JOIN bg ON bg.lang IS NOT DISTINCT FROM bl.lang WHERE bl.lang IS NOT DISTINCT FROM ql GROUP BY ALL),
+cos AS (SELECT query_id, id, round(list_dot_product(v, embedding) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding, embedding))), 6) AS score FROM q JOIN nl ON nl.lang IS NOT DISTINCT FROM q.lang),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cos QUALIFY rank <= 8), we AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edges JOIN nl x ON x.id = source_id JOIN nl y ON y.id = target_id WHERE x.lang IS NOT DISTINCT FROM y.lang AND source_id <> target_id GROUP BY ALL),
+sym AS (SELECT a AS src, b AS dst FROM we UNION ALL SELECT b, a FROM we), dg AS (SELECT src AS id, count(*) AS degree FROM sym GROUP BY 1), nb AS (SELECT DISTINCT query_id, dst AS id FROM hits JOIN sym ON src = hits.id WHERE rank <= 3),
+u AS (SELECT query_id, id, score FROM hits UNION ALL SELECT nb.query_id, nb.id, 0.5 * least(1.0, degree / 5.0) FROM nb JOIN dg USING (id) ANTI JOIN hits h ON h.query_id = nb.query_id AND h.id = nb.id),
+runs AS (SELECT 'flat_vector' AS system, query_id, id, rank FROM hits UNION ALL SELECT 'graph_rag', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM u UNION ALL SELECT 'bm25', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM bs),
+gold AS (SELECT query_id, nl.id FROM q JOIN embeddings e ON e.vec_id = query_id JOIN nl ON nl.label = e.label AND nl.lang IS NOT DISTINCT FROM q.lang), w AS (SELECT query_id, count(*) AS w FROM gold GROUP BY 1),
+m AS (SELECT system, query_id, count(gold.id) AS hits, min(rank) FILTER (gold.id IS NOT NULL) AS first FROM runs LEFT JOIN gold USING (query_id, id) WHERE rank <= 8 GROUP BY ALL)
+SELECT system, lang, count(*) AS n, round(avg(hits / w), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM m JOIN w USING (query_id) JOIN q USING (query_id) GROUP BY ALL""")
+def systems_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node's language is that of the document of its number; a query is to find the nodes of its class and language."""
+    lang = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("num"), "lang")
+    nodes = A.nodes(spark, sf_dir).join(lang, "num", "left")
+    queries = _queries(spark, sf_dir).join(lang.withColumnRenamed("num", "query_id"), "query_id", "left")
+    runs = experiments.language_runs(nodes, A.edges(spark, sf_dir), queries, F.concat_ws(" ", "concept", "summary", "raw_text"))
+    near = nodes.select("id", F.col("label").alias("query_label"), F.coalesce("lang", F.lit("")).alias("_l"))
+    gold = queries.select("query_id", "query_label", F.coalesce("lang", F.lit("")).alias("_l")).join(near, ["query_label", "_l"]).select("query_id", "id")
+    per = evaluation.ranking_metrics(runs, gold, 8, ["system", "lang"])
+    return per.groupBy("system", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr"))

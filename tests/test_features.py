@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mnemograph.operators import answers, benchmarks, compression, graph, placement, retrieval
+from mnemograph.operators import answers, benchmarks, compression, graph, lexical, placement, retrieval
 from mnemograph.operators.order import numbered
 from mnemograph.sources import questions, results
 from mnemograph.sources.manifest import Conflict
@@ -174,3 +174,17 @@ def test_benchmark_counts_every_question_and_times_systems(spark):
     means = [sum(x) / len(x) for x in map(own, (1, 2, 3)) if x]
     r = benchmarks.over_seeds(rows, [1, 2, 3]).where("system = 'a'").first()
     assert r["seeds"] == len(means) and r["mrr"] == pytest.approx(np.mean(means), abs=1e-6) and r["mrr_dev"] == pytest.approx(np.std(means), abs=1e-6)
+
+
+def test_groups_in_one_pass_equal_a_run_for_each(spark):
+    rng = random.Random(3)
+    rows = [(f"n{i:02}", rng.choice(["en", "de", None]), " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(rng.randint(0, 9))), [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id string, lang string, text string, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(q, rng.choice(["en", "de", None, "xx"]), [rng.gauss(0, 1) for _ in range(3)], rng.choice(["a b", "c", "d d a", "zz"])) for q in range(12)], "query_id long, lang string, vector array<double>, query string")
+    got = {tuple(r) for r in lexical.bm25(nodes, "id", queries, 4, by="lang").select("lang", "query_id", "id", "score", "rank").collect()}
+    want = {(lang, *r) for lang in ("en", "de", None) for r in lexical.bm25(nodes.where(F.col("lang").eqNullSafe(F.lit(lang))), "id", queries, 4).select("query_id", "id", "score", "rank").collect()}
+    assert got == want and len(got) > 60
+    got = {tuple(r) for r in retrieval.vector_topk(nodes, queries, 4, by="lang").select("query_id", "id", "score", "rank").collect()}
+    own = lambda lang: F.col("lang").eqNullSafe(F.lit(lang))
+    assert got == {tuple(r) for lang in ("en", "de", None, "xx") for r in retrieval.vector_topk(nodes.where(own(lang)), queries.where(own(lang)), 4).select("query_id", "id", "score", "rank").collect()}
+    assert lexical.bm25(nodes.limit(0), "id", queries, 4, by="lang").count() == 0
