@@ -106,6 +106,31 @@ def decay_report(decayed: DataFrame) -> DataFrame:
     return decayed.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("faded").alias("decayed"), F.round(F.avg(r), 4).alias("retention_mean"), F.round(F.least(F.lit(1.0), F.min(r)), 4).alias("retention_min"), F.round(F.greatest(F.lit(0.0), F.max(r)), 4).alias("retention_max"))
 
 
+def _two(x: Column) -> Column:
+    return F.format_number(x, 2)
+
+
+def reasons(stated: DataFrame, now: Column, p: dict = PARAMETERS) -> DataFrame:
+    """id, state, score, retention, strength, why_decayed, why_settled: for each node, what its fading and its state rest on, in numbers and in words.
+
+    stated: rows of ``with_state`` with last_accessed. A pass that has taken something (decay_rate, where it is a column) is named.
+    """
+    used = F.when(F.col("access_count") == 0, "never retrieved").otherwise(F.concat(F.col("access_count").cast("string"), F.lit(" retrievals")))
+    last = F.coalesce(F.concat(F.lit("last used "), F.date_format("last_accessed", "yyyy-MM-dd HH:mm:ss")), F.lit("no recorded use"))
+    left = adaptive_retention(now, p)
+    taken = F.when(F.col("decay_rate") > 0, F.concat(F.lit("last decay pass removed "), F.format_number(100 * F.col("decay_rate"), 0), F.lit("%"))) if "decay_rate" in stated.columns else F.lit(None).cast("string")
+    following = F.element_at(F.create_map(*[F.lit(x) for pair in zip(STATES, STATES[1:]) for x in pair]), F.col("state"))
+    rests = F.concat(F.lit("score "), _two(F.col("score")), F.lit(" from access "), F.col("access_count").cast("string"), *[y for c in ("importance", "confidence", "stability") for y in (F.lit(f", {c} "), _two(N.clip(F.col(c))))])
+    settled = F.concat(rests, F.coalesce(F.concat(F.lit("; next is "), following), F.lit("; fully consolidated, fades more slowly")))
+    return stated.select("id", "state", "score", left.alias("retention"), strength(p).alias("strength"), F.concat_ws("; ", used, last, F.concat(F.lit("retention "), _two(left)), taken).alias("why_decayed"), settled.alias("why_settled"))
+
+
+def at_risk(stated: DataFrame, now: Column, most: int = 20, below: float = 0.5, p: dict = PARAMETERS) -> DataFrame:
+    """id, retention, rank of the nodes of which least is left, ``below`` a share of it; ties by id."""
+    left = stated.select("id", F.round(adaptive_retention(now, p), 6).alias("retention")).where(F.col("retention") < below)
+    return left.orderBy("retention", "id").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("retention", "id")).cast("long"))
+
+
 def lifted(importance: Column, lift: float = 0.06, ceiling: float = 0.98) -> Column:
     """Importance after use."""
     return F.round(F.least(F.lit(ceiling), importance + lift * (1.2 - importance)), 4)

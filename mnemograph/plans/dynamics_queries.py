@@ -234,3 +234,14 @@ def dynamics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dynamics_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stated(spark, sf_dir).where("state <> 'new'").select("id", "state", F.round("score", 6).alias("score"), "access_count")
     return s.orderBy(F.col("score").desc(), "id").limit(50)
+
+
+@query("node_reasons", f"""{_G}, {_STATE} SELECT id, {_NAMES} AS state, CASE WHEN access_count = 0 THEN 'never retrieved' ELSE access_count || ' retrievals' END || '; ' || coalesce('last used ' || strftime(last_accessed, '%Y-%m-%d %H:%M:%S'), 'no recorded use') || '; retention ' || printf('%.2f', r) AS why_decayed,
+'score ' || printf('%.2f', score) || ' from access ' || access_count || ', importance ' || printf('%.2f', importance) || ', confidence ' || printf('%.2f', confidence) || ', stability ' || printf('%.2f', stability) || ['; next is candidate', '; next is stable', '; next is consolidated', '; fully consolidated, fades more slowly'][rank_ + 1] AS why_settled FROM ret""")
+def node_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dynamics.reasons(_stated(spark, sf_dir), A.now()).select("id", "state", "why_decayed", "why_settled")
+
+
+@query("at_risk_nodes", f"""{_G}, {_STATE} SELECT id, round(r, 6) AS retention, row_number() OVER (ORDER BY round(r, 6), id) AS rank FROM ret WHERE round(r, 6) < 0.5 QUALIFY rank <= 20""")
+def at_risk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dynamics.at_risk(_stated(spark, sf_dir), A.now())

@@ -284,3 +284,15 @@ def retrieve_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("retrieve_explain")
 def retrieve_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir), A.now(), "semantic,graph,path")
+
+
+_USED = [c for c in sorted(retrieval.WEIGHTS) if retrieval.WEIGHTS[c] > 0]
+_ADDS = {c: f"round({_TERM[c]} * {retrieval.WEIGHTS[c]}::DOUBLE / {sum(retrieval.WEIGHTS.values())}::DOUBLE, 6)" for c in _USED}
+
+
+@query("retrieve_audit", f"""{_RG}, {_CANDS}, sc AS (SELECT query_id, id, round({_score_sql(tuple(retrieval.WEIGHTS))}, 9) AS score, count(*) OVER (PARTITION BY query_id) AS candidates,
+  concat_ws(', ', {", ".join(f"'{c} ' || printf('%.6f', round({_TERM[c]}, 6)::DOUBLE) || ' adds ' || printf('%.6f', {_ADDS[c]}::DOUBLE)" for c in _USED)}) AS explanation,
+  list_min([{", ".join(f"{{'a': -({_ADDS[c]})::DOUBLE, 'c': '{c}'}}" for c in _USED)}]).c AS led_by FROM comp)
+SELECT query_id, id, score, candidates, explanation, led_by, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 8""")
+def retrieve_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.audit(_components(spark, sf_dir), tuple(retrieval.WEIGHTS), 8).drop("path", "source")

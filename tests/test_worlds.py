@@ -224,7 +224,7 @@ def test_rungs_are_nested(spark):
 
 
 def test_ladder_has_a_row_for_each_rung_and_strategy(spark):
-    nodes, some = A.nodes(spark, SMALL).withColumn("batch", F.floor(F.col("num") / 10)), ("temporal", "graph_centrality")
+    nodes, some = A.nodes(spark, SMALL).withColumn("batch", F.floor(F.col("num") / 10)), ("temporal",)
     asked = nodes.where("num % 10 = 0").select(F.col("num").alias("query_id"), "id", F.col("embedding").alias("vector"), F.col("concept").alias("query"))
     rows = worlds.ladder(nodes, A.edges(spark, SMALL), asked, A.now(), "batch", [0.4, 1.0], some, least_degree=3).collect()
     assert {(r["share"], r["strategy"]) for r in rows} == {(x, s) for x in (0.4, 1.0) for s in some}
@@ -239,7 +239,7 @@ def test_strategies_share_candidates(spark):
     from mnemograph.plans.graph_queries import _queries
 
     n, e, q = A.nodes(spark, SMALL), A.edges(spark, SMALL), _queries(spark, SMALL)
-    some = ("temporal", "graph_centrality")
+    some = ("temporal",)
     got = {(r["strategy"], r["query_id"], r["rank"], r["id"]) for r in experiments.placed_runs(n, e, q, A.now(), some).collect()}
     want = {(s, r["query_id"], r["rank"], r["id"]) for s in some for r in retrieval.retrieve(placement.place(n, e, s, A.now()), e, q, A.now()).collect()}
     assert got == want
