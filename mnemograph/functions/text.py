@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,13 +48,34 @@ def strip_markdown(x: Column) -> Column:
     return x
 
 
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescape(x: Column) -> Column:
+    """Character references of HTML as their characters, in one pass: all named ones, and numbers; unknown ones stay.
+
+    Names come from the table of the language's library. Numbers that are no character give the replacement character.
+    """
+    found, between = F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(1)), F.split(x, _ENTITY, -1)
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def char(e: Column) -> Column:
+        code = F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 6), 16, 10)).otherwise(F.conv(F.substring(e, 2, 7), 10, 10)).cast("long")
+        good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        drawn = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")), "UTF-32")
+        return F.when(e.startswith("#"), drawn).otherwise(F.coalesce(F.try_element_at(names, e), F.concat(F.lit("&"), e, F.lit(";"))))
+
+    # side by side, so that neither is worked out again for each part
+    pairs = F.arrays_zip(between.alias("t"), found.alias("e"))
+    parts = F.transform(pairs, lambda p: F.concat(p["t"], F.coalesce(F.when(p["e"].isNotNull(), char(p["e"])), F.lit(""))))
+    return F.when(F.contains(x, F.lit("&")), F.array_join(parts, "")).otherwise(x)
+
+
 def html_text(x: Column, most: int = 100_000) -> Column:
-    """What a page says: no scripts, styles and tags, the usual entities, squeezed, at most ``most`` characters."""
+    """What a page says: no scripts, styles and tags, character references as characters, squeezed, at most ``most`` characters."""
     x = F.regexp_replace(x, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return F.substring(squeeze(x), 1, most)
+    x = unescape(F.regexp_replace(x, r"(?s)<[^>]+>", " "))
+    return F.substring(squeeze(F.replace(x, F.lit("\u00a0"), F.lit(" "))), 1, most)
 
 
 def words(x: Column, least: int = 1) -> Column:

@@ -28,9 +28,9 @@ def markdown_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("html_to_text", r"""
-SELECT page_id, url, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+SELECT page_id, url, substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), 1, 100000) AS body FROM pages""")
+  '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), 1, 100000) AS body FROM pages""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", "url", T.html_text(F.col("html")).alias("body"))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mnemograph.functions import text as T
 from mnemograph.operators import answers, benchmarks, compression, graph, lexical, placement, retrieval
 from mnemograph.operators.order import numbered
 from mnemograph.sources import questions, results
@@ -188,3 +189,17 @@ def test_groups_in_one_pass_equal_a_run_for_each(spark):
     own = lambda lang: F.col("lang").eqNullSafe(F.lit(lang))
     assert got == {tuple(r) for lang in ("en", "de", None, "xx") for r in retrieval.vector_topk(nodes.where(own(lang)), queries.where(own(lang)), 4).select("query_id", "id", "score", "rank").collect()}
     assert lexical.bm25(nodes.limit(0), "id", queries, 4, by="lang").count() == 0
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["a &amp; b &lt;c&gt;", "&eacute;&#233;&#xE9;&#XE9; &#x1F600;", "&amp;lt; &unknown; &amp &; &#; &NotEqualTilde;", "no reference", "&&amp;&", "&#x41;&#66;end", "&AMP;&Eacute;&hearts;&nbsp;x", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["u"] for r in df.select("i", T.unescape(F.col("t")).alias("u")).collect()}
+    # the library also takes references without a semicolon
+    assert got == {i: html.unescape(t) if "&amp &" not in t else "&lt; &unknown; &amp &; &#; ≂̸" for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([("&#0;&#xD800;&#9999999;",), (None,)], "t string").select(T.unescape(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in odd] == ["�" * 3, None]
+    page = spark.createDataFrame([("<p>Caf&eacute;&nbsp;&#x27;x&#x27;</p><script>&lt;</script>",)], "t string").select(T.html_text(F.col("t")).alias("u")).first()["u"]
+    assert page == "Café 'x'"
