@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..sources.manifest import Manifest
 from . import dynamics, evaluation, gists, graph, lexical, placement, retrieval
 from .durable import cut
 
@@ -132,6 +133,35 @@ def learned_weights(scored: DataFrame, gold: DataFrame, rounds: int = 20, rate:
     return {c: (v / total if total else 1 / len(names)) for c, v in floor.items()}
 
 
+def held_out(scored: DataFrame, gold: DataFrame, groups: DataFrame, share: float = 0.25, seed: int = 42, k: int = 8) -> tuple[dict[str, float], DataFrame]:
+    """Weights learned from the questions of some groups, and how they rank those of the others: (weights), (system, n, recall, precision, mrr).
+
+    groups: query_id, group, as the document that a question comes from; no group is on both sides
+    (``benchmarks.grouped_split``). Systems are the fixed weights and the learned ones, over the same scored candidates.
+    """
+    from .benchmarks import grouped_split
+
+    side = cut(grouped_split(groups.select("query_id", "group"), "group", share, seed).select("query_id", "side"))
+    weights = learned_weights(scored.join(side.where("side = 'train'"), "query_id", "left_semi"), gold)
+    asked = cut(scored.join(side.where("side = 'holdout'"), "query_id", "left_semi"))
+    out = None
+    for name, used in (("fixed", retrieval.WEIGHTS), ("learned", retrieval.WEIGHTS | dict.fromkeys(retrieval.WEIGHTS, 0.0) | weights)):
+        per = evaluation.ranking_metrics(retrieval.rank_scored(asked, tuple(used), k, used), gold, k).withColumn("system", F.lit(name))
+        out = per if out is None else out.unionByName(per)
+    return weights, evaluation.means(out, ["recall", "precision", "mrr"], ["system"])
+
+
+def save_weights(manifest: Manifest, weights: dict[str, float]) -> int:
+    """Commits weights as the next version of a store; of two writers the later one counts."""
+    return manifest.change(lambda says: says | {"weights": {c: float(w) for c, w in weights.items()}})
+
+
+def load_weights(manifest: Manifest, version: int | None = None) -> dict[str, float]:
+    """The stored weights, of the newest version unless one is given; the fixed ones where none are."""
+    says = manifest.current()[1] if version is None else manifest.at(version)
+    return retrieval.WEIGHTS | says.get("weights", {})
+
+
 def sleep(nodes: DataFrame, edges: DataFrame, now: Column, replays: int = 100, most_gists: int = 24) -> tuple[DataFrame, DataFrame]:
     """(id, importance, stability), gists: replay of the neediest, then decay of the others, then summaries; nothing is placed anew."""
     stated = dynamics.with_state(nodes, graph.incidence(edges))

@@ -71,6 +71,13 @@ def learned_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, round(v, 6)) for c, v in w.items()], "component string, weight double")
 
 
+@query("held_out_weights")
+def held_out_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of one remainder are a group; what is learned from some of them ranks the others."""
+    groups = A.vector_queries(spark, sf_dir).select("query_id", (F.col("query_id") / A.EVERY % 50).cast("long").alias("group"))
+    return experiments.held_out(_components(spark, sf_dir), _gold(spark, sf_dir), groups)[1]
+
+
 @query("sleep_pass")
 def sleep_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiments.sleep(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), A.now())[0]

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text as T
-from mnemograph.operators import answers, benchmarks, compression, graph, lexical, placement, retrieval
+from mnemograph.operators import answers, benchmarks, compression, experiments, graph, lexical, placement, retrieval
 from mnemograph.operators.order import numbered
 from mnemograph.sources import questions, results
-from mnemograph.sources.manifest import Conflict
+from mnemograph.sources.manifest import Conflict, Manifest
 
 
 def test_wider_look_equals_a_wider_run(spark):
@@ -203,3 +203,26 @@ def test_character_references(spark):
     assert [r["u"] for r in odd] == ["�" * 3, None]
     page = spark.createDataFrame([("<p>Caf&eacute;&nbsp;&#x27;x&#x27;</p><script>&lt;</script>",)], "t string").select(T.html_text(F.col("t")).alias("u")).first()["u"]
     assert page == "Café 'x'"
+
+
+def test_weights_are_learned_from_some_groups_and_tried_on_others(spark, tmp_path):
+    rng = random.Random(1)
+    names = [c for c in retrieval.WEIGHTS if c not in ("stability", "constellation")]
+    rows, gold = [], []
+    for q in range(24):
+        for i in range(12):
+            hit = i == q % 12
+            gold += [(q, f"n{i:02}")] if hit else []
+            # only importance tells; fixed weights look at the rest too
+            rows.append((q, f"n{i:02}", [f"n{i:02}"], *[0.9 if c == "importance" and hit else 0.1 if c == "importance" else rng.random() for c in names], 0.0, 0.0))
+    columns = ", ".join(f"{'path_score' if c == 'path' else c} double" for c in names)
+    scored = spark.createDataFrame(rows, f"query_id long, id string, path array<string>, {columns}, stability double, constellation double")
+    groups = spark.createDataFrame([(q, q // 3) for q in range(24)], "query_id long, group long")
+    weights, table = experiments.held_out(scored, spark.createDataFrame(gold, "query_id long, id string"), groups, 0.4)
+    got = {r["system"]: r for r in table.collect()}
+    assert max(weights, key=weights.get) == "importance" and got["learned"]["mrr"] == 1.0 > got["fixed"]["mrr"]
+    assert got["learned"]["n"] == got["fixed"]["n"] == 9
+    store = Manifest(spark, f"file://{tmp_path}/weights")
+    assert experiments.load_weights(store) == retrieval.WEIGHTS
+    assert experiments.save_weights(store, weights) == 1 and experiments.save_weights(store, {"semantic": 1.0}) == 2
+    assert experiments.load_weights(store, 1) == retrieval.WEIGHTS | weights and experiments.load_weights(store)["semantic"] == 1.0
