@@ -6,6 +6,8 @@ import importlib.util
 import io
 import json
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,11 +36,36 @@ def html_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text_files(spark, paths).withColumn("text", T.html_text(F.col("text")))
 
 
-def csv_files(spark: SparkSession, paths: str | list[str], sep: str = ",") -> DataFrame:
-    """Each row is a page "head: value; head: value"; blank cells are left out."""
-    rows = spark.read.csv(paths, header=True, sep=sep, encoding="UTF-8", multiLine=True, ignoreLeadingWhiteSpace=False)
-    cells = [F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c.strip()}: "), F.col(f"`{c}`"))) for c in rows.columns]
-    return rows.select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("page"), T.sanitize(F.concat_ws("; ", *cells)).alias("text")).where("text <> ''")
+#: What may part the cells of a row, in the order of choice among equals.
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def csv_dialects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, header, sep for each file: the separator that its first line has most often outside quotes, a comma if it has none.
+
+    Of a large file only the first split is read for it.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+    first = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    bare = F.regexp_replace(F.regexp_replace("header", "^\ufeff", ""), '"[^"]*"', "")
+    counted = [F.struct((F.length(F.replace(bare, F.lit(c), F.lit(""))) - F.length(bare)).alias("less"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(SEPARATORS)]
+    return first.select("path", "header", F.array_min(F.array(*counted))["c"].alias("sep"))
+
+
+def csv_files(spark: SparkSession, paths: str | list[str], sep: str | None = None) -> DataFrame:
+    """Each row is a page "head: value; head: value"; blank cells are left out.
+
+    Files of one first line are read together, each with the separator that ``csv_dialects`` tells, unless one is given.
+    """
+    groups: dict[tuple[str, str], list[str]] = {}
+    for r in csv_dialects(spark, paths).collect():
+        groups.setdefault((r["header"], sep or r["sep"]), []).append(unquote(r["path"]))
+    parts = []
+    for (_, used), files in sorted(groups.items()):
+        rows = spark.read.csv(sorted(files), header=True, sep=used, encoding="UTF-8", multiLine=True, ignoreLeadingWhiteSpace=False)
+        cells = [F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c.strip()}: "), F.col(f"`{c}`"))) for c in rows.columns]
+        parts.append(rows.select(F.col("_metadata.file_path").alias("path"), F.lit(1).alias("page"), T.sanitize(F.concat_ws("; ", *cells)).alias("text")).where("text <> ''"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, page int, text string")
 
 
 def json_pages(value, prefix: str = "") -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemograph.functions import text as T
 from mnemograph.operators import answers, benchmarks, compression, experiments, graph, lexical, placement, retrieval
 from mnemograph.operators.order import numbered
-from mnemograph.sources import questions, results
+from mnemograph.sources import questions, readers, results
 from mnemograph.sources.manifest import Conflict, Manifest
 
 
@@ -226,3 +226,12 @@ def test_weights_are_learned_from_some_groups_and_tried_on_others(spark, tmp_pat
     assert experiments.load_weights(store) == retrieval.WEIGHTS
     assert experiments.save_weights(store, weights) == 1 and experiments.save_weights(store, {"semantic": 1.0}) == 2
     assert experiments.load_weights(store, 1) == retrieval.WEIGHTS | weights and experiments.load_weights(store)["semantic"] == 1.0
+
+
+def test_csv_files_tell_their_dialect(spark, tmp_path):
+    files = {"a one.csv": "x,y\n1,2\n3, \n", "b.csv": 'x;"y,z"\n1;"2,5"\n', "c.csv": "﻿k\tv\n1\t2\n", "d.csv": "k|v\n1|a;b\n", "e.csv": "x,y\n5,6\n", "f.csv": "alone\nword\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = sorted(r["text"] for r in readers.csv_files(spark, f"file://{tmp_path}").collect())
+    assert got == sorted(["x: 1; y: 2", "x: 3", "x: 1; y,z: 2,5", "k: 1; v: 2", "k: 1; v: a;b", "x: 5; y: 6", "alone: word"])
+    assert readers.csv_files(spark, f"file://{tmp_path}/d.csv", sep=";").first()["text"] == "k|v: 1|a"
