@@ -56,19 +56,24 @@ def unescape(x: Column) -> Column:
 
     Names come from the table of the language's library. Numbers that are no character give the replacement character.
     """
-    found, between = F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(1)), F.split(x, _ENTITY, -1)
+    # a map is searched from its beginning, so the usual names come first, in one of their own
+    usual = F.create_map(*[F.lit(y) for n in ("amp", "nbsp", "quot", "lt", "gt", "copy", "middot") for y in (n, html5[n + ";"])])
     names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
 
     def char(e: Column) -> Column:
         code = F.when(e.rlike("^#[xX]"), F.conv(F.substring(e, 3, 6), 16, 10)).otherwise(F.conv(F.substring(e, 2, 7), 10, 10)).cast("long")
         good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         drawn = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")), "UTF-32")
-        return F.when(e.startswith("#"), drawn).otherwise(F.coalesce(F.try_element_at(names, e), F.concat(F.lit("&"), e, F.lit(";"))))
+        return F.when(e.startswith("#"), drawn).otherwise(F.coalesce(F.try_element_at(usual, e), F.try_element_at(names, e), F.concat(F.lit("&"), e, F.lit(";"))))
 
-    # side by side, so that neither is worked out again for each part
-    pairs = F.arrays_zip(between.alias("t"), found.alias("e"))
-    parts = F.transform(pairs, lambda p: F.concat(p["t"], F.coalesce(F.when(p["e"].isNotNull(), char(p["e"])), F.lit(""))))
-    return F.when(F.contains(x, F.lit("&")), F.array_join(parts, "")).otherwise(x)
+    def whole(t: Column) -> Column:
+        # side by side, so that neither is worked out again for each part
+        pairs = F.arrays_zip(F.split(t, _ENTITY, -1).alias("t"), F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1)).alias("e"))
+        parts = F.transform(pairs, lambda p: F.concat(p["t"], F.coalesce(F.when(p["e"].isNotNull(), char(p["e"])), F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    # bound to a name, so that what x is made of is worked out once
+    return F.get(F.transform(F.array(x), whole), F.lit(0))
 
 
 def html_text(x: Column, most: int = 100_000) -> Column:
