@@ -64,7 +64,9 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for s, part in b.groupby("sector"):
             total[s] = total.get(s, 0.0) + _vectors(part).sum(0)
-    yield pd.DataFrame({"sector": list(total), "total": list(total.values())})
+    # no frame without rows: Arrow cannot tell what its columns hold
+    if total:
+        yield pd.DataFrame({"sector": list(total), "total": list(total.values())})
 
 
 def _farthest(points: dict[str, np.ndarray]):
@@ -81,7 +83,8 @@ def _farthest(points: dict[str, np.ndarray]):
                     i = min(ties, key=lambda i: part[i])
                     if s not in best or (-gap[i], part[i]) < best[s][:2]:
                         best[s] = -gap[i], part[i], x[i]
-        yield pd.DataFrame([(s, -g, i, x) for s, (g, i, x) in best.items()], columns=["sector", "gap", "id", "embedding"])
+        if best:
+            yield pd.DataFrame([(s, -g, i, x) for s, (g, i, x) in best.items()], columns=["sector", "gap", "id", "embedding"])
 
     return run
 

@@ -39,6 +39,14 @@ def test_text_functions(spark):
     assert one(spark, "Title: The Thing", T.canonical_title) == "the thing"
 
 
+def test_gists_with_tasks_without_rows(spark):
+    rng = random.Random(3)
+    rows = [(f"n{i:02}", "s", [rng.random(), rng.random()], "fact", i / 40, 0.5) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id string, sector string, embedding array<double>, memory_type string, importance double, confidence double")
+    want = sorted(map(str, gists.build(nodes.coalesce(1)).collect()))
+    assert want and sorted(map(str, gists.build(nodes.repartition(16, "sector")).collect())) == want
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(N.cosine(F.col("a"), F.col("b"))).collect()]
