@@ -26,6 +26,8 @@ def one(spark, text, column):
 def test_text_functions(spark):
     assert one(spark, "a\r\nb\rc\x00d\te", T.sanitize) == "a\nb\ncd\te"
     assert one(spark, "One. Two! Three? Four", T.sentences) == ["One.", "Two!", "Three?", "Four"]
+    assert one(spark, "It is 7. Then 1. Of 2", T.sentences) == ["It is 7.", "Then 1.", "Of 2"]
+    assert one(spark, "pass. word=ab1", T.lead) == "pass. word=ab1"
     assert one(spark, "See [here](http://x) *now* `ok`", T.strip_markdown) == "See here now ok"
     assert one(spark, "<p>A &amp; B</p><script>no()</script>", T.html_text) == "A & B"
     r = one(spark, "Spark is a engine for data. It uses Catalyst.", T.relations)
