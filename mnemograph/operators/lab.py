@@ -146,7 +146,7 @@ def ranked(state: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFr
     own = state.select("world", "id", F.col("ring").alias("_ring"), F.col("importance").alias("_importance"), F.col("stability").alias("_stability"), F.col("updated_at").alias("_at"))
     scored = scored.join(own, ["world", "id"]).where((F.col("channel") != 3) | (F.col("_ring") <= 1))
     scored = scored.withColumns({"structural": retrieval.structural(F.col("_ring")), "importance": N.clip(F.col("_importance")), "stability": N.clip(F.col("_stability")), "recency": N.recency(F.col("_at"), now)})
-    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(x.world).alias("of"), F.round(x.score(), 9).alias("score")) for v, x in variants.items()]))
+    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(x.world).alias("of"), N.rounded(x.score(), 9).alias("score")) for v, x in variants.items()]))
     flat = scored.select("world", F.col("query_id.query_id").alias("query_id"), "id", rows.alias("v")).where("v.of = world").select("world", "query_id", "id", "v.variant", "v.score")
     order = Window.partitionBy("variant", "query_id").orderBy(F.col("score").desc(), "id")
     return flat.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("variant", "world", "query_id", "id", "rank")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import answers, benchmarks, evaluation, experiments, graph, history, lab, placement, retrieval, vector_index, worlds
 from ..operators.durable import cut, shared_folder
 from ..sources import questions, results
@@ -214,7 +215,7 @@ SELECT query_id, CASE WHEN count(t) > 0 THEN 'extractive' ELSE 'no_evidence' END
 def answers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of thirteen nodes one has a text, so most questions need the wider look."""
     n, e, q = A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir)
-    scored = retrieval.scored_candidates(n, e, q, A.now()).withColumn("score", F.round(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
+    scored = retrieval.scored_candidates(n, e, q, A.now()).withColumn("score", N.rounded(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
     texts = n.select("id", F.when(F.col("num") % 13 == 0, F.col("raw_text")).alias("text"), "ring", "sector")
     return answers.assemble(scored, texts, q).select("query_id", "mode", "looked", "n_retrieved", F.array_join("evidence", ",").alias("evidence"))
 

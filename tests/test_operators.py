@@ -41,6 +41,14 @@ def test_text_functions(spark):
     assert one(spark, "Title: The Thing", T.canonical_title) == "the thing"
 
 
+def test_rounding_of_scaled_doubles(spark):
+    """What 0.205448 adds is 0.0642025 when printed, and below the half when scaled, as SQL engines do."""
+    x = 0.205448 * 0.35 / 1.12
+    df = spark.createDataFrame([(x,), (-x,), (0.0009375 * 3,), (None,)], "x double")
+    got = [r[0] for r in df.select(N.rounded(F.col("x"), 6)).collect()]
+    assert got[:2] == [0.064202, -0.064202] and got[3] is None
+
+
 def test_gists_with_tasks_without_rows(spark):
     rng = random.Random(3)
     rows = [(f"n{i:02}", "s", [rng.random(), rng.random()], "fact", i / 40, 0.5) for i in range(40)]
