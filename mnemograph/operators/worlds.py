@@ -51,7 +51,7 @@ def ageing(nodes: DataFrame, edges: DataFrame, queries: DataFrame, gold: DataFra
     later = overlaid(nodes, cut(stacked(faded, used)))
     rows = []
     for name, arm in (("before", nodes), ("after", later)):
-        ranked = retrieval.rank_scored(retrieval.scored_candidates(arm, edges, queries, now, on), tuple(retrieval.WEIGHTS), k)
+        ranked = retrieval.rank_scored(retrieval.scored_candidates(arm, edges, queries, now, on, [(tuple(retrieval.WEIGHTS), retrieval.WEIGHTS)], k), tuple(retrieval.WEIGHTS), k)
         per = evaluation.ranking_metrics(ranked, gold, k)
         rows.append(per.select("query_id", F.col("mrr").alias(f"mrr_{name}"), F.col("recall").alias(f"recall_{name}")))
     marks = gold.join(old.select("id", F.lit(1).alias("aged")), "id", "left").join(wanted.withColumn("used", F.lit(1)), "id", "left")

@@ -14,7 +14,7 @@ from ..operators.durable import cut, shared_folder
 from ..sources import questions, results
 from . import adapters as A
 from .catalog import query
-from .graph_queries import _CANDS, _HITS, _queries, _score_sql
+from .graph_queries import _CANDS, _FULL, _HITS, _queries, _score_sql
 from .store_queries import _corpus
 
 # Rows that the index begins with, gets later, loses, and gets a new vector for, by number.
@@ -215,7 +215,7 @@ SELECT query_id, CASE WHEN count(t) > 0 THEN 'extractive' ELSE 'no_evidence' END
 def answers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of thirteen nodes one has a text, so most questions need the wider look."""
     n, e, q = A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir)
-    scored = retrieval.scored_candidates(n, e, q, A.now()).withColumn("score", N.rounded(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
+    scored = retrieval.scored_candidates(n, e, q, A.now(), systems=_FULL, k=answers.widest(8)).withColumn("score", N.rounded(retrieval.weighted(tuple(retrieval.WEIGHTS)), 9))
     texts = n.select("id", F.when(F.col("num") % 13 == 0, F.col("raw_text")).alias("text"), "ring", "sector")
     return answers.assemble(scored, texts, q).select("query_id", "mode", "looked", "n_retrieved", F.array_join("evidence", ",").alias("evidence"))
 

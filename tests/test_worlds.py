@@ -339,3 +339,17 @@ def retrieval_means(runs, gold, queries):
     for q, t in task.items():
         out.setdefault(t, []).append(1 / ranks[q] if q in ranks else 0.0)
     return {t: sum(x) / len(x) for t, x in out.items()}
+
+
+def test_leading_nodes_give_the_rankings_of_all_candidates(spark):
+    """What only words lead to is cut down to what can rank, so its rows do not grow with nodes; rankings stay."""
+    n, e, q, now = A.nodes(spark, SMALL), A.edges(spark, SMALL), _queries(spark, SMALL), A.now()
+    sets = retrieval.ABLATIONS
+    on = retrieval.ground(n, e, q)
+    every = retrieval.scored_candidates(n, e, q, now, on).cache()
+    few = retrieval.scored_candidates(n, e, q, now, on, [(s, retrieval.WEIGHTS) for s in sets.values()], 3).cache()
+    words = lambda d: d.where("channel = 3").count()
+    assert words(few) <= q.count() * len(sets) * 6 and words(few) < words(every)
+    for names in sets.values():
+        rows = lambda d: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in retrieval.rank_scored(d, names, 3).collect())  # noqa: E731,B023
+        assert rows(few) == rows(every)
