@@ -40,9 +40,12 @@ class Variant:
         runs = "+".join(m for m in MECHANISMS if m in self.mechanisms)
         return f"{runs}/{self.kappa}/{','.join(self.components or ('all',))}" if runs else "still"
 
-    def score(self) -> Column:
+    def system(self) -> retrieval.System:
         weights = retrieval.WEIGHTS | {"stability": self.kappa}
-        return retrieval.weighted(self.components or tuple(weights), weights)
+        return self.components or tuple(weights), weights
+
+    def score(self) -> Column:
+        return retrieval.weighted(*self.system())
 
 
 _DYNAMIC = ("decay", "replay", "consolidation")
@@ -141,7 +144,19 @@ def ranked(state: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFr
     ]
     asked = cut(of_world(queries))
     inner = nodes.drop("ring").join(state.groupBy("id").agg(F.min("ring").alias("ring")), "id")
-    cands = retrieval.candidates(inner, edges, asked, shared=(reduce(DataFrame.unionByName, parts), reached))
+
+    def leads(union: DataFrame) -> DataFrame:
+        found, of = [], cut(union.select("query_id.world", F.col("query_id.query_id").alias("query_id"), "id"))
+        for world in sorted({v.world for v in variants.values()}):
+            mine = state.where((F.col("world") == world) & (F.col("ring") <= 1)).select("id", "ring", "importance", "stability", "updated_at")
+            systems = [v.system() for v in variants.values() if v.world == world]
+            flat = retrieval.plain(nodes.drop("ring", "importance", "stability", "updated_at").join(mine, "id"), nodes, edges, now, on=on)
+            rest = F.array(*[retrieval.weighted(*s) for s in systems])
+            some = retrieval.leading(flat.select("id", "embedding", "words", rest.alias("rest")), queries, of.where(F.col("world") == world), systems, k)
+            found.append(some.select(F.struct(F.lit(world).alias("world"), "query_id").alias("query_id"), "id"))
+        return reduce(DataFrame.unionByName, found)
+
+    cands = retrieval.candidates(inner, edges, asked, shared=(cut(reduce(DataFrame.unionByName, parts)), reached), leads=leads)
     scored = retrieval.components(cands, inner, edges, asked, now, on=on).withColumn("world", F.col("query_id.world"))
     own = state.select("world", "id", F.col("ring").alias("_ring"), F.col("importance").alias("_importance"), F.col("stability").alias("_stability"), F.col("updated_at").alias("_at"))
     scored = scored.join(own, ["world", "id"]).where((F.col("channel") != 3) | (F.col("_ring") <= 1))
