@@ -10,7 +10,7 @@ from ..operators import affect, compression, evaluation, gists, graph, ingest, p
 from ..operators import versions as V
 from . import adapters as A
 from .catalog import query
-from .graph_queries import _HITS, _components
+from .graph_queries import _HITS, _queries
 
 _N = f"WITH {A.NODES}"
 _G = f"WITH {A.NODES}, {A.EDGES}, {A.PAIRS}"
@@ -307,7 +307,5 @@ def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agent_route")
 def agent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _components(spark, sf_dir)
-    best = scored.groupBy("query_id").agg(F.max("semantic").alias("semantic"))
-    tokens = scored.groupBy("query_id").agg((F.count(F.lit(1)) * 4).alias("n_tokens"))
-    return compression.route(tokens, best)
+    e = retrieval.evidence(A.nodes(spark, sf_dir), A.edges(spark, sf_dir), _queries(spark, sf_dir), A.now())
+    return compression.route(e.select("query_id", (F.col("n") * 4).alias("n_tokens")), e.select("query_id", "semantic"))
