@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from .durable import cut
+
+#: Ids in a piece of the members of a value, pairs that a task spells out, tasks at most.
+PIECE, TASK_PAIRS, MOST_TASKS = 1_000, 1_000_000, 20_000
 
 
 def chain(log: DataFrame, most: int = 50) -> DataFrame:
@@ -44,10 +50,15 @@ def evidence_policy(df: DataFrame, old: Column, new: Column) -> DataFrame:
     return df.withColumns({"old_class": a, "new_class": b, "rank_change": T.evidence_rank(b) - T.evidence_rank(a), "policy": policy})
 
 
+def stated(nodes: DataFrame) -> DataFrame:
+    """subject, value, id: what facts and events say."""
+    facts = nodes.where(F.col("memory_type").isin("fact", "event")).withColumn("p", T.proposition(F.coalesce("raw_text", "concept"))).where("p is not null")
+    return facts.select(F.col("p.subject").alias("subject"), F.col("p.value").alias("value"), "id")
+
+
 def stated_values(nodes: DataFrame) -> DataFrame:
     """subject, value, members (ids, sorted), values (different ones of the subject): what facts and events say."""
-    facts = nodes.where(F.col("memory_type").isin("fact", "event")).withColumn("p", T.proposition(F.coalesce("raw_text", "concept"))).where("p is not null")
-    said = facts.groupBy(F.col("p.subject").alias("subject"), F.col("p.value").alias("value")).agg(F.sort_array(F.collect_list("id")).alias("members"))
+    said = stated(nodes).groupBy("subject", "value").agg(F.sort_array(F.collect_list("id")).alias("members"))
     return said.join(said.groupBy("subject").agg(F.count(F.lit(1)).alias("values")), "subject")
 
 
@@ -61,9 +72,23 @@ def conflicts(nodes: DataFrame) -> DataFrame:
     return a.join(b, "subject").where("a_value < b_value")
 
 
-def conflicting_pairs(nodes: DataFrame) -> DataFrame:
-    """subject, a, b, a_value, b_value: ``conflicts`` spelled out for their members, a before b."""
-    each = conflicts(nodes).withColumn("a", F.explode("a_members")).withColumn("b", F.explode("b_members"))
+def conflicting_pairs(nodes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """subject, a, b, a_value, b_value: ``conflicts`` spelled out for their members, a before b.
+
+    Members are held in pieces of about ``piece`` ids. Pairs of pieces, not pairs of members, are dealt over as many tasks
+    as their pairs need, and spelled out there, so that a subject of many members is in no task as a whole.
+    """
+    facts = cut(stated(nodes))
+    sizes = facts.groupBy("subject", "value").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("double")
+    subjects = sizes.groupBy("subject").agg(F.count(F.lit(1)).alias("values"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2).alias("pairs")).where("values > 1")
+    pairs = subjects.agg(F.sum("pairs")).first()[0] or 0
+    held = sizes.join(subjects.select("subject"), "subject", "left_semi")
+    placed = facts.join(held, ["subject", "value"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / piece)))
+    said = placed.groupBy("subject", "value", "piece").agg(F.collect_list("id").alias("members"))
+    a, b = (said.select("subject", F.col("value").alias(f"{x}_value"), F.col("members").alias(f"{x}_members")) for x in "ab")
+    both = a.join(b, "subject").where("a_value < b_value").repartition(max(1, min(MOST_TASKS, math.ceil(pairs / TASK_PAIRS))))
+    each = both.withColumn("a", F.explode("a_members")).withColumn("b", F.explode("b_members"))
     turn = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
     return each.select("subject", pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("a_value", "b_value").alias("a_value"), pick("b_value", "a_value").alias("b_value"))
