@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 SIZE, OVERLAP = 800, 120
+#: White space as Python's strip knows it.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def chunk_bounds(lengths: np.ndarray, size: int, overlap: int, cut_off: bool = False) -> list[tuple[int, int]]:
@@ -30,6 +30,18 @@ def chunk_bounds(lengths: np.ndarray, size: int, overlap: int, cut_off: bool = F
     return [*out, (begin, new)] if cut_off and begin < new else out
 
 
+def sentence_runs(lengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of sentences that make up the chunks of a text; a sentence longer than ``size`` stands alone, as (i, i)."""
+    long = np.flatnonzero(lengths > size)
+    runs = []
+    # what lies between two long sentences is packed on its own
+    for a, z in zip([0, *(long + 1).tolist()], [*long.tolist(), len(lengths)]):
+        runs += [(a + x, a + y) for x, y in chunk_bounds(lengths[a:z], size, overlap, z < len(lengths))]
+        if z < len(lengths):
+            runs.append((z, z))
+    return runs
+
+
 def pack_sentences(whole: str, parts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
     """Chunks of a text of at most ``size`` characters of sentences, blanks between them not counted; see ``chunk_bounds``.
 
@@ -37,28 +49,30 @@ def pack_sentences(whole: str, parts: list[str], size: int = SIZE, overlap: int
     """
     if len(whole) <= size:
         return [whole.strip()] if whole.strip() else []
-    lengths = np.array([len(p) for p in parts], np.int64)
-    long = np.flatnonzero(lengths > size)
     chunks = []
-    # what lies between two long sentences is packed on its own
-    for a, z in zip([0, *(long + 1).tolist()], [*long.tolist(), len(parts)]):
-        chunks += [" ".join(parts[a + x : a + y]) for x, y in chunk_bounds(lengths[a:z], size, overlap, z < len(parts))]
-        if z < len(parts):
-            chunks += [parts[z][i : i + size] for i in range(0, len(parts[z]), size - overlap)]
+    for a, z in sentence_runs(np.array([len(p) for p in parts], np.int64), size, overlap):
+        chunks += [" ".join(parts[a:z])] if a < z else [parts[a][i : i + size] for i in range(0, len(parts[a]), size - overlap)]
     return [c for c in map(str.strip, chunks) if c]
 
 
 def chunk(docs: DataFrame, key: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """key, seq, chunk. Sentences are cut in the engine; only the order-dependent packing runs in Python, by batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            packed = [pack_sentences(t or "", list(p) if p is not None else [], size, overlap) for t, p in zip(b["text"], b["parts"])]
-            yield pd.DataFrame({key: b[key], "chunks": packed})
-
-    cut = docs.select(key, F.col("text"), T.sentences(F.col("text")).alias("parts"))
-    kind = docs.schema[key].dataType.simpleString()
-    return cut.mapInPandas(run, f"{key} {kind}, chunks array<string>").select(key, F.posexplode("chunks").alias("seq", "chunk"))
+    """key, seq, chunk, as ``pack_sentences`` has them. Sentences are cut and joined in the engine; only their lengths go to Python, for the order-dependent packing."""
+
+    @F.pandas_udf("array<array<int>>")
+    def runs(lengths: pd.Series) -> pd.Series:
+        return pd.Series([sentence_runs(n.astype(np.int64), size, overlap) for n in lengths], dtype=object)
+
+    def joined(run: Column) -> Column:
+        a, z = run[0], run[1]
+        whole = F.get("parts", a)
+        pieces = F.transform(F.sequence(F.lit(0), F.length(whole) - 1, F.lit(size - overlap)), lambda i: F.substring(whole, i + 1, F.lit(size)))
+        return F.when(a < z, F.array(F.array_join(F.slice("parts", a + 1, z - a), " "))).otherwise(pieces)
+
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select(key, F.when(F.length(text) <= size, F.array(text)).otherwise(T.sentences(text)).alias("parts"))
+    packed = cut.select(key, "parts", runs(F.transform("parts", F.length)).alias("runs"))
+    bare = F.transform(F.flatten(F.transform("runs", joined)), lambda c: F.trim(c, F.lit(BLANKS)))
+    return packed.select(key, F.posexplode(F.filter(bare, lambda c: c != "")).alias("seq", "chunk"))
 
 
 def concept_nodes(chunks: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """What grows with the input stays spread over tasks and small in each."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from mnemograph.operators import versions
+from mnemograph.functions import text as T
+from mnemograph.operators import ingest, versions
 
 
 def test_pairs_of_a_crowded_subject_are_dealt_over_tasks(spark):
@@ -22,3 +25,26 @@ def test_pairs_of_a_crowded_subject_are_dealt_over_tasks(spark):
 
 def _said(text):
     return tuple(x.strip().lower() for x in text.split(" is "))
+
+
+def _sent_to_python(df):
+    """Bytes that the nodes of a plan send to Python."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        out += p.metrics().apply("pythonDataSent").value() if p.metrics().contains("pythonDataSent") else 0
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_chunks_send_no_texts_to_python(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abé漢😀 \u0085　", k=rng.randint(1, 30)))
+    texts = [None, "", "  ", "  ", "short  ", "x" * 1700, "　" * 900] + [rng.choice(("", "\t", " ")).join(word() + rng.choice((". ", ".  ", "! ", " ", ".\n")) for _ in range(rng.randint(1, 300))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    parts = {r["doc"]: r["p"] for r in docs.select("doc", T.sentences(F.col("text")).alias("p")).collect()}
+    got = ingest.chunk(docs, "doc", 200, 30)
+    want = [(i, k, c) for i, t in enumerate(texts) for k, c in enumerate(ingest.pack_sentences(t or "", parts[i] or [], 200, 30))]
+    rows = got.collect()
+    assert sorted(map(tuple, rows)) == want and len(want) > 500
+    assert 0 < _sent_to_python(got) < sum(len((t or "").encode()) for t in texts) / 4
