@@ -11,11 +11,13 @@ each null where it brings none. Rows of an id are in the order of (at, seq).
 
 Nothing is folded row by row: what an action leaves is a running aggregate since the action that last set it. A floor of .2
 put on a running maximum is the same as the maximum of what came before it, cut at .2, and of what came after. Ids are
-spread over tasks; the rows of one id are sorted in one, where they stream from disk if they are many.
+spread over tasks, more of them for a longer log; the rows of one id are sorted in one, where they stream from disk if they are many.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from . import versions
 
 ACTIONS = ("create", "update", "merge", "split", "invalidate", "supersede", "archive", "restore")
 IMAGE = ("raw_text", "summary", "source_ids", "importance", "confidence", "archived", "ended_at", "reason")
+#: Rows of a log that a task holds, besides those of an id that has more.
+TASK_ROWS = 100_000
 _LOG = {"raw_text": "string", "summary": "string", "source_ids": "array<string>", "importance": "double", "confidence": "double", "reason": "string"}
 
 
@@ -34,16 +38,19 @@ def log_of(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.col("at").cast("timestamp").alias("at"), seq.cast("long").alias("seq"), "action", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in _LOG.items()])
 
 
-def history(log: DataFrame) -> DataFrame:
+def history(log: DataFrame, fields: tuple[str, ...] = IMAGE) -> DataFrame:
     """id, version, action, valid_from, valid_to, before, and the image after the action, for each action on a node that is there.
 
-    valid_to is null for the newest image; before is null for the first.
+    valid_to is null for the newest image; before is null for the first. Images have ``fields`` only, and only these are worked out.
+    Rows are dealt by id over as many tasks as their number needs, since each sorts its rows several times over.
     """
     act, known = F.col("action"), F.col("action").isin(*ACTIONS)
     order = Window.partitionBy("id").orderBy("at", "seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     made, changed = act == "create", act == "update"
-    rows = log.where(known).withColumn("_life", F.sum(made.cast("int")).over(upto)).where("_life > 0")
+    log = log.where(known)
+    dealt = log.repartition(max(1, math.ceil(log.count() / TASK_ROWS)), "id")
+    rows = dealt.withColumn("_life", F.sum(made.cast("int")).over(upto)).where("_life > 0")
     # the action that last set a field opens an era of it
     brings = {c: made | (changed & F.col(c).isNotNull()) for c in ("raw_text", "source_ids", "importance", "confidence")}
     rows = rows.withColumns({f"_{c}": F.sum(b.cast("int")).over(upto) for c, b in brings.items()})
@@ -70,7 +77,7 @@ def history(log: DataFrame) -> DataFrame:
         "n_ended_at": last(F.when(act.isin("invalidate", "supersede"), F.struct("at")).when(act.isin("restore", "create"), F.struct(none.cast("timestamp").alias("at"))))["at"],
         "n_reason": last(F.when(act.isin("invalidate", "supersede", "split"), F.struct("reason")).when(act.isin("restore", "create"), F.struct(none.cast("string").alias("reason"))))["reason"],
     })
-    image = F.struct(*[F.col(f"n_{c}").alias(c) for c in IMAGE])
+    image = F.struct(*[F.col(f"n_{c}").alias(c) for c in fields])
     rows = rows.select("id", "at", "seq", "action", image.alias("image"))
     return rows.select(
         "id", F.row_number().over(order).cast("long").alias("version"), "action", F.col("at").alias("valid_from"), F.lead("at").over(order).alias("valid_to"), F.lag("image").over(order).alias("before"), "image.*",

@@ -93,7 +93,7 @@ s AS (SELECT id, tm, i, act, coalesce(max(CASE WHEN act IN ('create', 'update',
 SELECT id, row_number() OVER v AS version, act AS action, tm AS valid_from, lead(tm) OVER v AS valid_to, lag(importance) OVER v AS before, importance AS after FROM s WINDOW v AS (PARTITION BY id ORDER BY tm, i)""")
 def node_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of every node, with the importance before and after it."""
-    h = history.history(_log(spark, sf_dir))
+    h = history.history(_log(spark, sf_dir), ("importance",))
     return h.select("id", "version", "action", "valid_from", "valid_to", F.col("before.importance").alias("before"), F.col("importance").alias("after"))
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text as T
-from mnemograph.operators import ingest, versions
+from mnemograph.operators import history, ingest, versions
 
 
 def test_pairs_of_a_crowded_subject_are_dealt_over_tasks(spark):
@@ -48,3 +48,18 @@ def test_chunks_send_no_texts_to_python(spark):
     rows = got.collect()
     assert sorted(map(tuple, rows)) == want and len(want) > 500
     assert 0 < _sent_to_python(got) < sum(len((t or "").encode()) for t in texts) / 4
+
+
+def test_histories_are_dealt_by_size_and_hold_wanted_fields_only(spark):
+    log = history.log_of(spark.createDataFrame([(f"n{i % 40}", i * 7919 % 1000, i, "create" if i % 9 == 0 else "merge" if i % 3 else "update", f"t{i}", f"c{i % 7}", i * 37 % 100 / 100) for i in range(3_000)], "id string, t long, seq long, action string, raw_text string, c string, importance double")
+                         .withColumns({"at": F.timestamp_seconds("t"), "source_ids": F.array("c")}))
+    history.TASK_ROWS, whole = 300, history.TASK_ROWS
+    try:
+        some = history.history(log, ("importance",))
+    finally:
+        history.TASK_ROWS = whole
+    dealt = [r["count"] for r in some.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(dealt) > 5 and max(dealt) < 1_200
+    pick = lambda h: sorted((r["id"], r["version"], r["action"], r["valid_from"], r["valid_to"], r["before"] and r["before"]["importance"], r["importance"]) for r in h.collect())
+    assert pick(some) == pick(history.history(log)) and some.columns[-2:] == ["before", "importance"]
+    assert "collect_list" not in some._jdf.queryExecution().optimizedPlan().toString()
