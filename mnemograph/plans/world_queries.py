@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
@@ -220,6 +221,10 @@ def answers_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.assemble(scored, texts, q).select("query_id", "mode", "looked", "n_retrieved", F.array_join("evidence", ",").alias("evidence"))
 
 
+# Documents whose questions a task writes, a file for each 256.
+_TASK_RECORDS = 4_096
+
+
 def _question_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     """The documents as question sets of the four published shapes: kind -> folder."""
     d, i = _corpus(spark, sf_dir)[0].select("document_id", "title"), F.col("document_id")
@@ -231,11 +236,13 @@ def _question_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     }
     root, out = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}", {}
     asked = d.withColumns({"question": F.concat(F.lit("q"), i), "answer": F.concat(F.lit("a"), i), "part": F.floor(i / 256)})
+    # a file for each set, in one folder, written by as many tasks as the files need
+    tasks = max(1, math.ceil(d.count() / _TASK_RECORDS))
     for k, kind in enumerate(questions.KINDS):
         rows = asked.where(i % 4 == k).groupBy("part").agg(F.collect_list(record[kind]).alias("data"))
         text = F.to_json(F.struct("data")) if kind == "musique" else F.to_json("data")
         out[kind] = f"{root}/{kind}"
-        rows.select("part", text.alias("value")).write.partitionBy("part").text(out[kind])
+        rows.select("part", text.alias("value")).repartition(tasks, "part").select("value").write.option("maxRecordsPerFile", 1).text(out[kind])
     return out
 
 

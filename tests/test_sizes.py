@@ -1,11 +1,13 @@
 """What grows with the input stays spread over tasks and small in each."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from mnemograph.functions import text as T
 from mnemograph.operators import history, ingest, versions
+from mnemograph.plans import world_queries
 
 
 def test_pairs_of_a_crowded_subject_are_dealt_over_tasks(spark):
@@ -63,3 +65,16 @@ def test_histories_are_dealt_by_size_and_hold_wanted_fields_only(spark):
     pick = lambda h: sorted((r["id"], r["version"], r["action"], r["valid_from"], r["valid_to"], r["before"] and r["before"]["importance"], r["importance"]) for r in h.collect())
     assert pick(some) == pick(history.history(log)) and some.columns[-2:] == ["before", "importance"]
     assert "collect_list" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_question_files_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(world_queries, "_TASK_RECORDS", 256, raising=False)
+    for n in (3_000, 2, 0):
+        folder = f"{tmp_path}/{n}"
+        spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.lit("one"), F.lit("two"), F.lit("three")).alias("text"), F.lit("web").alias("source")).write.parquet(f"{folder}/documents.parquet")
+        for kind, path in world_queries._question_files(spark, folder).items():
+            files = [f.name for f in Path(path).rglob("*.txt") if f.stat().st_size]
+            assert len(files) == (12 if n == 3_000 else 0) or n == 2 and len(files) < 2
+            assert n < 3_000 or len({f.split("-")[1] for f in files}) > 3
+        got = {r["question"]: (r["kind"], r["n_ids"], r["first"]) for r in world_queries.resolve_questions(spark, folder).collect()}
+        assert len(got) == n and all(got[f"q{i}"] == ("hotpotqa", 2, f"n{i}#0") for i in range(1, n, 4)) and all(got[f"q{i}"] == ("custom", 1, f"x{i}") for i in range(0, n, 4))
