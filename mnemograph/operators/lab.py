@@ -127,7 +127,7 @@ def ranked(state: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFr
     """variant, query_id, id, rank among ``nodes``, by the state of each variant's world."""
     on = retrieval.ground(nodes, edges, queries)
     worlds = state.select("world").distinct()
-    seeds = retrieval.top(on.hits.select("query_id", "id", "score", F.round("score", 5).alias("s")), [F.col("s").desc(), F.col("id")], retrieval.SEEDS)
+    seeds = retrieval.first_hits(on.hits)
     # a query of a world is a query of its own to the operators
     each = F.struct("world", "query_id").alias("query_id")
     of_world = lambda df: df.crossJoin(F.broadcast(worlds)).withColumn("query_id", each)
